@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import material_queries, text_queries  # noqa: F401
+from . import material_queries, text_queries, web_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
