@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import material_queries, text_queries, web_queries  # noqa: F401
+from . import (  # noqa: F401
+    material_queries,
+    task_queries,
+    text_queries,
+    web_queries,
+)
 from .registry import ORACLES, QUERIES
 
 

@@ -446,7 +446,7 @@ def b27(spark, d):
 
 @query(
     "h4_key_files_topk",
-    SCORE_SQL.replace("SELECT source AS repo", "SELECT lang AS repo", 1).replace("FROM documents", "FROM documents")
+    SCORE_SQL.replace("SELECT source AS repo", "SELECT lang AS repo", 1)
     + """, r AS (SELECT repo, path, score, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS file_rank
     FROM (SELECT DISTINCT repo, path, score FROM s WHERE score > 0)) SELECT * FROM r WHERE file_rank <= 15""",
 )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import urls as ur
 from ..operators import explore as ex
 from ..operators import web as wb
-from ..operators.materials import filter_materials  # noqa: F401
 from ..operators.ordering import previous_values
 from ..sources.config import registry_rows
 from .binding import documents, pages, table
@@ -120,9 +119,15 @@ def g6_doc(spark, d):
     return wb.plan_doc(pages(spark, d))
 
 
-@query("g6_plan_course")
+@query(
+    "g6_plan_course",
+    f"""WITH {COURSE_SQL}, r AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k, link) - 1 AS ord, link FROM keyed)
+    SELECT * FROM r WHERE ord < 50""",
+)
 def g6_course(spark, d):
-    return wb.plan_course(pages(spark, d))
+    """Every page read as the course page of its host."""
+    root = F.concat(ur.scheme(F.col("url")), F.lit("://"), ur.authority(F.col("url")))
+    return wb.plan_course(pages(spark, d).withColumn("url", root))
 
 
 @query("g7_course_root")
