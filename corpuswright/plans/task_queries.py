@@ -197,7 +197,7 @@ def e6(spark, d):
     "e7_next_free_index",
     """WITH m AS (SELECT max(doc_id) + 1 AS n FROM documents), r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k,
       substr(replace(trim(regexp_replace(split_part(text, chr(10), 1), '[<>:"/\\\\|?*]', '', 'g')), ' ', '_'), 1, 30) AS safe FROM benchmark)
-    SELECT item_id, k + n AS idx, lpad((k + n)::VARCHAR, greatest(2, length((k + n)::VARCHAR)), '0') || '_' || safe AS dir_name FROM r, m""",
+    SELECT item_id, k + n AS idx, CASE WHEN k + n < 10 THEN '0' ELSE '' END || (k + n) || '_' || safe AS dir_name FROM r, m""",
 )
 def e7(spark, d):
     existing = table(spark, d, "documents").select(F.concat(F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit("_"), "source").alias("name"))
@@ -373,7 +373,7 @@ def h8(spark, d):
 @query(
     "e3_numbering",
     """WITH r AS (SELECT doc_id, lang, source, dense_rank() OVER (ORDER BY lang) AS ch, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS sec FROM documents)
-    SELECT doc_id, ch AS chapter_no, sec AS section_no, printf('%02d', ch) || '_' || lang || '/' || lpad(sec::VARCHAR, greatest(2, length(sec::VARCHAR)), '0')
+    SELECT doc_id, ch AS chapter_no, sec AS section_no, printf('%02d', ch) || '_' || lang || '/' || CASE WHEN sec < 10 THEN '0' ELSE '' END || sec
       || '_' || source || '.md' AS file_path FROM r""",
 )
 def e3(spark, d):

@@ -90,8 +90,7 @@ def read_kb_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def kb_tree(files: DataFrame, root: str) -> DataFrame:
-    base = F.lit(root.rstrip("/") + "/")
-    rel = F.substring_index(F.col("path"), base, -1)
+    rel = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     segments = F.split(rel, "/")
     depth = F.explode(F.sequence(F.lit(1), F.size("segments"))).alias("n")
     nodes = files.select(segments.alias("segments")).select("segments", depth)
@@ -112,7 +111,7 @@ def kb_filter(tree: DataFrame, term: str) -> DataFrame:
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """Whole body per document."""
     return (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 
