@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (  # noqa: F401
     material_queries,
     publish_queries,
+    stream_queries,
     task_queries,
     text_queries,
     web_queries,
