@@ -9,39 +9,43 @@ from .. import vocab
 from .text import is_blank, strip
 
 
-def _empty(col: Column) -> Column:
-    return F.coalesce(F.size(col), F.lit(0)) <= 0
-
-
 def _count(col: Column) -> Column:
     return F.greatest(F.coalesce(F.size(col), F.lit(0)), F.lit(0)).cast("long")
 
 
+def measures() -> dict[str, Column]:
+    """The counts the rules rest on. Narrow, so text need not travel further."""
+    return {
+        "content_chars": F.length(strip(F.coalesce(F.col("content"), F.lit("")))).cast("long"),
+        "tag_count": _count(F.col("tags")),
+        "term_count": _count(F.col("terms")),
+        "reference_count": _count(F.col("references")),
+        "image_count": _count(F.col("images")),
+        "code_block_count": _count(F.col("code_blocks")),
+    }
+
+
+def measure(df: DataFrame) -> DataFrame:
+    """Add the counts a table does not carry yet."""
+    return df.withColumns({name: col for name, col in measures().items() if name not in df.columns})
+
+
 def missing_fields() -> Column:
-    chars = F.length(strip(F.coalesce(F.col("content"), F.lit(""))))
     return F.array_compact(
         F.array(
             F.when(is_blank(F.col("title")), F.lit("missing_title")),
-            F.when(chars < vocab.MIN_CONTENT_CHARS, F.lit("content_too_short")),
-            F.when(_empty(F.col("tags")), F.lit("missing_tags")),
-            F.when(_empty(F.col("terms")), F.lit("missing_terms")),
+            F.when(F.col("content_chars") < vocab.MIN_CONTENT_CHARS, F.lit("content_too_short")),
+            F.when(F.col("tag_count") == 0, F.lit("missing_tags")),
+            F.when(F.col("term_count") == 0, F.lit("missing_terms")),
         )
     )
 
 
 def completeness(df: DataFrame) -> DataFrame:
     """Missing fields and the six counts of every material."""
-    return df.withColumns(
-        {
-            "missing_fields": missing_fields(),
-            "content_chars": F.length(strip(F.coalesce(F.col("content"), F.lit("")))).cast("long"),
-            "tag_count": _count(F.col("tags")),
-            "term_count": _count(F.col("terms")),
-            "reference_count": _count(F.col("references")),
-            "image_count": _count(F.col("images")),
-            "code_block_count": _count(F.col("code_blocks")),
-        }
-    ).withColumn("is_complete", F.size("missing_fields") == 0)
+    return measure(df).withColumn("missing_fields", missing_fields()).withColumn(
+        "is_complete", F.size("missing_fields") == 0
+    )
 
 
 def grade(score: Column) -> Column:

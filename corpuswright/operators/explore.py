@@ -22,15 +22,35 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, key: str, text: str, inl
     each row, with no join. A larger dictionary is matched by an equi join: each
     text is cut into its substrings of the keyword lengths.
     """
+    words, distinct = _inline_words(keywords, inline)
+    if words is None:
+        return _hits_by_substring(texts, distinct, key, text)
+    hits = F.filter(words, lambda w: F.contains(F.col(text), w))
+    return texts.select(key, F.explode(hits).alias("keyword"))
+
+
+def keyword_counts(texts: DataFrame, keywords: DataFrame, key: str, text: str, inline: int = INLINE_KEYWORDS) -> DataFrame:
+    """As ``keyword_hits``, with the occurrences ``n`` (not overlapping)."""
+    words, distinct = _inline_words(keywords, inline)
+    if words is None:
+        hits = _hits_by_substring(texts, distinct, key, text)
+        return hits.join(texts, key).select(key, "keyword", _occurrences(F.col(text), F.col("keyword")).alias("n"))
+    hits = F.filter(words, lambda w: F.contains(F.col(text), w))
+    counted = F.transform(hits, lambda w: F.struct(w.alias("keyword"), _occurrences(F.col(text), w).alias("n")))
+    return texts.select(key, F.explode(counted).alias("hit")).select(key, "hit.keyword", "hit.n")
+
+
+def _inline_words(keywords: DataFrame, inline: int) -> tuple[Column | None, DataFrame]:
+    """The keywords as an array, or none when they exceed the bound."""
     distinct = keywords.select("keyword").where("keyword <> ''").distinct()
     listed = distinct.limit(inline + 1).collect()
-    if len(listed) <= inline:
-        if not listed:
-            return texts.select(key, F.lit("").alias("keyword")).where(F.lit(False))
-        words = F.array(*[F.lit(r[0]) for r in sorted(listed)])
-        hits = F.filter(words, lambda w: F.contains(F.col(text), w))
-        return texts.select(key, F.explode(hits).alias("keyword"))
-    return _hits_by_substring(texts, distinct, key, text)
+    if len(listed) > inline:
+        return None, distinct
+    return F.array(*[F.lit(r[0]) for r in sorted(listed)]).cast("array<string>"), distinct
+
+
+def _occurrences(text: Column, word: Column) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("long")
 
 
 def _hits_by_substring(texts: DataFrame, keywords: DataFrame, key: str, text: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import materialize
-from .explore import keyword_hits
+from .explore import keyword_counts
 from .ordering import top_per_key
 
 #: A key above this share of the rows is hot; there are at most as many hot keys.
@@ -40,7 +40,7 @@ def join_counts(rows: DataFrame, counts: DataFrame, key: str, count: str, spread
 
 def key_terms(df: DataFrame, key: str, text: str, n: int = 20) -> DataFrame:
     """Best ``n`` terms per document by tf * ln(N / df)."""
-    tf = token_counts(df, key, text)
+    tf = materialize(token_counts(df, key, text), "tf")  # tokenised once, read twice
     frequency = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = df.agg(F.count(F.lit(1))).scalar()
     joined = join_counts(tf, frequency, "term", "df", key)
@@ -50,20 +50,15 @@ def key_terms(df: DataFrame, key: str, text: str, n: int = 20) -> DataFrame:
     )
 
 
-def _occurrences(text: Column, word: Column) -> Column:
-    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("long")
-
-
 def topic_tags(df: DataFrame, dictionary: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
     """Best ``n`` tags per document by occurrences of their keywords.
 
     ``dictionary(tag, keyword)``; tags of 30 characters and more are left out.
     """
-    words = dictionary.where(F.length("tag") < 30).withColumn("keyword", F.lower("keyword"))
+    words = dictionary.where(F.length("tag") < 30).select("tag", F.lower("keyword").alias("keyword")).distinct()
     low = df.select(key, F.lower(text).alias("_text"))
-    hits = keyword_hits(low.select(key, "_text"), words, key, "_text")
-    counted = hits.join(low, key).select(key, "keyword", _occurrences(F.col("_text"), F.col("keyword")).alias("n"))
-    per_tag = counted.join(words.select("tag", "keyword").distinct(), "keyword").groupBy(key, "tag").agg(F.sum("n").alias("hits"))
+    counted = keyword_counts(low, words, key, "_text")
+    per_tag = counted.join(words, "keyword").groupBy(key, "tag").agg(F.sum("n").alias("hits"))
     return top_per_key(per_tag, [key], [F.col("hits").desc(), F.col("tag")], n, "tag_rank")
 
 

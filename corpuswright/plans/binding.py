@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.quality import measures
 from ..session import spread
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -37,8 +38,9 @@ def materials(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame
             F.concat(F.lit("toxic_"), F.col("toxic").cast("string")),
         ),
     ).otherwise(F.array().cast("array<string>"))
-    empty_refs = F.array().cast("array<struct<url:string,type:string,title:string>>")
-    return docs.join(labels, "doc_id", "left").select(
+    # derived and counted before the join: a query that needs no body shuffles none
+    rows = docs.select(
+        "doc_id",
         F.col("doc_id").cast("string").alias("id"),
         F.concat(F.lit("https://corpus.example/"), F.col("source"), F.lit("/"), F.col("doc_id")).alias("source_url"),
         F.col("source").alias("source_type"),
@@ -47,15 +49,17 @@ def materials(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame
         F.col("text").alias("content"),
         F.substring("text", 1, 200).alias("summary"),
         F.col("lang").alias("language"),
-        tags.alias("tags"),
         F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{10,}"), F.lit(0))).alias("terms"),
         F.col("source").alias("parent_id"),
         F.col("doc_id").alias("order_index"),
         F.array().cast("array<struct<url:string,alt:string,local_path:string,description:string>>").alias("images"),
         F.array().cast("array<struct<language:string,code:string,comment:string>>").alias("code_blocks"),
-        empty_refs.alias("references"),
+        F.array().cast("array<struct<url:string,type:string,title:string>>").alias("references"),
         F.col("n_chars").cast("double").alias("created_at"),
     )
+    counts = measures()
+    rows = rows.withColumns({n: counts[n] for n in ("content_chars", "term_count")})
+    return rows.join(labels, "doc_id", "left").withColumn("tags", tags).drop("doc_id", "quality", "toxic")
 
 
 #: The same binding for the SQL side.

@@ -407,30 +407,31 @@ def _paragraphs(spark, d):
     return documents(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
 
 
-@query(
-    "f1_chunk_overlap",
-    f"""WITH RECURSIVE {PARAS_SQL},
-    p AS (SELECT doc_id, list_filter(list_transform(raw, lambda x: trim(x, {WS})), lambda x: x <> '') AS ps FROM par WHERE n > 600),
+def _chunk_sql(size: int, overlap: int) -> str:
+    return f"""WITH RECURSIVE {PARAS_SQL},
+    p AS (SELECT doc_id, list_filter(list_transform(raw, lambda x: trim(x, {WS})), lambda x: x <> '') AS ps FROM par WHERE n > {size}),
     w AS (SELECT doc_id, ps, 1 AS i, [ps[1]] AS cur, NULL::VARCHAR[] AS done, 0 AS no FROM p WHERE len(ps) > 0
       UNION ALL SELECT doc_id, ps, i + 1,
         CASE WHEN full_ THEN list_append(ov, ps[i + 1]) ELSE list_append(cur, ps[i + 1]) END,
         CASE WHEN full_ THEN cur END, CASE WHEN full_ THEN no + 1 ELSE no END
-      FROM (SELECT *, length(array_to_string(cur, '')) + 2 * len(cur) + length(ps[i + 1]) + 2 > 600 AS full_,
+      FROM (SELECT *, length(array_to_string(cur, '')) + 2 * len(cur) + length(ps[i + 1]) + 2 > {size} AS full_,
               list_slice(cur, (SELECT max(j) FROM (SELECT unnest(generate_series(1, len(cur))) AS j) t
-                 WHERE j = 1 OR length(array_to_string(list_slice(cur, j, len(cur)), '')) + 2 * (len(cur) - j + 1) >= 100), len(cur)) AS ov
+                 WHERE j = 1 OR length(array_to_string(list_slice(cur, j, len(cur)), '')) + 2 * (len(cur) - j + 1) >= {overlap}), len(cur)) AS ov
             FROM w WHERE i < len(ps))),
     c AS (SELECT doc_id, no - 1 AS chunk_no, array_to_string(done, chr(10) || chr(10)) AS chunk FROM w WHERE done IS NOT NULL
       UNION ALL SELECT doc_id, no, array_to_string(cur, chr(10) || chr(10)) FROM w WHERE i = len(ps)
-      UNION ALL SELECT doc_id, 0, array_to_string(raw, chr(10) || chr(10)) FROM par WHERE n <= 600
+      UNION ALL SELECT doc_id, 0, array_to_string(raw, chr(10) || chr(10)) FROM par WHERE n <= {size}
       UNION ALL SELECT p.doc_id, 0, array_to_string(raw, chr(10) || chr(10)) FROM p JOIN par USING (doc_id) WHERE len(ps) = 0)
-    SELECT doc_id, chunk_no::BIGINT AS chunk_no, chunk FROM c""",
-)
+    SELECT doc_id, chunk_no::BIGINT AS chunk_no, chunk FROM c"""
+
+
+@query("f1_chunk_overlap", _chunk_sql(600, 100))
 def f1(spark, d):
     """Small chunks (600 with 100 overlap), so most documents have several."""
     return ck.chunk_rows(_paragraphs(spark, d), "doc_id", "text", 600, 100)
 
 
-@query("f1_chunk_overlap_default")
+@query("f1_chunk_overlap_default", _chunk_sql(6000, 500))
 def f1_default(spark, d):
     return ck.chunk_rows(_paragraphs(spark, d), "doc_id", "text")
 

@@ -130,11 +130,29 @@ def g6_course(spark, d):
     return wb.plan_course(pages(spark, d).withColumn("url", root))
 
 
-@query("g7_course_root")
+@query(
+    "g7_course_root",
+    f"""WITH u AS (SELECT DISTINCT {NORM.format(c='url')} AS url FROM pages WHERE NOT contains(url, '.html'))
+    SELECT url || '/chapter1/3' AS start_url, CASE WHEN contains(url, '/fr/') THEN url || '/chapter1' ELSE url END AS root_url,
+      CASE WHEN contains(url, '/fr/') THEN 1 ELSE 3 END::BIGINT AS links FROM u""",
+)
 def g7(spark, d):
-    """Every page is a start; the ancestors that are pages themselves are counted."""
-    rows = pages(spark, d).withColumn("url", ur.url_normalize(F.col("url"))).dropDuplicates(["url"])
-    return wb.course_root(rows.select(F.col("url").alias("start_url")), rows)
+    """Every page as a course with chapter pages below it.
+
+    The walk starts at a section that is no page. The French course pages link
+    to a translation only, so their first chapter page stays the best.
+    """
+    url, lit = F.col("url"), F.lit
+    rows = table(spark, d, "pages").where(~F.contains(url, lit(".html"))).select(ur.url_normalize(url).alias("url")).distinct()
+
+    def anchors(*tails):
+        return F.concat(*[x for t in tails for x in (lit('<a href="'), ur.path(url), lit(f'/{t}">x</a>'))])
+
+    course = F.when(F.contains(url, lit("/fr/")), anchors("en/x")).otherwise(anchors("chapter1", "chapter10", "chapter2"))
+    courses = rows.select("url", course.alias("html"))
+    chapters = rows.select(F.concat(url, lit("/chapter1")).alias("url"), anchors("chapter1/1", "events").alias("html"))
+    starts = rows.select(F.concat(url, lit("/chapter1/3")).alias("start_url"))
+    return wb.course_root(starts, courses.unionByName(chapters))
 
 
 CHAIN_SQL = f"""site AS (SELECT DISTINCT {NORM.format(c='url')} AS url, {AUTH.format(c='url')} AS host FROM pages),
