@@ -147,8 +147,9 @@ def _drop_dot_segments(col: Column) -> Column:
         .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(s))),
     )
-    tail = F.when(col.rlike(r"/\.{1,2}$"), "/").otherwise("")
-    cleaned = F.concat(F.lit("/"), F.concat_ws("/", folded), tail)
+    joined = F.concat_ws("/", folded)
+    tail = F.when(col.rlike(r"/\.{1,2}$") & (joined != ""), "/").otherwise("")
+    cleaned = F.concat(F.lit("/"), joined, tail)
     return F.when(col.rlike(r"/\.{1,2}(/|$)"), cleaned).otherwise(col)
 
 
