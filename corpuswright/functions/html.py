@@ -6,6 +6,8 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+from .. import vocab
+
 VOID = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer".split()
@@ -164,3 +166,57 @@ def page_material(html: str, base_url: str) -> dict:
         "code_blocks": code_blocks,
         "headings": headings,
     }
+
+
+BLOCKS = frozenset("p div section h1 h2 h3 h4 h5 h6 blockquote pre ul ol li br hr".split())
+
+
+def _width(attrs: dict) -> int | None:
+    value = (attrs.get("data-w") or attrs.get("width") or "0").replace("px", "")
+    return int(value) if re.fullmatch(r"\s*[+-]?\d+\s*", value) else None
+
+
+def _decorative(node: _Node, src: str, position: float, around: str) -> bool:
+    """The article policy for one image; ``around`` is the text of its parent."""
+    width, edge = _width(node.attrs), position < 0.2 or position > 0.8
+    closing = (node.attrs.get("class", "") + around).lower()
+    return (
+        any(hint in src.lower() for hint in vocab.ARTICLE_IMAGE_URL_HINTS)
+        or (node.attrs.get("data-type") == "gif" and width is not None and width < 100)
+        or (width is not None and 0 < width < 50)
+        or (position > 0.8 and any(hint in closing for hint in vocab.ARTICLE_QR_HINTS))
+        or ("mmbiz_gif" in src and edge)
+    )
+
+
+def article_body(html: str) -> tuple[str, list[str]]:
+    """Text of the article area with Markdown images where they stand.
+
+    Pages without an article area give their visible text and no images.
+    """
+    root = parse(html)
+    area = next((n for n in _walk(root, frozenset()) if isinstance(n, _Node) and n.attrs.get("id") == "js_content"), None)
+    if area is None:
+        return page_text(html), []
+    order = list(_walk(area, {"script", "style"}))
+    place = {id(item): i / len(order) for i, item in enumerate(order) if isinstance(item, _Node)}
+    parts, images = [], []
+    # (node, parent) to open, or a text to emit; a stack, so depth is not limited
+    todo = [(area, None)]
+    while todo:
+        item, parent = todo.pop()
+        if isinstance(item, tuple):
+            item = item[1]
+        if isinstance(item, str):
+            parts.append(item if parent is None else item.strip())
+        elif item.tag == "img":
+            src = item.attrs.get("data-src") or item.attrs.get("src") or ""
+            if src.startswith("http"):
+                around = "".join(_strings(parent, frozenset())) if parent else ""
+                if not _decorative(item, src, place.get(id(item), 0), around):
+                    parts.append(f"\n\n![]({src})\n\n")
+                    images.append(src)
+        elif item.tag not in ("script", "style"):
+            edge = [("\n", None)] if item.tag in BLOCKS else []
+            todo += edge + [(child, item) for child in reversed(item.children)] + edge
+    return re.sub(r"\n{3,}", "\n\n", "".join(parts)).strip(), images

@@ -179,8 +179,8 @@ def enqueue_urls(new: DataFrame, queue: DataFrame) -> DataFrame:
 
     ``new(url, seq)``, ``queue(url, state)``.
     """
-    fresh = new.join(queue.select("url"), "url", "left_anti")
-    return fresh.groupBy("url").agg(F.min("seq").alias("seq")).withColumn("state", F.lit("pending"))
+    firsts = new.groupBy("url").agg(F.min("seq").alias("seq"))
+    return firsts.join(queue.select("url"), "url", "left_anti").withColumn("state", F.lit("pending"))
 
 
 def mark_processed(queue: DataFrame, done: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .ordering import first_per_key, row_numbers, top_per_key
+from .ordering import first_per_key, row_numbers, sparse_left_join, top_per_key
 
 
 def filter_materials(
@@ -37,13 +37,13 @@ def first_wins(df: DataFrame, seq: str = "order_index") -> DataFrame:
     Only the row keys go through the aggregation. The bodies are joined back by
     their own unique id, so a hash shared by a third of the rows moves no text.
     """
-    keyed = df.where(~_no_hash(df))
+    keyed = df.where(_has_hash())
     winners = first_per_key(keyed.select("content_hash", seq, "id"), ["content_hash"], [seq, "id"]).select("id")
-    return keyed.join(winners, "id", "left_semi").unionByName(df.where(_no_hash(df)))
+    return keyed.join(winners, "id", "left_semi").unionByName(df.where(~_has_hash()))
 
 
-def _no_hash(df: DataFrame) -> Column:
-    return F.coalesce(df["content_hash"], F.lit("")) == ""
+def _has_hash() -> Column:
+    return F.coalesce("content_hash", F.lit("")) != ""
 
 
 def with_content_hash(df: DataFrame) -> DataFrame:
@@ -70,9 +70,11 @@ def resolve_by_hash(new: DataFrame, store: DataFrame, seq: str = "order_index",
             incoming.select(F.lit(1).alias("_src"), "_seq", "id", "content_hash")
         )
     winners = first_per_key(
-        candidates.where(F.coalesce("content_hash", F.lit("")) != ""), ["content_hash"], ["_src", "_seq", "id"]
+        candidates.where(_has_hash()), ["content_hash"], ["_src", "_seq", "id"]
     ).select("content_hash", F.col("_src").alias("_win_src"), F.col("id").alias("_win_id"))
-    joined = incoming.join(winners, "content_hash", "left")
+    # rows without a hash match nothing and are spread, not gathered on one null key
+    keyed = incoming.withColumn("_hash", F.when(_has_hash(), F.col("content_hash")))
+    joined = sparse_left_join(keyed, winners.withColumnRenamed("content_hash", "_hash"), "_hash", "id")
     own = F.col("_win_id").isNull() | ((F.col("_win_src") == 1) & (F.col("_win_id") == F.col("id")))
     return joined.select(
         "id", "content_hash", F.coalesce("_win_id", "id").alias("resolved_id"), own.alias("inserted")

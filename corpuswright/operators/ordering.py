@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 PART = "_part"
+KEY = "_group_part"
 
 
 def _columns(keys: Sequence[str | Column]) -> list[Column]:
@@ -28,28 +29,29 @@ def with_parts(df: DataFrame, group: Sequence[str], order: Sequence[str | Column
     """Add the part number. Without a given part the rows are range partitioned.
 
     The ranged rows are written out once, because the part numbers must be the
-    same in every branch that reads them.
+    same in every branch that reads them. Group and part together form one
+    struct key: the carry join and the window then share one shuffle of the
+    rows, and null groups compare equal.
     """
     if part is not None:
-        return df.withColumn(PART, part)
-    keys = [F.col(g) for g in group] + _columns(order)
-    ranged = df.repartitionByRange(*keys).withColumn(PART, F.spark_partition_id())
-    return materialize(ranged, "ranged")
+        parts = df.withColumn(PART, part)
+    else:
+        keys = [F.col(g) for g in group] + _columns(order)
+        parts = materialize(df.repartitionByRange(*keys).withColumn(PART, F.spark_partition_id()), "ranged")
+    return parts.withColumn(KEY, F.struct(*group, PART))
 
 
-def _within(group: Sequence[str], order: Sequence[str | Column]):
-    return W.partitionBy(*group, PART).orderBy(*_columns(order))
+def _within(order: Sequence[str | Column]):
+    return W.partitionBy(KEY).orderBy(*_columns(order))
 
 
-def _attach(parts: DataFrame, carry: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Join the per-part carry on null-safe keys."""
-    keys = [*group, PART]
-    renamed = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in carry.columns if c not in keys])
-    condition = None
-    for k in keys:
-        test = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        condition = test if condition is None else condition & test
-    return parts.join(renamed, condition, "left").drop(*[f"_k_{k}" for k in keys])
+def _across(group: Sequence[str]):
+    """Parts of a group in order: one row per part, not per row of data."""
+    return W.partitionBy(*(group or [F.lit(0)])).orderBy(PART)
+
+
+def _per_part(parts: DataFrame, group: Sequence[str], *aggs: Column) -> DataFrame:
+    return parts.groupBy(*group, PART).agg(*aggs).withColumn(KEY, F.struct(*group, PART))
 
 
 def running_sums(
@@ -58,19 +60,24 @@ def running_sums(
     order: Sequence[str | Column],
     values: dict[str, Column],
     part: Column | None = None,
+    totals: bool = False,
 ) -> DataFrame:
-    """Running totals (this row included) of ``values`` within each group."""
+    """Running totals (this row included) of ``values`` within each group.
+
+    With ``totals`` each value also gets ``<name>_total``, its sum over the group.
+    """
     parts = with_parts(df.withColumns({f"_v_{n}": v for n, v in values.items()}), group, order, part)
-    before = W.partitionBy(*group).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        parts.groupBy(*group, PART)
-        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-        .select(*group, PART, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in values])
+    before = _across(group).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*(group or [F.lit(0)]))
+    carry = _per_part(parts, group, *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values]).select(
+        KEY,
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in values],
+        *[F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n in values if totals],
     )
-    window = _within(group, order).rowsBetween(W.unboundedPreceding, 0)
-    joined = _attach(parts, carry, group)
+    window = _within(order).rowsBetween(W.unboundedPreceding, 0)
+    joined = parts.join(carry, KEY)
     out = joined.withColumns({n: F.sum(f"_v_{n}").over(window) + F.col(f"_c_{n}") for n in values})
-    return out.drop(PART, *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])
+    return out.drop(PART, KEY, *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])
 
 
 def row_numbers(
@@ -83,15 +90,12 @@ def row_numbers(
 ) -> DataFrame:
     """Position of every row within its group (the whole table when no group)."""
     parts = with_parts(df, group, order, part)
-    before = W.partitionBy(*(group or [F.lit(0)])).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        parts.groupBy(*group, PART)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*group, PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    before = _across(group).rowsBetween(W.unboundedPreceding, -1)
+    carry = _per_part(parts, group, F.count(F.lit(1)).alias("_n")).select(
+        KEY, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    joined = _attach(parts, carry, group)
-    rank = (F.row_number().over(_within(group, order)) + F.col("_offset") + (start - 1)).cast("long")
-    return joined.withColumn(name, rank).drop(PART, "_offset")
+    rank = (F.row_number().over(_within(order)) + F.col("_offset") + (start - 1)).cast("long")
+    return parts.join(carry, KEY).withColumn(name, rank).drop(PART, KEY, "_offset")
 
 
 def previous_values(
@@ -106,16 +110,26 @@ def previous_values(
     ``order`` must be unique within a group.
     """
     parts = with_parts(df, group, [order], part)
-    last = F.max_by(F.struct(*values.values(), F.lit(True).alias("_seen")), F.col(order)).alias("_last")
-    back = W.partitionBy(*group).orderBy(PART)
-    carry = (
-        parts.groupBy(*group, PART).agg(last).select(*group, PART, F.lag("_last").over(back).alias("_carry"))
+    row = F.struct(*values.values())
+    carry = _per_part(parts, group, F.max_by(row, F.col(order)).alias("_last")).select(
+        KEY, F.lag("_last").over(_across(group)).alias("_carry")
+    )
+    prev = F.coalesce(F.lag(row).over(_within([order])), F.col("_carry"))
+    out = parts.join(carry, KEY).withColumn("_prev", prev)
+    return out.withColumns({new: F.col(f"_prev.{src}") for new, src in values.items()}).drop(
+        PART, KEY, "_carry", "_prev"
     )
-    joined = _attach(parts, carry, group)
-    row = F.struct(*values.values(), F.lit(True).alias("_seen"))
-    prev = F.coalesce(F.lag(row).over(_within(group, [order])), F.col("_carry"))
-    out = joined.withColumn("_prev", prev)
-    return out.withColumns({new: F.col(f"_prev.{src}") for new, src in values.items()}).drop(PART, "_carry", "_prev")
+
+
+def sparse_left_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join on a key that most rows may lack.
+
+    Rows without the key are spread by another column; null keys would all
+    meet in one task.
+    """
+    filled = F.coalesce(F.col(key), F.concat(F.lit("\x00"), F.xxhash64(spread).cast("string")))
+    renamed = right.withColumnRenamed(key, "_rk")
+    return left.withColumn("_lk", filled).join(renamed, F.col("_lk") == F.col("_rk"), "left").drop("_lk", "_rk")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

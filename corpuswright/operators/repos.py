@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.urls import arxiv_id, repo_name
-from .ordering import top_per_key
+from .ordering import sparse_left_join, top_per_key
 
 
 def key_file_score(path: Column) -> Column:
@@ -48,4 +48,4 @@ def attach_catalog(urls: DataFrame, papers: DataFrame, repos: DataFrame) -> Data
     keyed = urls.withColumn("arxiv_id", F.nullif(arxiv_id(F.col("url")), F.lit(""))).withColumn(
         "repo", F.nullif(repo_name(F.col("url")), F.lit(""))
     )
-    return keyed.join(papers, "arxiv_id", "left").join(repos, "repo", "left")
+    return sparse_left_join(sparse_left_join(keyed, papers, "arxiv_id", "url"), repos, "repo", "url")

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import materialize
 from .chunking import chunk_rows
 from .ordering import top_per_key
 
@@ -166,16 +165,23 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, block: int
     """
     spark = chunks.sparkSession
     tokens = chunks.select("id", tx.word_tokens(F.col("text")).alias("tokens"))
-    n, average = tokens.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
     parts = []
     for rows in _blocks(queries.select("qid", F.array_distinct("tokens").alias("tokens")), block):
         vocabulary = sorted({t for r in rows for t in r["tokens"]})
-        if not vocabulary or not n:
+        # one pass counts the words; the empty word marks each document once
+        wanted = spark.createDataFrame([(w,) for w in ["", *vocabulary]], "term string")
+        seen = tokens.select(
+            F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term")
+        )
+        counted = seen.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(
+            F.count(F.lit(1)).alias("df"), F.sum("length").alias("length")
+        )
+        df = {r["term"]: (r["df"], r["length"]) for r in counted.collect()}
+        n, length = df.pop("", (0, 0))
+        if not df:
             continue
-        wanted = spark.createDataFrame([(w,) for w in vocabulary], "term string")
-        seen = tokens.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        counts = seen.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        df = {r["term"]: r["df"] for r in counts.collect()}
+        average = length / n
+        df = {w: c for w, (c, _) in df.items()}
         number = {w: i for i, w in enumerate(w for w in vocabulary if w in df)}
         weights = np.zeros((len(rows), len(number)))
         for q, r in enumerate(rows):
@@ -233,8 +239,3 @@ def index_text(df: DataFrame, out: str, size: int = 6000, overlap: int = 500) ->
     chunks = chunk_rows(rows, "key", "text", size, overlap).select("key.id", "key.source", "chunk_no", "chunk")
     chunks.write.partitionBy("source").parquet(out)
     return df.sparkSession.read.parquet(out)
-
-
-def first_chunks(df: DataFrame, key: str, text: str, size: int = 6000, overlap: int = 500) -> DataFrame:
-    """Chunks with one numeric id each, written once for repeated scans."""
-    return materialize(chunk_rows(df, key, text, size, overlap), "chunks")

@@ -105,10 +105,9 @@ def progress_pct(done: Column, total: Column, start: int, span: int) -> Column:
 
 def study_progress(topics: DataFrame, key: str, order: Sequence[str], part: Column) -> DataFrame:
     """Progress after every processed topic of a run."""
-    totals = topics.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    counted = running_sums(topics, [key], order, {"processed": F.lit(1)}, part)
-    done, total = F.col("processed"), F.col("total")
-    return counted.join(totals, key).withColumns(
+    counted = running_sums(topics, [key], order, {"processed": F.lit(1)}, part, totals=True)
+    done, total = F.col("processed"), F.col("processed_total")
+    return counted.withColumns(
         {
             "study_pct": progress_pct(done, total, 10, 82),
             "publish_pct": progress_pct(done - 1, total, 15, 70),

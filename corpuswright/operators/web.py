@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ur
-from ..functions.html import page_material, page_text
+from ..functions.html import article_body, page_material, page_text
 from ..session import materialize
 from .ordering import row_numbers
 
@@ -142,6 +142,35 @@ def plan_doc(pages: DataFrame, cap: int = 20) -> DataFrame:
     return pages.select("page_id", F.posexplode(plan).alias("ord", "link")).withColumn("ord", F.col("ord").cast("long"))
 
 
+def plan_article(pages: DataFrame, text: Column | None = None) -> DataFrame:
+    """An article and what it points to: the page, repositories, papers.
+
+    Rows (page_id, kind, ord, url) with kind page, github or arxiv. ``text`` is
+    searched for links (the page source by default).
+    """
+    source = F.col("html") if text is None else text
+    repos = F.array_distinct(F.regexp_extract_all(source, F.lit(r"https?://github\.com/[\w\-.]+/[\w\-.]+"), F.lit(0)))
+    papers = F.array_distinct(F.regexp_extract_all(source, F.lit(r"https?://arxiv\.org/(?:abs|pdf)/\d{4}\.\d{4,5}"), F.lit(0)))
+    def entries(kind: str, urls: Column) -> Column:
+        return F.transform(urls, lambda u, i: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("ord"), u.alias("url")))
+
+    listed = F.concat(entries("page", F.array("url")), entries("github", repos), entries("arxiv", papers))
+    return pages.select("page_id", F.explode(listed).alias("p")).select("page_id", "p.kind", "p.ord", "p.url")
+
+
+def pages_to_articles(pages: DataFrame) -> DataFrame:
+    """Article body with its images in place as Markdown, decoration dropped."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [article_body(h) for h in b["html"]]
+            out = pd.DataFrame(rows, columns=["content", "images"])
+            out.insert(0, "page_id", b["page_id"].to_numpy())
+            yield out
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, content string, images array<string>")
+
+
 def course_root(starts: DataFrame, pages: DataFrame) -> DataFrame:
     """Ancestor page with the most course links, walking up from each start URL.
 
@@ -252,9 +281,9 @@ def site_order(pages: DataFrame) -> DataFrame:
         "page_id",
         "url",
         ur.authority(F.col("url")).alias("host"),
-        ur.natural_key(ur.path(F.col("url"))).alias("_key"),
+        ur.natural_key(ur.path(F.col("url"))).alias("_path_key"),
     )
-    return row_numbers(keyed, ["host"], ["_key", "page_id"], "order_index", start=0).drop("_key")
+    return row_numbers(keyed, ["host"], ["_path_key", "page_id"], "order_index", start=0).drop("_path_key")
 
 
 def host_report(pages: DataFrame) -> DataFrame:

@@ -97,14 +97,14 @@ def a3(spark, d):
     WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
 )
 def a4(spark, d):
-    path, out = scratch_path(spark, "materials"), scratch_path(spark, "materials")
+    path = scratch_path(spark, "materials")
     docs = table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_type"), "n_chars"
     )
     docs.write.partitionBy("source_type").parquet(path)
     gone = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
-    tables.delete_materials(path, gone, out)
-    return spark.read.parquet(out).select("id", "source_type", "n_chars")
+    tables.delete_materials(path, gone)
+    return spark.read.parquet(path).select("id", "source_type", "n_chars")
 
 
 @query(

@@ -270,12 +270,12 @@ def c7(spark, d):
     "c11_verify_citations",
     f"""WITH l AS ({LINKED_SQL}), i AS (SELECT doc_id, lang, regexp_extract(text, 'arxiv\\.org/pdf/(\\d+\\.\\d+)', 1) AS aid FROM l)
     SELECT doc_id, aid AS arxiv_id FROM i WHERE aid NOT IN (SELECT aid FROM i WHERE lang = 'en')
-    UNION SELECT doc_id, '9912.' || lpad((doc_id % 100)::VARCHAR, 4, '0') FROM l""",
+    UNION SELECT doc_id, '9912.' || lpad(doc_id::VARCHAR, 5, '0') FROM l""",
 )
 def c11(spark, d):
     """Every row also cites a paper in the prefixed form that no catalogue holds."""
     rows = _linked(spark, d)
-    cited = F.concat(F.col("text"), F.lit(" ArXiv:9912."), F.lpad((F.col("doc_id") % 100).cast("string"), 4, "0"))
+    cited = F.concat(F.col("text"), F.lit(" ArXiv:9912."), F.lpad(F.col("doc_id").cast("string"), 5, "0"))
     rows = rows.withColumn("text", cited)
     known = F.regexp_extract("text", r"arxiv\.org/pdf/(\d+\.\d+)", 1)
     catalog = rows.where("lang = 'en'").select(known.alias("arxiv_id"))
@@ -312,14 +312,14 @@ def c12(spark, d):
     "c13_attach_catalog",
     """WITH papers AS (SELECT '2401.' || lpad(item_id::VARCHAR, 5, '0') AS arxiv_id, substr(text, 1, 20) AS paper_title FROM benchmark),
     repos AS (SELECT lang || '/' || source AS repo, count(*) AS stars FROM documents WHERE lang <> 'de' GROUP BY 1),
-    u AS (SELECT doc_id, CASE lang WHEN 'en' THEN '2401.' || lpad((doc_id % 1000)::VARCHAR, 5, '0') END AS arxiv_id,
+    u AS (SELECT doc_id, CASE lang WHEN 'en' THEN '2401.' || lpad(doc_id::VARCHAR, 5, '0') END AS arxiv_id,
           CASE WHEN lang <> 'en' THEN lang || '/' || source END AS repo FROM documents)
     SELECT doc_id, u.arxiv_id, u.repo, paper_title, stars FROM u LEFT JOIN papers USING (arxiv_id) LEFT JOIN repos USING (repo)""",
 )
 def c13(spark, d):
     lit, lang = F.lit, F.col("lang")
     docs = table(spark, d, "documents")
-    paper = F.concat(lit("https://arxiv.org/abs/2401."), F.lpad((F.col("doc_id") % 1000).cast("string"), 5, "0"))
+    paper = F.concat(lit("https://arxiv.org/abs/2401."), F.lpad(F.col("doc_id").cast("string"), 5, "0"))
     url = F.when(lang == "en", paper).otherwise(F.concat(lit("https://github.com/"), lang, lit("/"), "source", lit(".git")))
     papers = table(spark, d, "benchmark").select(
         F.concat(lit("2401."), F.lpad(F.col("item_id").cast("string"), 5, "0")).alias("arxiv_id"), F.substring("text", 1, 20).alias("paper_title")

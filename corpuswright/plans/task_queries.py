@@ -10,6 +10,7 @@ from ..operators import tasks as tk
 from ..operators.ordering import previous_values, row_numbers
 from ..session import scratch_path
 from ..sources import files as fs
+from ..sources.config import read_curriculum
 from .binding import events, hour, table
 from .registry import query
 
@@ -319,6 +320,26 @@ def a7(spark, d):
     return fs.read_task_history(spark, path, multi_line=False).select("id", "status", "progress", "error")
 
 
+@query(
+    "a6_read_curriculum",
+    """SELECT 'doc ' || doc_id AS goal, unnest(['main', 'side'])  AS domain, unnest([CASE lang WHEN 'en' THEN 1 ELSE 99 END, 99])::BIGINT AS priority,
+      unnest([source, '']) AS topic, unnest([CASE lang WHEN 'fr' THEN 'done' ELSE 'pending' END, 'pending']) AS status, 'intermediate' AS difficulty,
+      unnest([lang, '']) AS queries FROM documents""",
+)
+def a6(spark, d):
+    """One curriculum per document, written as JSON: a domain with a topic, one without."""
+    lang, src, lit = F.col("lang"), F.col("source"), F.lit
+    topic = F.struct(F.concat(lit(" "), src, lit(" ")).alias("name"), F.when(lang == "fr", "done").alias("status"), F.array(lang).alias("search_queries"))
+    none = F.array().cast("array<struct<name:string,status:string,search_queries:array<string>>>")
+    main = F.struct(lit("main").alias("name"), F.when(lang == "en", 1).alias("priority"), F.array(topic).alias("topics"))
+    side = F.struct(lit("side").alias("name"), lit(None).cast("int").alias("priority"), none.alias("topics"))
+    doc = F.struct(F.concat(lit("doc "), F.col("doc_id").cast("string")).alias("goal"), F.array(main, side).alias("domains"))
+    path = scratch_path(spark, "curricula")
+    table(spark, d, "documents").select(F.to_json(doc).alias("value")).write.text(path)
+    out = read_curriculum(spark, path, multi_line=False)
+    return out.select("goal", "domain", "priority", "topic", "status", "difficulty", F.concat_ws(",", "search_queries").alias("queries"))
+
+
 LEVEL = {"error": "ERROR", "click": "WARNING"}, "INFO"
 LINE_SQL = f"""strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || strftime(ts, '%g') || ' - user.' || user_id || ' - ' || {_status_sql(*LEVEL)} || ' - ' || event_type || ' ' || props"""
 LINES_SQL = f"""lines AS (SELECT event_id, 0 AS k, ts, strftime(ts, '%Y-%m-%d') AS day, {LINE_SQL} AS line FROM events

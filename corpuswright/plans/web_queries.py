@@ -184,12 +184,12 @@ def g8(spark, d):
 
 
 LINKED_SQL = """SELECT doc_id, lang, substr(text, 1, 200) || ' https://github.com/' || lang || '/' || source || '/tree/main x'
-    || ' http://arxiv.org/pdf/2401.' || lpad((doc_id % 1000)::VARCHAR, 5, '0') || ' https://huggingface.co/' || lang || '/m-' || source
+    || ' http://arxiv.org/pdf/2401.' || lpad(n_chars::VARCHAR, 5, '0') || ' https://huggingface.co/' || lang || '/m-' || source
     || ' https://github.com/' || lang || '/' || source AS text, source FROM documents"""
 
 
 def _linked(spark, d):
-    lit, doc = F.lit, F.lpad((F.col("doc_id") % 1000).cast("string"), 5, "0")
+    lit, doc = F.lit, F.lpad(F.col("n_chars").cast("string"), 5, "0")
     text = F.concat(
         F.substring("text", 1, 200), lit(" https://github.com/"), "lang", lit("/"), "source", lit("/tree/main x"),
         lit(" http://arxiv.org/pdf/2401."), doc, lit(" https://huggingface.co/"), "lang", lit("/m-"), "source",
@@ -210,6 +210,19 @@ def g9(spark, d):
     return wb.extract_references(_linked(spark, d), "doc_id", F.col("text"))
 
 
+@query(
+    "g9_plan_article",
+    f"""WITH l AS ({LINKED_SQL}) SELECT doc_id AS page_id, 'page' AS kind, 0::BIGINT AS ord, 'doc/' || doc_id AS url FROM l
+    UNION ALL SELECT doc_id, 'github', 0, 'https://github.com/' || lang || '/' || source FROM l
+    UNION ALL SELECT doc_id, 'arxiv', 0, regexp_extract(text, 'http://arxiv\\.org/pdf/[0-9.]{{10}}') FROM l""",
+)
+def g9_article(spark, d):
+    rows = _linked(spark, d).select(
+        F.col("doc_id").alias("page_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), "text"
+    )
+    return wb.plan_article(rows, F.col("text"))
+
+
 @query(
     "d13_distinct_refs",
     f"""WITH l AS ({LINKED_SQL}), r AS (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://github\\.com/([\\w\\-.]+/[\\w\\-.]+)', 1)) AS n FROM l)

@@ -47,9 +47,9 @@ def read_registry(spark: SparkSession, path: str = DEFAULT_REGISTRY) -> DataFram
     return spark.createDataFrame(rows, REGISTRY_SCHEMA)
 
 
-def read_curriculum(spark: SparkSession, path: str) -> DataFrame:
+def read_curriculum(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Topics of curriculum documents (JSON), one row each, defaults filled in."""
-    docs = spark.read.schema(CURRICULUM_SCHEMA).json(path, multiLine=True)
+    docs = spark.read.schema(CURRICULUM_SCHEMA).json(path, multiLine=multi_line)
     return flatten_topics(docs)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.materials import new_materials, with_content_hash
 from ..schema import MATERIALS
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 
 
 def read_materials(spark: SparkSession, path: str) -> DataFrame:
@@ -48,21 +48,47 @@ def append_materials(new: DataFrame, path: str, seq: str = "order_index", in_bat
     else:
         store = hashed.select("id", "content_hash", seq).where(F.lit(False))
     staged = scratch_path(spark, "append")
-    new_materials(hashed, store, seq, in_batch).write.parquet(staged)
+    keys = materialize(hashed.select("id", "content_hash", seq), "keys")  # bodies are hashed once
+    fresh = new_materials(keys, store, seq, in_batch).select("id")
+    hashed.join(fresh, "id", "left_semi").write.parquet(staged)
     rows = spark.read.parquet(staged)
     rows.write.mode("append").partitionBy("source_type").parquet(path)
     return rows
 
 
-def delete_materials(path: str, ids: DataFrame, out: str) -> None:
-    """Write the table without ``ids`` to ``out``; the caller then switches paths.
+def delete_materials(path: str, ids: DataFrame) -> None:
+    """Remove ``ids`` by rewriting only the partitions that hold one of them.
 
-    Only partitions that hold a deleted id are rewritten by an anti join; the
-    source path is never written to.
+    The kept rows are staged first, so nothing is written to files being read;
+    the staged partitions then replace the old ones. A partition left without
+    rows is removed.
     """
     spark = ids.sparkSession
+    gone = ids.select("id").distinct()
     table = spark.read.parquet(path)
-    table.join(ids.select("id").distinct(), "id", "left_anti").write.partitionBy("source_type").parquet(out)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1)
+    touched = (
+        table.select("id", "source_type", folder.alias("folder"))
+        .join(gone, "id", "left_semi").select("source_type", "folder").distinct().collect()
+    )
+    if not touched:
+        return
+    staged = scratch_path(spark, "delete")
+    kinds = [r["source_type"] for r in touched]
+    table.where(F.col("source_type").isin(kinds)).join(gone, "id", "left_anti").write.parquet(staged)
+    kept = spark.read.schema(table.schema).parquet(staged)
+    left = {r[0] for r in kept.select("source_type").distinct().collect()}
+    if left:
+        writer = kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("source_type").parquet(path)
+    for r in touched:
+        if r["source_type"] not in left:
+            _remove(spark, r["folder"])
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def export_meta(df: DataFrame, out: str) -> None:

@@ -16,16 +16,20 @@ def materials(spark, rows):
     return spark.createDataFrame(rows, schema)
 
 
-def test_append_is_idempotent_and_delete_spares_the_source(spark, rows, tmp_path):
+def test_append_is_idempotent_and_delete_rewrites_what_it_must(spark, rows, tmp_path):
     path = str(tmp_path / "m")
     tb.append_materials(materials(spark, [("a", "x", None, 1, "web"), ("b", "x", None, 2, "web"), ("c", "y", None, 3, "doc")]), path)
     assert {r[0] for r in rows(spark.read.parquet(path), "id")} == {"a", "c"}
     again = tb.append_materials(materials(spark, [("d", "y", None, 1, "web"), ("e", "z", None, 2, "web")]), path)
     assert [r[0] for r in rows(again, "id")] == ["e"]
-    out = str(tmp_path / "less")
-    tb.delete_materials(path, spark.createDataFrame([("a",), ("nope",)], "id string"), out)
-    assert {r[0] for r in rows(spark.read.parquet(out), "id")} == {"c", "e"}
-    assert spark.read.parquet(path).count() == 3
+    doc_files = {p.name for p in (tmp_path / "m" / "source_type=doc").glob("*.parquet")}
+    tb.delete_materials(path, spark.createDataFrame([("a",), ("nope",)], "id string"))
+    assert {r[0] for r in rows(spark.read.parquet(path), "id")} == {"c", "e"}
+    # the partition without a deleted id kept its files
+    assert {p.name for p in (tmp_path / "m" / "source_type=doc").glob("*.parquet")} == doc_files
+    tb.delete_materials(path, spark.createDataFrame([("c",)], "id string"))
+    assert {r[0] for r in rows(spark.read.parquet(path), "id")} == {"e"}
+    assert not (tmp_path / "m" / "source_type=doc").exists()
 
 
 def test_scan_with_schema_prunes_bodies(spark, tmp_path):

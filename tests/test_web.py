@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpuswright.functions.html import page_material, page_text
+from corpuswright.functions.html import article_body, page_material, page_text
 from corpuswright.operators import web as wb
 
 PAGE = """<!DOCTYPE html><html><head><title>Guide &amp; notes</title><style>p{}</style>
@@ -140,3 +140,26 @@ def test_code_blocks(spark, rows):
     assert rows(wb.extract_code_blocks(df, "id", F.col("t")), "i", "language", "code") == [
         (0, "python", "print(1) # one"), (1, "python", "import os\ndef f(): pass"),
     ]
+
+
+ARTICLE = (
+    '<body><p>outside</p><div id="js_content"><p>One <b>two</b></p><img data-src="https://i/head_mmbiz_gif"><script>x</script>'
+    '<section>Mid<img data-src="https://i/plot.png" data-w="640"><img src="/relative.png"><img data-src="https://i/tiny.png" width="20px"></section>'
+    '<p>a</p><p>b</p><p>c</p><p>d</p><p>e</p><p>关注我<img data-src="https://i/code.png"></p></div></body>'
+)
+
+
+def test_article_body():
+    text, images = article_body(ARTICLE)
+    assert images == ["https://i/plot.png"]
+    assert text.startswith("Onetwo\n\nMid\n\n![](https://i/plot.png)\n\na\n\nb") and text.endswith("关注我")
+    assert article_body("<p>a</p><p>b") == ("ab", [])
+
+
+def test_article_plan(spark, rows):
+    html = "https://github.com/o/r https://github.com/o/r http://arxiv.org/abs/2401.00001 https://github.com/solo"
+    df = pages(spark, ("http://mp/1", html))
+    assert rows(wb.plan_article(df), "kind", "ord", "url") == [
+        ("page", 0, "http://mp/1"), ("github", 0, "https://github.com/o/r"), ("arxiv", 0, "http://arxiv.org/abs/2401.00001"),
+    ]
+    assert rows(wb.pages_to_articles(df), "images") == [([],)]
