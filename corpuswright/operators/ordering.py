@@ -20,6 +20,9 @@ from ..session import materialize
 PART = "_part"
 KEY = "_group_part"
 
+#: Spark's default for spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT = 1000
+
 
 def _columns(keys: Sequence[str | Column]) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in keys]
@@ -150,8 +153,11 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     """First ``k`` rows of every key.
 
     Spark turns ``row_number() <= k`` into a group limit ahead of the shuffle,
-    so a hot key ships at most ``k`` rows per input partition.
+    so a hot key ships at most ``k`` rows per input partition. It does so up to
+    a threshold; a larger ``k`` is numbered in parts.
     """
+    if k > GROUP_LIMIT:
+        return row_numbers(df, keys, order, name).where(F.col(name) <= k)
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn(name, rank).where(F.col(name) <= k).withColumn(name, F.col(name).cast("long"))
 

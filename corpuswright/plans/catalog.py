@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
+    flow_queries,
     material_queries,
     publish_queries,
     stream_queries,

@@ -85,3 +85,10 @@ def test_ordered_concat_loses_nothing(spark, rows):
     parts = sorted(rows(od.ordered_concat(df, ["k"], "pos", "t", "|", "c", part_size=10), "k", "part", "c", "pieces"))
     assert "|".join(c for k, _, c, _ in parts if k == "k") == whole["k"]
     assert [p[3] for p in parts if p[0] == "k"] == [10, 10, 5]
+
+
+def test_large_top_per_key_is_numbered_in_parts(data, rows, monkeypatch):
+    order = [F.col("v").desc(), F.col("id")]
+    want = sorted(rows(od.top_per_key(data, ["g"], order, 20), "id", "rank"))
+    monkeypatch.setattr(od, "GROUP_LIMIT", 5)
+    assert sorted(rows(od.top_per_key(data, ["g"], order, 20), "id", "rank")) == want
