@@ -574,9 +574,9 @@ def k4(spark, d):
 
 @query(
     "d21_conversation_flatten",
-    f"""SELECT conv_id, 0::BIGINT AS part, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'system'), '') AS system_text,
+    f"""SELECT conv_id, turn // 1000 AS part, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'system'), '') AS system_text,
       coalesce(string_agg('[' || role || ']' || chr(10) || trim(text, {WS}), chr(10) || chr(10) ORDER BY turn)
-        FILTER (role <> 'system' AND trim(text, {WS}) <> ''), '') AS prompt FROM conversations GROUP BY conv_id""",
+        FILTER (role <> 'system' AND trim(text, {WS}) <> ''), '') AS prompt FROM conversations GROUP BY conv_id, turn // 1000""",
 )
 def d21(spark, d):
     return rs.flatten_conversations(table(spark, d, "conversations"))

@@ -38,9 +38,10 @@ def write_book(sections: DataFrame, report: DataFrame, out: str) -> None:
     the part files. ``sections`` carries numbers, paths and quality columns.
     """
     parts = F.split("file_path", "/")
-    sections.select(parts[0].alias("chapter_dir"), parts[1].alias("section_file"), section_file().alias("value")).write.partitionBy(
-        "chapter_dir", "section_file"
-    ).text(f"{out}/sections")
+    files = sections.select(parts[0].alias("chapter_dir"), parts[1].alias("section_file"), section_file().alias("value"))
+    # a file is written by one task, the files by all of them
+    n = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files.repartition(n, "chapter_dir", "section_file").write.partitionBy("chapter_dir", "section_file").text(f"{out}/sections")
     contents = contents_lines(sections)
     contents.orderBy("chapter_no", "section_no").select(F.col("line").alias("value")).write.text(f"{out}/contents")
     report.write.json(f"{out}/report")

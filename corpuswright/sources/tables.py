@@ -52,10 +52,15 @@ def append_materials(new: DataFrame, path: str, seq: str = "order_index", in_bat
     fresh = new_materials(keys, store, seq, in_batch).select("id")
     hashed.join(fresh, "id", "left_semi").write.parquet(staged)
     rows = spark.read.parquet(staged)
-    rows.write.mode("append").partitionBy("source_type").parquet(path)
+    _balanced(rows).write.mode("append").partitionBy("source_type").parquet(path)
     return rows
 
 
+def _balanced(rows: DataFrame) -> DataFrame:
+    """Few files per partition; a partition with most of the rows is split."""
+    return rows.hint("rebalance", F.col("source_type"))
+
+
 def delete_materials(path: str, ids: DataFrame) -> None:
     """Remove ``ids`` by rewriting only the partitions that hold one of them.
 
@@ -79,7 +84,7 @@ def delete_materials(path: str, ids: DataFrame) -> None:
     kept = spark.read.schema(table.schema).parquet(staged)
     left = {r[0] for r in kept.select("source_type").distinct().collect()}
     if left:
-        writer = kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = _balanced(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("source_type").parquet(path)
     for r in touched:
         if r["source_type"] not in left:
