@@ -69,12 +69,14 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy work every core when the input has too few splits.
+    """Give CPU-heavy work every core when the input is a few files.
 
-    A single small file is one task. A scan that already has enough splits,
-    the normal case at scale, is left alone, so no shuffle is added there.
+    A file is often one row group, which is one task however many byte splits it
+    has. Inputs of many files or many splits, the normal case at scale, are left
+    alone, so no shuffle is added there.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    splits = df.rdd.getNumPartitions()
+    if splits >= 4 * cores or len(df.inputFiles()) >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(max(cores, splits), key)
