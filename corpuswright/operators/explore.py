@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import split_by_script
 from ..functions.urls import url_normalize
 from .ordering import top_per_key
 
@@ -109,6 +110,28 @@ def fill_known_sources(topics: DataFrame, registry: DataFrame) -> DataFrame:
     return fresh.join(firsts, "url").select("topic_id", "r.name", "url", "r.type", F.col("r.ord").alias("ord"))
 
 
+def web_search_terms(queries: Column) -> Column:
+    """Search phrases: the first two English queries, else the first CJK one."""
+    english, chinese = split_by_script(queries, cjk=False), split_by_script(queries, cjk=True)
+
+    def phrase(source: Column, i: int, tail: str, wanted: Column) -> Column:
+        return F.when(wanted, F.concat(F.try_element_at(source, F.lit(i)), F.lit(tail)))
+
+    return F.array_compact(
+        F.array(
+            phrase(english, 1, " tutorial documentation", F.size(english) > 0),
+            phrase(english, 2, " guide", F.size(english) > 1),
+            phrase(chinese, 1, " 教程 文档", F.size(english) == 0),
+        )
+    )
+
+
+def catalogue_term(queries: Column) -> Column:
+    """Phrase for repository and paper search: English first, else the topic."""
+    english = split_by_script(queries, cjk=False)
+    return F.coalesce(F.try_element_at(english, F.lit(1)), F.try_element_at(queries, F.lit(1)))
+
+
 def github_score(stars: Column, fallback: bool = False) -> Column:
     top, base = (65, 25) if fallback else (70, 30)
     return F.least(F.lit(top), base + F.floor(stars / 1000)).cast("long")
@@ -155,7 +178,7 @@ def dedup_urls(hits: DataFrame, order: Sequence[str] = ("seq",), keys: Sequence[
     rest = [c for c in hits.columns if c not in keys]
     first = F.min(F.struct(*order)).alias("_first")
     # least struct: highest score, then first seen
-    best = F.min(F.struct((-F.col("score")).alias("neg"), *[F.col(o).alias(f"o_{o}") for o in order], F.struct(*rest).alias("row")))
+    best = F.min(F.struct((-F.coalesce("score", F.lit(0))).alias("neg"), *[F.col(o).alias(f"o_{o}") for o in order], F.struct(*rest).alias("row")))
     out = (
         hits.withColumn("norm_url", url_normalize(F.col("url")))
         .where("norm_url <> ''")

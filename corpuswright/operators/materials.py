@@ -147,6 +147,20 @@ def query_materials(df: DataFrame, limit: int = 100, mode: str = "reference") ->
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def planning_candidates(
+    df: DataFrame, topic: str, parent_id: str | None = None, tags: Sequence[str] = (), limit: int = 200
+) -> DataFrame:
+    """Materials a book is planned from: by parent and tags, else by keyword.
+
+    Without parent and tags every material qualifies and the topic only matters
+    when the table is empty of them.
+    """
+    chosen = filter_materials(df, parent_id=parent_id, tags=tags)
+    if chosen.isEmpty():
+        chosen = filter_materials(df, keyword=topic)
+    return query_materials(chosen, limit)
+
+
 def prioritize(df: DataFrame) -> DataFrame:
     """Position of every assessed material in priority order (from 1)."""
     ordered = df.withColumn("_nready", ~F.col("ready")).withColumn("_nscore", -F.col("score")).withColumn(

@@ -19,36 +19,44 @@ from ..session import materialize
 def ingest_pages(pages: DataFrame, dictionary: DataFrame, store: DataFrame | None = None, source_type: str = "course_page") -> DataFrame:
     """Pages to assessed, deduplicated materials.
 
-    Extraction is the only step in Python and is written out once. References
-    and code are read from the extracted text; terms and tags come from token
-    counts and the keyword dictionary, at most twenty and five per page. The
-    language follows the script of the text. What ``store`` holds is left out.
+    Extraction is the only step in Python. Copies, and what ``store`` holds, are
+    dropped before anything else is computed. References are read from the
+    extracted text; terms and tags come from token counts and the keyword
+    dictionary over the new pages, at most twenty and five per page. The
+    language follows the script of the text.
     """
-    extracted = materialize(wb.pages_to_materials(pages), "extracted")
-    terms = tm.key_terms(extracted, "page_id", "content").groupBy("page_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("term_rank", "term"))), lambda x: x["term"]).alias("terms")
-    )
-    tags = tm.topic_tags(extracted, dictionary, "page_id", "content").groupBy("page_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("tag_rank", "tag"))), lambda x: x["tag"]).alias("tags")
-    )
-    none = F.array().cast("array<string>")
     content = F.col("content")
-    rows = (
-        extracted.join(terms, "page_id", "left").join(tags, "page_id", "left").select(
+    extracted = materialize(
+        wb.pages_to_materials(pages).select(
             F.col("page_id").cast("string").alias("id"),
             F.col("url").alias("source_url"),
             F.lit(source_type).alias("source_type"),
             F.when(content != "", tx.content_hash(content)).alias("content_hash"),
-            "title", "content", F.substring("content", 1, 200).alias("summary"),
-            F.when(tx.cjk_dominant(content, "worker"), "zh").otherwise("en").alias("language"),
-            F.coalesce("tags", none).alias("tags"), F.coalesce("terms", none).alias("terms"),
-            ur.authority(F.col("url")).alias("parent_id"), F.col("page_id").alias("order_index"),
-            "images", "code_blocks", ur.references_in(content).alias("references"), "headings",
-            F.lit(0.0).alias("created_at"),
-        )
+            "title", "content", "images", "code_blocks", "headings",
+            F.col("page_id").alias("order_index"),
+        ),
+        "extracted",
+    )
+    fresh = materialize(first_wins(extracted) if store is None else new_materials(extracted, store), "fresh")
+    terms = tm.key_terms(fresh, "id", "content").groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("term_rank", "term"))), lambda x: x["term"]).alias("terms")
+    )
+    tags = tm.topic_tags(fresh, dictionary, "id", "content").groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("tag_rank", "tag"))), lambda x: x["tag"]).alias("tags")
+    )
+    none = F.array().cast("array<string>")
+    rows = fresh.join(terms, "id", "left").join(tags, "id", "left").withColumns(
+        {
+            "summary": F.substring("content", 1, 200),
+            "language": F.when(tx.cjk_dominant(content, "worker"), "zh").otherwise("en"),
+            "tags": F.coalesce("tags", none),
+            "terms": F.coalesce("terms", none),
+            "parent_id": ur.authority(F.col("source_url")),
+            "references": ur.references_in(content),
+            "created_at": F.lit(0.0),
+        }
     )
-    fresh = first_wins(rows) if store is None else new_materials(rows, store)
-    return quality.assess(fresh)
+    return quality.assess(rows)
 
 
 def publish(materials: DataFrame, outline: DataFrame, min_words: int, order: str = "section_id") -> tuple[DataFrame, DataFrame]:

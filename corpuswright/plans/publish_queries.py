@@ -762,20 +762,25 @@ def a10(spark, d):
     return book.select(F.length("content").alias("chars"), F.md5("content").alias("body"))
 
 
-TREE_SQL = """dirs AS (SELECT DISTINCT 'chapter_dir=' || lpad(dense_rank() OVER (ORDER BY chapter)::VARCHAR, 2, '0') || '_' || replace(chapter, ' ', '_') AS name FROM outline)"""
+TREE_SQL = f"""named AS (SELECT dense_rank() OVER (ORDER BY chapter) AS ch, row_number() OVER (PARTITION BY chapter ORDER BY item_id) AS sec, chapter,
+    substr(replace(trim(regexp_replace(regexp_replace(section, '^第?\\d+[章节.]\\s*', ''), '[<>:"/\\\\|?*]', '', 'g'), {WS}), ' ', '_'), 1, 40) AS safe FROM outline),
+    paths AS (SELECT 'chapter_dir=' || lpad(ch::VARCHAR, 2, '0') || '_' || replace(chapter, ' ', '_') AS dir,
+      'section_file=' || lpad(sec::VARCHAR, 2, '0') || '_' || CASE WHEN safe = '' THEN 'untitled' ELSE safe END || '.md' AS file FROM named),
+    nodes AS (SELECT DISTINCT dir AS name, dir AS path, 'directory' AS type FROM paths
+      UNION ALL SELECT file, dir || '/' || file, 'directory' FROM paths)"""
 
 
-@query("a9_read_kb_tree", f"WITH {OUTLINE_SQL}, {TREE_SQL} SELECT name, name AS path, 'directory' AS type FROM dirs")
+@query("a9_read_kb_tree", f"WITH {OUTLINE_SQL}, {TREE_SQL} SELECT * FROM nodes")
 def a9(spark, d):
-    """Top level of the written book; deeper nodes are read too."""
+    """Folders of the written book; Spark chooses the names of the files in them."""
     tree = fs.read_kb_tree(spark, _book(spark, d) + "/sections")
-    return tree.where(~F.contains("path", F.lit("/")))
+    return tree.where("type = 'directory'")
 
 
-@query("b31_kb_filter", f"WITH {OUTLINE_SQL}, {TREE_SQL} SELECT name, name AS path, 'directory' AS type FROM dirs WHERE contains(lower(name), 'part_1')")
+@query("b31_kb_filter", f"WITH {OUTLINE_SQL}, {TREE_SQL} SELECT * FROM nodes WHERE contains(lower(path), 'part_1')")
 def b31(spark, d):
     tree = fs.read_kb_tree(spark, _book(spark, d) + "/sections")
-    return fs.kb_filter(tree, " PART_1 ").where(~F.contains("path", F.lit("/")))
+    return fs.kb_filter(tree, " PART_1 ").where("type = 'directory'")
 
 
 @query(

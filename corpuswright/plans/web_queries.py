@@ -393,6 +393,22 @@ def h7(spark, d):
     return ex.cap_channels(hits, ["host"], {"web": 5, "github": 5, "arxiv": 3}).select("host", "channel", "seq", "url", "hit_rank")
 
 
+@query(
+    "h7_search_terms",
+    """WITH q AS (SELECT doc_id, lang, source, substr(text, 1, 12) AS head FROM documents)
+    SELECT doc_id, CASE lang WHEN 'fr' THEN source || ' 中 教程 文档' WHEN 'de' THEN source || ' tutorial documentation'
+      ELSE head || ' tutorial documentation|' || source || ' guide' END AS terms,
+      CASE lang WHEN 'fr' THEN source || ' 中' WHEN 'de' THEN source ELSE head END AS term FROM q""",
+)
+def h7_terms(spark, d):
+    """French rows ask in CJK only, German ones in both, the others in English."""
+    head, src, cjk = F.substring("text", 1, 12), F.col("source"), F.concat("source", F.lit(" 中"))
+    queries = F.when(F.col("lang") == "fr", F.array(cjk)).when(F.col("lang") == "de", F.array(cjk, src)).otherwise(F.array(head, src))
+    return table(spark, d, "documents").select(
+        "doc_id", F.concat_ws("|", ex.web_search_terms(queries)).alias("terms"), ex.catalogue_term(queries).alias("term")
+    )
+
+
 QUEUE_SQL = f"""queue AS (SELECT DISTINCT {NORM.format(c='url')} AS url, CASE WHEN contains(url, '/fr/') THEN 'processed' ELSE 'pending' END AS state
     FROM pages WHERE url LIKE 'https://%')"""
 

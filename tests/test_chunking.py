@@ -1,5 +1,6 @@
 """Chunking folds against a plain description of the rule."""
 
+import itertools
 import random
 import re
 
@@ -28,15 +29,21 @@ def plain_chunks(text, size, overlap):
     return [*done, "\n\n".join(held)]
 
 
+def joined(paragraphs):
+    """A packed run: leading empty paragraphs leave no trace."""
+    return "\n\n".join(itertools.dropwhile(lambda p: not p, paragraphs))
+
+
 def plain_segments(text, most):
-    out, held = [], ""
-    for p in text.split("\n\n"):
-        if held and len(held) + len(p) > most:
-            out.append(held.strip())
-            held = p
-        else:
-            held = f"{held}\n\n{p}" if held else p
-    return [*out, held.strip()] if held.strip() else out
+    """Cut positions first, then the runs between them."""
+    paras = text.split("\n\n")
+    cuts = [0]
+    for j in range(1, len(paras)):
+        run = joined(paras[cuts[-1] : j])
+        if run and len(run) + len(paras[j]) > most:
+            cuts.append(j)
+    runs = [joined(paras[a:b]).strip() for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+    return runs if runs[-1] else runs[:-1]
 
 
 def texts(n=80):

@@ -104,3 +104,31 @@ def test_categories(spark, rows):
     df = spark.createDataFrame([(k,) for k in cases], "decision string")
     assert {r[0]: r[1:] for r in rows(ct.assign_category(df, TOC))} == cases
     assert ct.assign_category(df, []).where("decision = 'no idea'").first().dir_name == "00_每日资讯"
+
+
+def test_flows_on_small_tables(spark, rows):
+    from corpuswright.plans.flows import ingest_pages, publish
+
+    page = "<html><title>{0}</title><body><article><p>spark joins {0} tables https://github.com/o/r</p></article></body></html>"
+    pages = spark.createDataFrame(
+        [(1, "http://h/1", page.format("wide")), (2, "http://h/2", page.format("wide")), (3, "http://h/3", page.format("tall")), (4, "http://h/4", "")],
+        "page_id long, url string, html string",
+    )
+    words = spark.createDataFrame([("Spark", "SPARK"), ("Tall", "tall")], "tag string, keyword string")
+    got = {r.id: r for r in ingest_pages(pages, words).collect()}
+    assert sorted(got) == ["1", "3", "4"]
+    assert got["3"].tags == ["Spark", "Tall"] and "tall" in got["3"].terms
+    assert [r.url for r in got["1"].references] == ["https://github.com/o/r"]
+    assert got["4"].missing_fields == ["missing_title", "content_too_short", "missing_tags", "missing_terms"]
+    store = spark.createDataFrame([(got["1"].content_hash, "s", 0)], "content_hash string, id string, order_index long")
+    assert sorted(r.id for r in ingest_pages(pages, words, store).collect()) == ["3", "4"]
+
+    materials = ingest_pages(pages, words)
+    outline = spark.createDataFrame(
+        [(0, "A", "Wide joins", ["1", "9"]), (1, "A", "Tall tables", ["3", "1"]), (2, "B", "Nothing", ["9"])],
+        "section_id long, chapter string, section string, material_ids array<string>",
+    )
+    sections, report = publish(materials, outline, 10)
+    assert dict(rows(sections, "section", "related")) == {"Wide joins": ["Tall tables"], "Tall tables": ["Wide joins"]}
+    r = report.first()
+    assert (r.status, r.expected_sections, r.completed_sections, r.missing_sections) == ("partial", 3, 2, 1)

@@ -123,3 +123,11 @@ def test_known_urls(spark, rows):
     assert {r[0] for r in rows(mt.skip_known_urls(urls, store))} == {"http://a/x#top", "http://a/y"}
     assert rows(mt.skip_known_urls(urls, store, normalize=True)) == []
     assert dict(rows(mt.known_url_ids(urls, store))) == {"http://a/x": "1", "http://a/x#top": None, "http://a/y": None}
+
+
+def test_planning_candidates(spark, rows):
+    df = ranked(spark)
+    assert [r[0] for r in rows(mt.planning_candidates(df, "none", parent_id="p"), "id")] == ["a", "e", "d", "c", "b"]
+    # no such parent: the topic is looked for instead
+    assert [r[0] for r in rows(mt.planning_candidates(df, "about E", parent_id="other"), "id")] == ["e"]
+    assert mt.planning_candidates(df, "nothing", tags=["no such tag"]).count() == 0
