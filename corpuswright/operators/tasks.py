@@ -143,28 +143,52 @@ def ready_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where("status = 'pending'").join(unmet, "node_id", "left_anti")
 
 
-def blocked_closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def blocked_closure(nodes: DataFrame, edges: DataFrame, patience: int = 8, growth: int = 4) -> DataFrame:
     """Pending nodes to skip: downstream of a failed or skipped node.
 
-    Only edges into pending nodes can spread a skip, so only those enter the
-    loop. Each round joins the nodes blocked last with them and drops what is
-    known; it ends when a round adds nothing. Rounds are written to the shared
-    folder to cut lineage.
+    ``level`` is the distance to the nearest such node. Only edges into pending
+    nodes can spread a skip, so only those enter the loop. The first
+    ``patience`` rounds go one step each. Deeper graphs then join the edges with
+    themselves, which doubles the distance a round covers: a chain of n nodes
+    takes log2(n) more rounds. Where doubled edges would outgrow ``growth`` times
+    the given ones (many nodes with many dependencies), steps go on. Every round
+    is written to the shared folder.
     """
     waiting = nodes.where("status = 'pending'").select("node_id")
     live = materialize(edges.join(waiting, "node_id", "left_semi").select("node_id", "dep_id").distinct(), "edges")
-    source = nodes.where("status IN ('failed', 'skipped')").select(F.col("node_id").alias("dep_id"))
-    blocked, level = None, 0
+    zero = F.lit(0).cast("long").alias("level")
+    known = materialize(nodes.where("status IN ('failed', 'skipped')").select("node_id", zero), "blocked")
+    source, steps, hops, limit = known, live, 1, None
+    rounds = 0
     while True:
-        level += 1
-        step = live.join(source, "dep_id", "left_semi").select("node_id").distinct()
-        if blocked is not None:
-            step = step.join(blocked, "node_id", "left_anti")
-        step = materialize(step.withColumn("level", F.lit(level).cast("long")), "blocked")
-        if step.isEmpty():
-            return step if blocked is None else blocked
-        blocked = step if blocked is None else blocked.unionByName(step)
-        source = step.select(F.col("node_id").alias("dep_id"))
+        reached = (
+            steps.join(source.select(F.col("node_id").alias("dep_id"), "level"), "dep_id")
+            .groupBy("node_id").agg((F.min("level") + hops).alias("level"))
+        )
+        fresh = materialize(reached.join(known.select("node_id"), "node_id", "left_anti"), "blocked")
+        if fresh.isEmpty():
+            return known.where("level > 0")
+        known = known.unionByName(fresh)
+        rounds += 1
+        if rounds < patience:
+            source = fresh
+            continue
+        if limit is None:
+            limit = growth * live.count()
+        open_ = steps.join(known.select("node_id"), "node_id", "left_anti")
+        if limit > 0 and _joined_size(open_, steps) <= limit:
+            onward = steps.select(F.col("node_id").alias("dep_id"), F.col("dep_id").alias("_far"))
+            longer = open_.join(onward, "dep_id").select("node_id", F.col("_far").alias("dep_id"))
+            source, steps, hops = known, materialize(longer.distinct(), "edges"), 2 * hops
+        else:
+            # what one step can still reach hangs below the newest nodes
+            source, steps, hops, limit = fresh, live, 1, 0
+
+
+def _joined_size(left: DataFrame, right: DataFrame) -> int:
+    """Rows of the join of two edge tables, counted from the degrees."""
+    degree = right.groupBy(F.col("node_id").alias("dep_id")).agg(F.count(F.lit(1)).alias("n"))
+    return left.join(degree, "dep_id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def apply_skips(nodes: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Task graphs, curricula, versions, retries."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,25 @@ def test_cycles_end(spark, rows):
     assert dict(rows(tk.blocked_closure(nodes, edges))) == {"b": 1, "c": 2}
 
 
+@pytest.mark.parametrize(("patience", "growth"), [(8, 4), (1, 4), (1, 0)])
+def test_blocked_levels_are_distances(spark, rows, patience, growth):
+    """Random graphs and a long chain, by doubling and one step at a time."""
+    rng = random.Random(13)
+    states = {i: rng.choice(["pending"] * 8 + ["failed", "completed", "skipped"]) for i in range(120)}
+    deps = {i: rng.sample(range(120), rng.randrange(0, 3)) for i in states}
+    chain = 40 if growth else 8
+    states |= {1000: "failed", **{1000 + i: "pending" for i in range(1, chain)}}
+    deps |= {1000 + i: [999 + i] for i in range(1, chain)}
+    want, front, level = {}, {n for n, s in states.items() if s in ("failed", "skipped")}, 0
+    while front:
+        level += 1
+        front = {n for n, ds in deps.items() if states[n] == "pending" and n not in want and front & set(ds)}
+        want |= {n: level for n in front}
+    nodes = spark.createDataFrame(list(states.items()), "node_id long, status string")
+    edges = spark.createDataFrame([(n, d) for n, ds in deps.items() for d in ds], "node_id long, dep_id long")
+    assert dict(rows(tk.blocked_closure(nodes, edges, patience, growth), "node_id", "level")) == want
+
+
 def test_summary_and_resume(spark, rows):
     data = [("x", "completed"), ("x", "skipped"), ("y", "failed"), ("y", "pending"), ("z", "running")]
     df = spark.createDataFrame(data, "dag_id string, status string")
