@@ -20,8 +20,11 @@ from ..functions import text as tx
 from .chunking import chunk_rows
 from .ordering import top_per_key
 
-#: Queries per pass over the base table.
+#: Queries per pass over the base table, and rows scored at a time. Together they
+#: bound the score matrix of a task.
 QUERY_BLOCK = 2_000
+KEYWORD_BLOCK = 500
+ROW_SLICE = 1_024
 RANKED = "qid long, id long, score double"
 
 # --- fixed values: published BM25 and rank fusion constants -------------------------
@@ -74,6 +77,12 @@ def _unit(vectors) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), ROW_SLICE):
+            yield b.iloc[at : at + ROW_SLICE]
+
+
 def _union_top(parts: list[DataFrame], k: int, empty: DataFrame) -> DataFrame:
     if not parts:
         return empty.sparkSession.createDataFrame([], RANKED + ", rank long")
@@ -95,10 +104,9 @@ def vector_topk(queries: DataFrame, base: DataFrame, k: int = 10, block: int = Q
 def _vector_scan(qids: np.ndarray, matrix: np.ndarray, k: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(len(qids), k)
-        for b in batches:
-            if len(b):
-                scores = np.round(matrix @ _unit(b["embedding"]).T, 6)
-                best.add(scores, b["id"].to_numpy(), np.ones_like(scores, dtype=bool))
+        for b in _slices(batches):
+            scores = np.round(matrix @ _unit(b["embedding"]).T, 6)
+            best.add(scores, b["id"].to_numpy(), np.ones_like(scores, dtype=bool))
         yield best.frame(qids)
 
     return run
@@ -146,19 +154,18 @@ def approx_vector_topk(
 def _bucket_scan(qids: np.ndarray, matrix: np.ndarray, buckets: np.ndarray, k: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(len(qids), k)
-        for b in batches:
-            if len(b):
-                own = np.array(b["bucket"].tolist())
-                shared = np.zeros((len(qids), len(b)), dtype=bool)
-                for t in range(buckets.shape[1]):
-                    shared |= buckets[:, t][:, None] == own[:, t][None, :]
-                best.add(np.round(matrix @ _unit(b["embedding"]).T, 6), b["id"].to_numpy(), shared)
+        for b in _slices(batches):
+            own = np.array(b["bucket"].tolist())
+            shared = np.zeros((len(qids), len(b)), dtype=bool)
+            for t in range(buckets.shape[1]):
+                shared |= buckets[:, t][:, None] == own[:, t][None, :]
+            best.add(np.round(matrix @ _unit(b["embedding"]).T, 6), b["id"].to_numpy(), shared)
         yield best.frame(qids)
 
     return run
 
 
-def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, block: int = KEYWORD_BLOCK) -> DataFrame:
     """Best chunks per query by BM25. ``queries(qid, tokens)``, ``chunks(id, text)``.
 
     Document frequencies are counted for the words of the queries only.
@@ -183,33 +190,37 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, block: int
         average = length / n
         df = {w: c for w, (c, _) in df.items()}
         number = {w: i for i, w in enumerate(w for w in vocabulary if w in df)}
-        weights = np.zeros((len(rows), len(number)))
-        for q, r in enumerate(rows):
-            for t in r["tokens"]:
-                if t in number:
-                    weights[q, number[t]] = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+        # (query, word, weight) triples: each task builds the matrix for itself
+        entries = [
+            (q, number[t], math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)))
+            for q, r in enumerate(rows)
+            for t in r["tokens"]
+            if t in number
+        ]
         qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        parts.append(tokens.mapInPandas(_bm25_scan(qids, weights, number, average, k), RANKED))
+        parts.append(tokens.mapInPandas(_bm25_scan(qids, entries, number, average, k), RANKED))
     return _union_top(parts, k, chunks)
 
 
-def _bm25_scan(qids: np.ndarray, weights: np.ndarray, number: dict[str, int], average: float, k: int) -> Callable:
+def _bm25_scan(
+    qids: np.ndarray, entries: list[tuple[int, int, float]], number: dict[str, int], average: float, k: int
+) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(len(qids), k)
-        for b in batches:
-            # bounded slices keep the dense count matrix small
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
-                tf = np.zeros((len(part), len(number)))
-                length = np.zeros(len(part))
-                for row, tokens in enumerate(part["tokens"]):
-                    length[row] = len(tokens)
-                    known = [number[t] for t in tokens if t in number]
-                    tf[row] = np.bincount(known, minlength=len(number)) if known else 0
-                norm = K1 * (1 - B + B * length / average)
-                gain = tf * (K1 + 1) / (tf + norm[:, None])
-                raw = weights @ gain.T
-                best.add(np.round(raw, 6), part["id"].to_numpy(), raw > 0)
+        weights = np.zeros((len(qids), len(number)))
+        for q, t, w in entries:
+            weights[q, t] = w
+        for b in _slices(batches):
+            tf = np.zeros((len(b), len(number)))
+            length = np.zeros(len(b))
+            for row, tokens in enumerate(b["tokens"]):
+                length[row] = len(tokens)
+                known = [number[t] for t in tokens if t in number]
+                if known:
+                    tf[row] = np.bincount(known, minlength=len(number))
+            norm = K1 * (1 - B + B * length / average)
+            raw = weights @ (tf * (K1 + 1) / (tf + norm[:, None])).T
+            best.add(np.round(raw, 6), b["id"].to_numpy(), raw > 0)
         yield best.frame(qids)
 
     return run
