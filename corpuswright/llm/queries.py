@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import urls
+from . import decontam, mixing, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,59 @@ LEFT JOIN listed l ON l.url = c.url AND c.host <> ''
 """.format(rules=", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES), hosts=LISTED_HOSTS)
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes from every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontam.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+OP10_SQL = r"""
+WITH b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS win, least(13, len(w)) AS n
+  FROM b, generate_series(1, greatest(len(w) - 12, 1)) g(s) WHERE len(w) > 0 AND s <= greatest(len(w) - 12, 1)),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+dw AS (
+  SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s
+        FROM d, (SELECT DISTINCT n FROM bw) lengths WHERE len(w) >= n)),
+hit AS (SELECT doc_id, s, n, item FROM dw JOIN bw USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op6_mix_sources, op10_decontaminate)}
+ORACLES = {"op1_url_filter": OP1_SQL, "op10_decontaminate": OP10_SQL}
+
+
 def queries():
-    return {"op1_url_filter": op1_url_filter}
+    return dict(QUERIES)
 
 
 def oracles():
-    return {"op1_url_filter": OP1_SQL}
+    return dict(ORACLES)
