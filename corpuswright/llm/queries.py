@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, urls
+from . import decontam, mixing, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ LEFT JOIN listed l ON l.url = c.url AND c.host <> ''
 """.format(rules=", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES), hosts=LISTED_HOSTS)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; the vocabulary file is a parameter of the operator."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024, keep_text=False)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes from every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -108,7 +116,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op6_mix_sources, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op6_mix_sources, op10_decontaminate)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op10_decontaminate": OP10_SQL}
 
 
