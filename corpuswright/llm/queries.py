@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, tokens, urls
+from ..session import materialize
+from . import decontam, mixing, quality, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024, keep_text=False)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(materialize(quality.measure(docs, keep_text=False), "measured"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *[F.col(f"_q.{n}").alias(n) for n in counts], "base_failed", "kept", "p_good")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes from every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -116,7 +125,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op6_mix_sources, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_quality_rules, op6_mix_sources, op10_decontaminate)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op10_decontaminate": OP10_SQL}
 
 
