@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import decontam, mixing, quality, tokens, urls
+from . import decontam, jaccard, mixing, quality, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items found in every document."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -125,7 +130,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_quality_rules, op6_mix_sources, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_quality_rules, op6_mix_sources, op8_jaccard_join, op10_decontaminate)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op10_decontaminate": OP10_SQL}
 
 

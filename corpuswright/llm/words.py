@@ -130,3 +130,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     at = np.cumsum(lengths) - lengths
     return np.repeat(starts - at, lengths) + np.arange(total)
+
+
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """True where a row of sorted columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
