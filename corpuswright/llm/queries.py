@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import decontam, jaccard, mixing, quality, tokens, urls
+from . import decontam, jaccard, mixing, quality, substring, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,29 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"_q.{n}").alias(n) for n in counts], "base_failed", "kept", "p_good")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without passages that stand earlier."""
+    return substring.kept_words(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, s, sha256(array_to_string(w[s:s + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS s FROM d WHERE len(w) >= 20)),
+later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS p FROM later),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d WHERE len(w) > 0),
+kept AS (
+  SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS txt, count(*) AS n
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p WHERE gone.p IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(txt, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes from every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -130,8 +153,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_quality_rules, op6_mix_sources, op8_jaccard_join, op10_decontaminate)}
-ORACLES = {"op1_url_filter": OP1_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_quality_rules, op5_substring_dedup, op6_mix_sources, op8_jaccard_join, op10_decontaminate)}
+ORACLES = {"op1_url_filter": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}
 
 
 def queries():
