@@ -76,7 +76,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     own = items.select("item", F.size("w").alias("_size"), F.inline(_windows("w", lengths)))
     own = own.where((F.col("n") == window) | (F.col("n") == F.col("_size"))).select("item", "n", "window").distinct()
     own = materialize(own, "bench_windows")
-    marks = fingerprints(items.select("w"), "w", window, gram, short, "f")
+    # written before they are exploded: filters inferred from explode would move the whole computation into its lambdas
+    marks = materialize(fingerprints(items.select("w"), "w", window, gram, short, "f").select("f"), "bench_prints")
     marks = materialize(marks.select(F.explode("f").alias("mark")).distinct(), "bench_marks")
 
     read = docs.select(
@@ -91,7 +92,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     wanted = bloom.build(suspects.select("body"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("body"), "text").where(wanted.might_contain(F.col("body")))
     same = texts["doc_id"].eqNullSafe(suspects["doc_id"]) & (texts["body"] == suspects["body"])
-    texts = texts.join(suspects, same, "left_semi").withColumn("w", words_of(F.col("text")))
+    texts = texts.join(suspects, same, "left_semi").select("doc_id", "body", words_of(F.col("text")).alias("w"))
+    texts = materialize(texts, "suspect_words")
     known_windows = bloom.build(own.select(F.xxhash64("window")).distinct())
     found = texts.select("doc_id", "body", F.inline(_windows("w", lengths)))
     found = found.where(known_windows.might_contain(F.xxhash64("window"))).distinct()
