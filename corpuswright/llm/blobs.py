@@ -12,8 +12,8 @@ from . import words
 
 
 def partitions(df: DataFrame) -> int:
-    """Buckets of a shuffle: the cluster's own setting, which grows with its inputs."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Buckets of a shuffle, one task each: twice the cluster's own setting, which grows with its inputs."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def schema(n: int) -> str:
@@ -43,10 +43,10 @@ def gather(batches, dtypes: dict[int, Sequence[np.dtype]]) -> dict[int, list[np.
     """All rows of a task as whole arrays by kind; ``bucket`` repeated per element comes first."""
     found: dict[int, list[list[np.ndarray]]] = {k: [[] for _ in range(len(d) + 1)] for k, d in dtypes.items()}
     for batch in batches:
-        rows = batch.to_pydict()
-        for i, kind in enumerate(rows["kind"]):
-            parts = [np.frombuffer(rows[f"a{j}"][i], t) for j, t in enumerate(dtypes[kind])]
-            found[kind][0].append(np.full(len(parts[0]), rows["bucket"][i], np.int64))
+        kinds, buckets = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+        for i, kind in enumerate(kinds):
+            parts = [np.frombuffer(batch.column(j + 2)[i].as_buffer(), t) for j, t in enumerate(dtypes[kind])]
+            found[kind][0].append(np.full(len(parts[0]), buckets[i], np.int64))
             for j, p in enumerate(parts):
                 found[kind][j + 1].append(p)
     types = {k: [np.int64, *d] for k, d in dtypes.items()}

@@ -34,7 +34,7 @@ SHINGLE = 5
 #: Wanted similarity as a fraction.
 NUM, DEN = 3, 4
 #: Index entries a task gathers before it passes them on.
-FLUSH = 2_000_000
+FLUSH = 400_000
 #: Longs of the parity sketch that rules pairs out before their texts are read.
 SKETCH = 32
 
