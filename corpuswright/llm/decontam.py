@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import bloom
+from . import bloom, rows
 
 WINDOW = 13
 GRAM = 6
@@ -123,14 +123,6 @@ def contaminated(hit: Column, words: Column) -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are not contaminated, with all their columns.
-
-    Rows whose key the filter of contaminated documents does not know pass
-    straight through; only the few others are joined.
-    """
-    bad = contamination(docs, benchmark).where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id", "body").distinct()
-    bad = materialize(bad, "contaminated").withColumnsRenamed({"doc_id": "_bad_id", "body": "_bad_body"})
-    maybe = bloom.build(bad.select("_bad_body"))
-    suspect = maybe.might_contain(F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_body"))
-    return docs.where(~suspect).unionByName(docs.where(suspect).join(bad, same, "left_anti"))
+    """Rows of ``docs`` that are not contaminated, with all their columns."""
+    found = contamination(docs, benchmark)
+    return rows.without(docs, found.where(contaminated(F.col("n_hit"), F.col("n_words"))))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import blobs, bloom
+from . import blobs, bloom, rows
 from . import words as ws
 from .components import components
 
@@ -247,10 +247,13 @@ def _candidates(batches):
 
 def _sizes(batches):
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1)))
+        sizes, kinds = [], []
+        for s in shingle_sets(batch.column(2)):
+            sizes.append(len(s))
+            kinds.append(_class(s))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64())],
-            ["doc", "n_shingles", "class"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(kinds, pa.int64())],
+            ["doc", "body", "n_shingles", "class"],
         )
 
 
@@ -323,13 +326,14 @@ class _Corpus:
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``class``, ``label`` (class of the component's classes) of every row of ``docs``.
+    """``doc_id``, ``body`` (hash of the text), ``n_shingles``, ``class``, ``label`` (class of the component's classes) of every row of ``docs``.
 
     Null and empty texts have no shingles and no label. Rows with equal shingle
     sets share a class; ids may be null or repeated. Other columns are not read.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text")
-    sizes = materialize(keyed.mapInArrow(_sizes, "doc bigint, n_shingles bigint, class bigint"), "sizes")
+    read = keyed.select("doc", rows.body().alias("body"), "text")
+    sizes = materialize(read.mapInArrow(_sizes, "doc bigint, body bigint, n_shingles bigint, class bigint"), "sizes")
     corpus = _Corpus(keyed, sizes)
     n = blobs.partitions(docs)
     index = keyed.mapInArrow(_index(n), blobs.schema(3)).repartition(n, "bucket")
@@ -381,15 +385,38 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     labels = components(links.unionByName(more))
     return sizes.join(labels, sizes["class"] == labels["node"], "left").select(
         F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"),
+        "body",
         "n_shingles",
         "class",
         F.when(F.col("n_shingles") > 0, F.coalesce("label", "class")).alias("label"),
     )
 
 
+def _components(classed: DataFrame) -> DataFrame:
+    """``label`` with its smallest id and, of that id, the smallest text hash."""
+    first = F.min(F.struct("doc_id", "body"))
+    whole = classed.where("label IS NOT NULL").groupBy("label")
+    named = whole.agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "body"))), first).alias("first"))
+    return materialize(named.select("label", "first.doc_id", "first.body"), "components")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links, its own included) of every row."""
-    rows = materialize(similar_classes(docs), "classed")
-    smallest = materialize(rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component")), "components")
-    joined = rows.join(smallest, "label", "left")
+    """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links, its own included) of every row.
+
+    Null ids are never the smallest unless a component has no other. Documents
+    without words are their own component.
+    """
+    classed = materialize(similar_classes(docs), "classed")
+    smallest = _components(classed).select("label", F.col("doc_id").alias("component"))
+    joined = classed.join(smallest, "label", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; documents without words all stay."""
+    classed = materialize(similar_classes(docs), "classed").where("label IS NOT NULL")
+    first = _components(classed).select("label", F.col("doc_id").alias("first_id"), F.col("body").alias("first_body"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("body") == F.col("first_body"))
+    marked = materialize(classed.join(first, "label").select("doc_id", "body", chosen.alias("chosen")), "marked")
+    copies = marked.where("chosen").groupBy("doc_id", "body").count().where("count > 1")
+    return rows.once(rows.without(docs, marked.where("NOT chosen")), copies)
