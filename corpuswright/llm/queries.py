@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import chat, decontam, jaccard, mixing, quality, substring, tokens, urls, warc
+from . import chat, decontam, jaccard, licences, mixing, quality, substring, tokens, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +114,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence family of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs)).withColumn("families", F.array_join("families", ","))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
@@ -238,7 +244,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_quality_rules, op4_warc_archive, op5_substring_dedup, op6_mix_sources, op8_jaccard_join, op9_chat_format, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_quality_rules, op4_warc_archive, op5_substring_dedup, op6_mix_sources, op7_licence_scan, op8_jaccard_join, op9_chat_format, op10_decontaminate)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op4_warc_archive": OP4_SQL, "op9_chat_format": OP9_SQL, "op5_substring_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}
 
 
