@@ -10,8 +10,8 @@ one-deletion neighbourhoods, and where even those may miss, single shingles.
 Documents that share an index entry are candidates and verified exactly.
 
 Exact copies are one class. Within an index entry candidates first meet its
-smallest document only; what these links have not joined is paired afterwards,
-so groups of similar documents never expand into all their pairs.
+smallest document only; members that these links have not joined are paired
+afterwards, and only pairs that a sketch of the sets cannot rule out are read, so groups of similar documents never expand into all their pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +180,7 @@ def _index(buckets: int):
         key = (bucket << 32) | (sig & np.uint64(0xFFFFFFFF)).astype(np.int64)
         key, at, starts, sizes = _groups(key, at)
         lead = starts
+        lead = lead[np.argsort(at[lead], kind="stable")]
         yield from blobs.pack(_DOC, key[lead] >> 32, [(key[lead] & 0xFFFFFFFF).astype(np.uint32), at[lead]], 3)
         many = sizes >= 2
         if many.any():
@@ -260,11 +262,12 @@ def _sizes(batches):
 def _sketches(batches):
     """Parity of the number of shingles in each of ``64 * SKETCH`` cells."""
     for batch in batches:
-        out = []
+        out, sizes = [], []
         for s in shingle_sets(batch.column(1)):
+            sizes.append(len(s))
             cells = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
             out.append(np.packbits(cells.astype(np.uint8)).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["class", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["class", "n", "sketch"])
 
 
 def _verify(batches):
@@ -289,40 +292,36 @@ def _close(a: str, b: str):
     return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
 
 
-class _Corpus:
-    """Texts by class: ``docs`` has ``doc`` and ``text``; ``classes`` one document per class."""
+def _same_class(batches):
+    """Rows whose text has the wanted class; a repeated id may stand for several texts."""
+    for batch in batches:
+        own = pa.array([_class(s) for s in shingle_sets(batch.column(1))], pa.int64())
+        yield batch.filter(pc.equal(own, batch.column(0)))
 
-    def __init__(self, docs: DataFrame, sizes: DataFrame):
-        self.docs = docs
-        self.sizes = sizes
-        self.classes = materialize(
-            sizes.where("n_shingles > 0").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n")), "classes"
-        )
 
-    def texts(self, wanted: DataFrame) -> DataFrame:
-        """``class``, ``text`` of the classes in ``wanted``; only their documents are shuffled."""
-        wanted = wanted.join(self.classes, "class").select("class", "doc")
-        wanted = materialize(wanted, "wanted")
-        likely = bloom.build(wanted.select(F.xxhash64("doc")))
-        found = self.docs.where(likely.might_contain(F.xxhash64("doc"))).join(wanted, "doc")
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``class``, ``text`` of ``classes`` (``class``, ``doc``); only their documents are shuffled."""
+    likely = bloom.build(classes.select(F.xxhash64("doc")))
+    found = docs.where(likely.might_contain(F.xxhash64("doc"))).join(classes, "doc").select("class", "text")
+    return materialize(found.mapInArrow(_same_class, "class bigint, text string").dropDuplicates(["class"]), "texts")
 
-        def same(batches):  # a repeated id may stand for several texts
-            for batch in batches:
-                own = [_class(s) for s in shingle_sets(batch.column(1))]
-                yield pa.RecordBatch.from_arrays(batch.columns, batch.schema.names).filter(
-                    pa.array([x == y for x, y in zip(own, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-                )
 
-        return found.select("class", "text").mapInArrow(same, "class bigint, text string")
+def _not_ruled_out(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct class pairs ``a``, ``b`` whose sketches differ in no more cells than similar sets can."""
+    x = sketches.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = sketches.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    total = F.col("na") + F.col("nb")
+    most = total - 2 * F.ceil(total * NUM / (NUM + DEN))
+    return pairs.join(y, "b").join(x, "a").where(apart <= most).drop("na", "nb", "sa", "sb")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct class pairs ``a``, ``b`` that link."""
-        wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        texts = materialize(self.texts(wanted).dropDuplicates(["class"]), "texts")
-        left = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(_verify, "a bigint, b bigint"), "links")
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the distinct class pairs ``a``, ``b`` that link."""
+    left = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    return materialize(both.mapInArrow(_verify, "a bigint, b bigint"), "links")
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
@@ -334,7 +333,6 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text")
     read = keyed.select("doc", rows.body().alias("body"), "text")
     sizes = materialize(read.mapInArrow(_sizes, "doc bigint, body bigint, n_shingles bigint, class bigint"), "sizes")
-    corpus = _Corpus(keyed, sizes)
     n = blobs.partitions(docs)
     index = keyed.mapInArrow(_index(n), blobs.schema(3)).repartition(n, "bucket")
     found = materialize(index.mapInArrow(_candidates, "kind int, a bigint, b bigint, n bigint"), "candidates")
@@ -343,12 +341,20 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     first = of.select(F.col("doc").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"))
     second = of.select(F.col("doc").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"))
     summed = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    stars = summed.join(first, "a").join(second, "b").where((F.col("ca") != F.col("cb")) & _close("na", "nb"))
-    stars = materialize(stars.groupBy("ca", "cb").agg(F.sum("n").alias("n")), "stars")
-    # the partner with the most entries in common is the likeliest link
-    best = stars.groupBy("cb").agg(F.max(F.struct("n", "ca")).alias("m")).select(F.col("m.ca").alias("a"), F.col("cb").alias("b"))
-    tried = materialize(best, "tried")
-    links = corpus.verified(tried)
+    stars = summed.join(first, "a").join(second, "b").where("ca <> cb")
+    stars = stars.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(
+        F.sum("n").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb")
+    )
+    stars = materialize(stars, "stars")
+    inside = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    one = sizes.groupBy("class").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n")).join(inside, "class")
+    one = materialize(one, "classes")
+    texts = _texts(keyed, one.select("class", "doc"))
+    sketches = texts.mapInArrow(_sketches, "class bigint, n bigint, sketch array<bigint>")
+    sketches = materialize(sketches, "sketches")
+
+    likely = materialize(_not_ruled_out(stars.where(_close("na", "nb")).select("a", "b", "n"), sketches), "likely")
+    links = _linked(likely, texts)
     labels = components(links)
 
     named = of.join(labels, of["class"] == labels["node"], "left").select(
@@ -359,29 +365,18 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     member = member.join(named, "doc").select("entry", "class", "n", "label").distinct()
     open_entries = member.groupBy("entry").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("entry")
     member = materialize(member.join(open_entries, "entry", "left_semi"), "open")
-    sketched = corpus.texts(member.select("class").distinct()).mapInArrow(_sketches, "class bigint, sketch array<bigint>")
-    member = materialize(member.join(sketched.dropDuplicates(["class"]), "class"), "sketched")
     x, y = member.alias("x"), member.alias("y")
-    apart = F.aggregate(
-        F.zip_with("x.sketch", "y.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v
-    )
-    shared = (F.col("x.n") + F.col("y.n")) * NUM
-    most = F.col("x.n") + F.col("y.n") - 2 * F.ceil(shared / (NUM + DEN))
     across = x.join(
         y,
         (F.col("x.entry") == F.col("y.entry"))
         & (F.col("x.label") != F.col("y.label"))
         & (F.col("x.class") < F.col("y.class"))
-        & _close("x.n", "y.n")
-        & (apart <= most),
+        & _close("x.n", "y.n"),
     ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    label = named.select("class", "label").distinct()
-    la = label.select(F.col("class").alias("ca"), F.col("label").alias("l1"))
-    lb = label.select(F.col("class").alias("cb"), F.col("label").alias("l2"))
-    stray = stars.join(la, "ca").join(lb, "cb").where("l1 <> l2").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = across.unionByName(stray).distinct().join(known, ["a", "b"], "left_anti")
-    more = corpus.verified(materialize(rest, "rest"))
+    known = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = materialize(across.distinct(), "across")
+    rest = _not_ruled_out(rest.join(known, ["a", "b"], "left_anti"), sketches)
+    more = _linked(materialize(rest, "rest"), texts)
     labels = components(links.unionByName(more))
     return sizes.join(labels, sizes["class"] == labels["node"], "left").select(
         F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"),
