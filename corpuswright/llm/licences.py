@@ -98,23 +98,36 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "body", "line", words_of(F.col("_t")).alias("words"))
 
 
+def log_probability(logits: str, logit: Column, temperature: float) -> Column:
+    """Logarithm of the softmax share of one of the logits."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda t, z: t + F.exp((z - top) / F.lit(temperature)))
+    return (logit - top) / F.lit(temperature) - F.log(total)
+
+
 class LicenceModel:
     """Bounded tables ``weights`` (gram, family, weight) and ``templates`` (family, template, gram, of); ``bias`` by family."""
 
     def __init__(self, weights: DataFrame | None, bias: list[tuple[str, float]], templates: DataFrame, marks: list[str], temperature: float):
         self.weights, self.bias, self.templates, self.marks, self.temperature = weights, bias, templates, marks, temperature
 
-    def scores(self, lines: DataFrame) -> DataFrame:
-        """``p`` of every family for the ``key`` of every row of ``lines`` (``key``, ``words``)."""
+    def logits(self, lines: DataFrame) -> DataFrame:
+        """``key`` and ``logits`` (an array in the order of ``bias``) of every row of ``lines`` (``key``, ``words``)."""
         grams = lines.select("key", F.explode(n_grams("words")).alias("gram"))
         sums = grams.join(F.broadcast(self.weights), "gram").groupBy("key", "family").agg(F.sum("weight").alias("z"))
         maps = sums.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("family", "z"))).alias("zs"))
-        rows = lines.select("key").join(maps, "key", "left")
-        logit = lambda family, bias: (F.coalesce(F.element_at("zs", F.lit(family)), F.lit(0.0)) + bias) / F.lit(self.temperature)
-        logits = F.array(*[F.struct(F.lit(f).alias("family"), logit(f, b).alias("z")) for f, b in self.bias])
-        rows = rows.select("key", logits.alias("l")).withColumn("m", F.array_max(F.transform("l", lambda x: x["z"])))
-        total = F.aggregate("l", F.lit(0.0), lambda t, x: t + F.exp(x["z"] - F.col("m")))
-        return rows.withColumn("s", total).select("key", F.inline(F.transform("l", lambda x: F.struct(x["family"].alias("family"), (F.exp(x["z"] - F.col("m")) / F.col("s")).alias("p")))))
+        logit = [F.coalesce(F.element_at("zs", F.lit(f)), F.lit(0.0)) + b for f, b in self.bias]
+        return lines.select("key").join(maps, "key", "left").select("key", F.array(*logit).alias("logits"))
+
+    def best(self, lines: DataFrame) -> DataFrame:
+        """``key``, likeliest ``family`` and its calibrated probability ``p``."""
+        rows = self.logits(lines).withColumn("top", F.array_max("logits"))
+        families = F.array(*[F.lit(f) for f, _ in self.bias])
+        return rows.select(
+            "key",
+            F.element_at(families, F.array_position("logits", F.col("top")).cast("int")).alias("family"),
+            F.exp(log_probability("logits", F.col("top"), self.temperature)).alias("p"),
+        )
 
     def confirmed(self, lines: DataFrame) -> DataFrame:
         """``key``, ``family``, ``share``: largest share of a template of the family that each line holds."""
@@ -167,7 +180,7 @@ def train(docs: DataFrame, seed: int = 5) -> LicenceModel:
 
     counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, binary=True)
     fitted = counter.fit(rows.where(F.col("family") != UNKNOWN).repartition(1))
-    regression = LogisticRegression(family="multinomial", maxIter=60, regParam=0.002, elasticNetParam=0.5, standardization=False)
+    regression = LogisticRegression(family="multinomial", maxIter=40, regParam=0.0003, elasticNetParam=0.5, standardization=False)
     model = regression.fit(fitted.transform(rows.where("NOT held")).select("label", "features"))
     matrix = model.coefficientMatrix.toArray()
     values = [
@@ -186,14 +199,12 @@ def train(docs: DataFrame, seed: int = 5) -> LicenceModel:
     marks = sorted(set(singles) - common)
 
     best = LicenceModel(weights, bias, templates, marks, 1.0)
-    tried = materialize(rows.where("held").select("family", "grams").withColumn("key", F.monotonically_increasing_id()), "held")
-    losses = {}
-    for t in TEMPERATURES:
-        best.temperature = t
-        p = best.scores(tried.select("key", F.col("grams").alias("words")))
-        truth = tried.select("key", "family")
-        losses[t] = p.join(truth, ["key", "family"]).agg(F.avg(-F.log(F.greatest("p", F.lit(1e-12))))).first()[0] or 0.0
-    best.temperature = min(losses, key=losses.get)
+    tried = materialize(rows.where("held").select("label", "grams").withColumn("key", F.monotonically_increasing_id()), "held")
+    rated = best.logits(tried.select("key", F.col("grams").alias("words"))).join(tried.select("key", "label"), "key")
+    true = F.element_at("logits", F.col("label").cast("int") + 1)
+    losses = rated.agg(*[F.avg(-log_probability("logits", true, t)).alias(str(i)) for i, t in enumerate(TEMPERATURES)]).first()
+    if losses[0] is not None:
+        best.temperature = min(zip(losses, TEMPERATURES, strict=True))[1]
     return best
 
 
@@ -209,8 +220,7 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     lines = lines_of(docs).where(F.exists("words", lambda w: F.regexp_replace(w, r"[.]+$", "").isin(model.marks)))
     lines = lines.select(F.struct("doc_id", "body", "line").alias("key"), "words").distinct()
     lines = materialize(lines, "licence_lines")
-    top = model.scores(lines).groupBy("key").agg(F.max(F.struct("p", "family")).alias("best"))
-    named = top.select("key", F.col("best.family").alias("family"), F.col("best.p").alias("p"))
+    named = model.best(lines)
     sure = named.where((F.col("family") != UNKNOWN) & (F.col("p") >= LEAST)).join(model.confirmed(lines), ["key", "family"])
     sure = sure.where(F.col("share") >= CONFIRM)
     found = sure.groupBy("key.doc_id", "key.body").agg(
