@@ -61,6 +61,8 @@ COMMON_KEEP, COMMON_REJECT = 0.04, 0.005
 #: Common words say something only where letters are mostly Latin.
 LATIN_SHARE = 0.5
 N_RULES = len(RULES) + 2
+#: What a rule is taken to be worth at least: it rejects no more than this share of the good documents.
+FALSE_ALARMS = 0.02
 
 
 def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -181,30 +183,37 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.
     """Posterior probability of being good for each vote pattern.
 
     ``patterns`` holds votes (-1, 0, 1), ``counts`` how many documents have them.
-    Each rule has its own vote probabilities on good and on bad documents. At
-    the start good documents are hardly ever rejected, and bad ones by a quarter
-    of the rules, since most faults show in one rule only. A few made-up votes of
-    that kind stay in the counts, so an unused rule is harmless and the classes
-    cannot change places.
+    A document is good or has one kind of fault, and there is a kind for each
+    rule, which that rule should see and the others may. An abstention says
+    nothing. The vote probabilities of every rule in every class and the classes' shares are estimated together.
+    A few made-up votes of the expected kind stay in the counts, so an unused
+    rule is harmless, and no rule rejects more than ``FALSE_ALARMS`` of the good
+    documents, so the classes cannot change places.
     """
-    seen = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)
-    prior = np.array([[0.25, 0.15, 0.60], [0.005, 0.095, 0.90]])  # bad, good
-    chance = np.repeat(prior[:, None, :], patterns.shape[1], axis=1)
-    share = np.array([0.5, 0.5])
+    n = patterns.shape[1]
+    seen = np.stack([patterns == v for v in (-1, 1)], axis=-1).astype(float)
+    prior = np.tile([0.05, 0.95], (n + 1, n, 1))
+    prior[0] = [0.005, 0.995]
+    for rule in range(n):
+        prior[rule + 1, rule] = [0.95, 0.05]
+    chance = prior.copy()
+    share = np.r_[0.8, np.full(n, 0.2 / n)]
+    start = 10 * share
     good = np.zeros(len(patterns))
     for _ in range(rounds):
-        logs = np.stack([np.log(share[y]) + (seen * np.log(chance[y])).sum(axis=(1, 2)) for y in (0, 1)], axis=1)
+        logs = np.log(share)[None, :] + np.einsum("prv,yrv->py", seen, np.log(chance))
         logs -= logs.max(axis=1, keepdims=True)
         weight = np.exp(logs)
         weight /= weight.sum(axis=1, keepdims=True)
-        moved = np.abs(weight[:, 1] - good).max(initial=0.0)
-        good = weight[:, 1]
+        moved = np.abs(weight[:, 0] - good).max(initial=0.0)
+        good = weight[:, 0]
         if moved < 1e-9:
             break
-        for y in (0, 1):
-            mass = (seen * (weight[:, y] * counts)[:, None, None]).sum(axis=0) + 10 * prior[y]
-            chance[y] = mass / mass.sum(axis=1, keepdims=True)
-        total = np.array([(weight[:, y] * counts).sum() for y in (0, 1)]) + [1.5, 8.5]
+        mass = np.einsum("py,prv->yrv", weight * counts[:, None], seen) + 10 * prior
+        chance = mass / mass.sum(axis=2, keepdims=True)
+        over = np.maximum(chance[0, :, 0] - FALSE_ALARMS, 0)
+        chance[0] += np.stack([-over, over], axis=1)
+        total = (weight * counts[:, None]).sum(axis=0) + start
         share = total / total.sum()
     return good
 
