@@ -70,11 +70,11 @@ OTHER = (
     "A driving license is required to rent a car.",
     "The city may license new shops after a public hearing.",
     "All rights reserved by the author of this public work.",
-    "The software version was released under a general agreement.",
+    "The software version was agreed upon in general terms.",
 )
 #: Documents whose lines stand for the unknown class in training, those with the smallest hash of their id.
 SAMPLE = 2000
-#: Most n-grams of the vocabulary; a word in more than this share of sampled lines does not make a line worth scoring.
+#: Most n-grams of the vocabulary; a word in more than this share of the sampled lines without licence does not make a line worth scoring.
 VOCABULARY, COMMON = 4096, 0.01
 #: Share of a template's 2-grams a line must hold to confirm it, and the least probability.
 CONFIRM, LEAST = 0.6, 0.5
@@ -168,7 +168,8 @@ def train(docs: DataFrame, seed: int = 5) -> LicenceModel:
     sampled = materialize(lines_of(sampled).where(F.size("words") > 0).withColumn("key", F.struct("doc_id", "body", "line")), "sampled")
     empty = LicenceModel(None, [], templates, [], 1.0)
     licensed = empty.confirmed(sampled).where(F.col("share") >= CONFIRM).select("key").distinct()
-    plain = sampled.join(licensed, "key", "left_anti").select(F.lit(UNKNOWN).alias("family"), F.slice("words", F.lit(1), F.lit(200)).alias("words"))
+    free = materialize(sampled.join(licensed, "key", "left_anti"), "free")
+    plain = free.select(F.lit(UNKNOWN).alias("family"), F.slice("words", F.lit(1), F.lit(200)).alias("words"))
     other = spark.createDataFrame([(t,) for t in OTHER], "text string").join(F.broadcast(forms)).select(
         F.lit(UNKNOWN).alias("family"), words_of(F.col("text")).alias("words")
     )
@@ -193,8 +194,8 @@ def train(docs: DataFrame, seed: int = 5) -> LicenceModel:
     weights = spark.createDataFrame(values, "gram string, family string, weight double")
 
     singles = [g for g in fitted.vocabulary if " " not in g]
-    total = max(sampled.count(), 1)
-    seen = sampled.select("key", F.explode(F.array_distinct("words")).alias("w")).where(F.col("w").isin(singles))
+    total = max(free.count(), 1)
+    seen = free.select("key", F.explode(F.array_distinct("words")).alias("w")).where(F.col("w").isin(singles))
     common = {r[0] for r in seen.groupBy("w").count().where(F.col("count") > COMMON * total).collect()}
     marks = sorted(set(singles) - common)
 
