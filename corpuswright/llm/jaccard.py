@@ -39,6 +39,9 @@ FLUSH = 400_000
 #: Longs of the parity sketch that rules pairs out before their texts are read.
 SKETCH = 32
 
+#: Classes of a group that one task compares with as many others, and how many of them at once.
+BLOCK, STRIP = 2048, 16
+
 _DOC, _LOCAL_PAIR, _LOCAL_GROUP = 0, 1, 2
 _TYPES = {_DOC: (np.uint32, np.int64), _LOCAL_PAIR: (np.int64, np.int64, np.int64), _LOCAL_GROUP: (np.int64, np.int64)}
 
@@ -324,6 +327,79 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(_verify, "a bigint, b bigint"), "links")
 
 
+def _open_groups(member: DataFrame, stars: DataFrame, named: DataFrame) -> DataFrame:
+    """``level``, ``group``, ``class``, ``n``, ``label``: groups that hold every candidate pair with two labels.
+
+    A group is one index entry, or all that star pairs connect when comparing
+    those with one another costs less than going through their entries.
+    """
+    label = named.select("class", "n", "label").distinct()
+    reach = components(stars).withColumnRenamed("label", "whole")
+    reach = materialize(reach.join(label, reach["node"] == label["class"]).drop("node"), "reach")
+    wholes = reach.groupBy("whole").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    entry = member.join(reach.select("class", "whole"), "class").groupBy("entry").agg(
+        F.min("whole").alias("whole"), F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")
+    )
+    entry = materialize(entry.where("x <> y").select("entry", "whole", "m"), "entries")
+    cost = entry.groupBy("whole").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
+    plan = wholes.join(cost, "whole").select("whole", (F.col("m") * F.col("m") <= F.col("cost")).alias("dense"))
+    plan = materialize(plan, "plan")
+    dense = reach.join(plan.where("dense"), "whole").select(F.lit(1).alias("level"), F.col("whole").alias("group"), "class", "n", "label")
+    sparse = entry.join(plan.where("NOT dense"), "whole").select("entry")
+    sparse = member.join(sparse, "entry").select(F.lit(0).alias("level"), F.col("entry").alias("group"), "class", "n", "label")
+    return dense.unionByName(sparse)
+
+
+def _compare_blocks(batches):
+    """Pairs of a task's groups whose labels differ and that neither sizes nor sketches rule out."""
+    keys, blocks, kinds, sizes, labels, inner, cells = [], [], [], [], [], [], []
+    for batch in batches:
+        keys.append(batch.column(0).to_numpy())
+        blocks.append(batch.column(1).to_numpy())
+        kinds.append(batch.column(2).to_numpy())
+        sizes.append(batch.column(3).to_numpy())
+        labels.append(batch.column(4).to_numpy())
+        inner.append(batch.column(5).to_numpy(zero_copy_only=False))
+        cells.append(batch.column(6).flatten().to_numpy().reshape(-1, SKETCH).view(np.uint64))
+    if not keys:
+        return
+    key, block, kind, n, label, within, cell = map(np.concatenate, (keys, blocks, kinds, sizes, labels, inner, cells))
+    order = np.lexsort((kind, block, key))
+    starts = np.flatnonzero(ws.firsts(key[order]))
+    for first, last in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+        rows = order[first:last]
+        one = within[rows[0]]
+        low = rows if one else rows[block[rows] == block[rows[0]]]
+        high = rows[block[rows] != block[rows[0]]]
+        for at in range(0, len(low), STRIP):
+            x = low[at : at + STRIP]
+            # within one block every pair once, across two blocks all
+            y = low[at:] if one else high
+            total = n[x][:, None] + n[y][None, :]
+            most = total - 2 * -(-NUM * total // (NUM + DEN))
+            fits = (label[x][:, None] != label[y][None, :]) & (np.minimum(n[x][:, None], n[y]) * DEN >= np.maximum(n[x][:, None], n[y]) * NUM)
+            if not fits.any():
+                continue
+            apart = np.bitwise_count(cell[x][:, None, :] ^ cell[y][None, :, :]).sum(axis=2, dtype=np.int64)
+            i, j = np.nonzero(fits & (apart <= most))
+            a, b = kind[x[i]], kind[y[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _compare(groups: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Candidate pairs ``a``, ``b`` with two labels in ``groups``; larger groups are split into pairs of blocks."""
+    many = groups.groupBy("level", "group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = groups.join(materialize(many, "blocks"), ["level", "group"])
+    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.withColumn("own", own).withColumn("other", other)
+    key = F.xxhash64("level", "group", F.least("own", "other"), F.greatest("own", "other"))
+    inner = (F.col("own") == F.col("other")).alias("inner")
+    rows = rows.select(key.alias("key"), "own", "class", "n", "label", inner).join(sketches.select("class", "sketch"), "class")
+    rows = rows.select("key", "own", "class", "n", "label", "inner", "sketch").repartition(blobs.partitions(groups), "key")
+    return rows.mapInArrow(_compare_blocks, "a bigint, b bigint")
+
+
 def similar_classes(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``body`` (hash of the text), ``n_shingles``, ``class``, ``label`` (class of the component's classes) of every row of ``docs``.
 
@@ -363,19 +439,9 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     named = materialize(named, "named")
     member = found.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("doc")).distinct()
     member = member.join(named, "doc").select("entry", "class", "n", "label").distinct()
-    open_entries = member.groupBy("entry").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("entry")
-    member = materialize(member.join(open_entries, "entry", "left_semi"), "open")
-    x, y = member.alias("x"), member.alias("y")
-    across = x.join(
-        y,
-        (F.col("x.entry") == F.col("y.entry"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (F.col("x.class") < F.col("y.class"))
-        & _close("x.n", "y.n"),
-    ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    groups = materialize(_open_groups(member, stars, named), "open")
     known = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(across.distinct(), "across")
-    rest = _not_ruled_out(rest.join(known, ["a", "b"], "left_anti"), sketches)
+    rest = _compare(groups, sketches).distinct().join(known, ["a", "b"], "left_anti")
     more = _linked(materialize(rest, "rest"), texts)
     labels = components(links.unionByName(more))
     return sizes.join(labels, sizes["class"] == labels["node"], "left").select(
