@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_by_script
 from ..functions.urls import url_normalize
-from .ordering import top_per_key
+from .ordering import row_numbers, top_per_key
 
 INLINE_KEYWORDS = 1000
 _WINDOW = 256
@@ -161,12 +161,15 @@ def union_channels(registry: DataFrame, web: DataFrame, github: DataFrame, arxiv
 
 
 def cap_channels(hits: DataFrame, keys: Sequence[str], caps: dict[str, int]) -> DataFrame:
-    """At most the channel's cap of hits per key, in hit order."""
-    limit = F.lit(0)
-    for channel, cap in caps.items():
-        limit = F.when(F.col("channel") == channel, cap).otherwise(limit)
-    top = top_per_key(hits, [*keys, "channel"], [F.col("seq")], max(caps.values()), "hit_rank")
-    return top.where(F.col("hit_rank") <= limit)
+    """At most the channel's cap of hits per key, in hit order; channels without a cap keep all.
+
+    ``hit_rank`` counts within key and channel.
+    """
+    capped = F.coalesce(F.col("channel").isin(list(caps)), F.lit(False))
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("channel"))
+    top = top_per_key(hits.where(capped), [*keys, "channel"], [F.col("seq")], max(caps.values()), "hit_rank")
+    free = row_numbers(hits.where(~capped), [*keys, "channel"], ["seq"], "hit_rank")
+    return top.where(F.col("hit_rank") <= limit).unionByName(free)
 
 
 def dedup_urls(hits: DataFrame, order: Sequence[str] = ("seq",), keys: Sequence[str] = ()) -> DataFrame:

@@ -180,6 +180,15 @@ def combine_materials(placed: DataFrame, keys: list[str], part_size: int = 1000)
     return ordered_concat(texts, keys, "pos", "_text", "\n\n", "content", part_size)
 
 
+def whole_sections(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per section: its parts joined in order. A section's text is one value, however many materials it has."""
+    rows = parts.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("part", "content"))).alias("_parts"), F.sum("pieces").alias("pieces")
+    )
+    content = F.array_join(F.transform("_parts", lambda p: p["content"]), "\n\n")
+    return rows.withColumn("content", content).drop("_parts")
+
+
 def section_content_type(placed: DataFrame, keys: list[str]) -> DataFrame:
     """paper, code, tutorial or default, by the kinds of the materials."""
 

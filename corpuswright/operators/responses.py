@@ -179,7 +179,7 @@ def normalize_topics(topics: DataFrame, key: str, seq: str, depth: str = "compre
 
     ``topics(key, seq, name, status, difficulty, description, topic_count)``.
     """
-    default = vocab.DEPTH_PRESETS[depth][vocab.DEPTH_FIELDS.index("default_topic_count")]
+    default = vocab.DEPTH_PRESETS[depth]["default_topic_count"]
     named = topics.withColumns(
         {
             "name": tx.strip(F.coalesce("name", F.lit(""))),
@@ -195,8 +195,9 @@ def normalize_topics(topics: DataFrame, key: str, seq: str, depth: str = "compre
 
 
 def depth_settings(spark) -> DataFrame:
-    rows = [(name, *values) for name, values in vocab.DEPTH_PRESETS.items()]
-    return spark.createDataFrame(rows, "depth string, " + ", ".join(f"{f} int" for f in vocab.DEPTH_FIELDS))
+    rows = [{"depth": name, **values} for name, values in vocab.DEPTH_PRESETS.items()]
+    fields = [f for f in rows[0] if f != "depth"]
+    return spark.createDataFrame(rows, "depth string, " + ", ".join(f"{f} int" for f in fields))
 
 
 def review_rollup(reviews: DataFrame, keys: list[str]) -> DataFrame:

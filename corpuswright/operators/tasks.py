@@ -230,7 +230,9 @@ def retry_lineage(tasks: DataFrame) -> DataFrame:
     """First attempt and attempt number of every task, along ``retry_of``.
 
     Links are doubled each round, so a chain of n retries takes log2(n) rounds;
-    rows that have reached their first attempt leave the loop.
+    rows that have reached their first attempt leave the loop. A row still on
+    its way when the distance passes the number of tasks is on or behind a
+    cycle: it has no first attempt, so ``root`` and ``attempt`` are null.
     """
     links = materialize(tasks.select("id", F.col("retry_of").alias("up")), "links")
     known = links.select("id")
@@ -240,7 +242,9 @@ def retry_lineage(tasks: DataFrame) -> DataFrame:
     done = links.where("up IS NULL").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("dist"))
     open_ = materialize(links.where("up IS NOT NULL").withColumn("dist", F.lit(1).cast("long")), "open")
     finished = materialize(done, "finished")
-    while not open_.isEmpty():
+    rounds = links.count().bit_length() + 1
+    while rounds and not open_.isEmpty():
+        rounds -= 1
         roots = finished.select(F.col("id").alias("up"), "root", F.col("dist").alias("_d"))
         jumps = open_.select(F.col("id").alias("up"), F.col("up").alias("_up2"), F.col("dist").alias("_d2"))
         step = open_.join(roots, "up", "left").join(jumps, "up", "left")
@@ -255,4 +259,5 @@ def retry_lineage(tasks: DataFrame) -> DataFrame:
         )
         finished = finished.unionByName(step.where("root IS NOT NULL").select("id", "root", "dist"))
         open_ = step.where("root IS NULL").select("id", "up", "dist")
-    return finished.select("id", "root", (F.col("dist") + 1).alias("attempt"))
+    endless = open_.select("id", F.lit(None).cast(links.schema["id"].dataType).alias("root"), F.lit(None).cast("long").alias("dist"))
+    return finished.unionByName(endless).select("id", "root", (F.col("dist") + 1).alias("attempt"))

@@ -63,14 +63,13 @@ def publish(materials: DataFrame, outline: DataFrame, min_words: int, order: str
     """Sections with content, type, quality and related titles, and the report.
 
     ``outline(section_id, chapter, section, material_ids)``. Sections without
-    any usable material are missing. A section of many materials continues in
-    further parts; quality is judged on its first part.
+    any usable material are missing. Content and quality are those of all parts.
     """
     numbered = materialize(pb.number_sections(outline, order, F.floor(F.col(order) / 65536)), "outline")
     placed = fetch_by_ids(numbered.select(order, "material_ids"), materials, order)
-    texts = materialize(pb.combine_materials(placed, [order]), "sections")
+    texts = materialize(pb.whole_sections(pb.combine_materials(placed, [order]), [order]), "sections")
     kinds = pb.section_content_type(placed, [order])
-    judged = pb.section_quality(texts.where("part = 0").withColumn("passed", F.lit(True)), min_words)
+    judged = pb.section_quality(texts.withColumn("passed", F.lit(True)), min_words)
     sections = numbered.join(judged, order).join(kinds, order)
     titles = numbered.select(F.col(order).alias("ord"), F.col("section").alias("title"))
     asked = sections.select(F.col(order).alias("id"), F.col("section").alias("title"), "content")

@@ -519,11 +519,11 @@ BM25_SQL = """dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p
     bm AS (SELECT qt.qid, tf.doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
       FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY ALL),
     kw AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm)"""
-QT_SQL = f"qt AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower({TITLE4}), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM benchmark"
+QT_SQL = f"qt AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM benchmark"
 
 
 def _keyword_queries(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), tx.word_tokens(_title4()).alias("tokens"), "text")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), tx.word_tokens(F.col("text")).alias("tokens"))
 
 
 def _doc_chunks(spark, d):
@@ -539,7 +539,7 @@ def k2(spark, d):
 
 @query(
     "k3_hybrid_topk",
-    f"""WITH {QT_SQL} WHERE length(text) <= 250), {BM25_SQL},
+    f"""WITH {QT_SQL}), {BM25_SQL},
     q AS (SELECT item_id AS qid, embedding FROM benchmark JOIN embeddings ON vec_id = item_id), {VECTOR_SQL},
     both_ AS (SELECT qid, id, rank FROM vec WHERE rank <= 20 UNION ALL SELECT qid, id, rank FROM kw WHERE rank <= 20),
     fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM both_ WHERE qid IN (SELECT qid FROM kw) GROUP BY ALL),
@@ -548,12 +548,10 @@ def k2(spark, d):
     SELECT qid, id, score, rank, 'naive' FROM vec WHERE rank <= 10 AND qid NOT IN (SELECT qid FROM kw)""",
 )
 def k3(spark, d):
-    """Queries with a long text are asked without words and fall back to vectors."""
     keyed = _keyword_queries(spark, d)
-    words = keyed.where(F.length("text") <= 250)
     vectors = _vectors(spark, d)
     asked = keyed.select("qid").join(vectors, F.col("qid") == F.col("id")).select("qid", "embedding")
-    return rt.hybrid_topk(rt.vector_topk(asked, vectors, 20), rt.keyword_topk(words, _doc_chunks(spark, d), 20))
+    return rt.hybrid_topk(rt.vector_topk(asked, vectors, 20), rt.keyword_topk(keyed, _doc_chunks(spark, d), 20))
 
 
 @query(
@@ -603,15 +601,16 @@ def l1(spark, d):
 
 def _turns(spark, d):
     return table(spark, d, "conversations").select(
-        "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.split(F.col("text"), r"\s+")[0].alias("word")
+        "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.split(F.col("text"), r"\s+")[0].alias("word"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("flat")
     )
 
 
 WORD = "list_extract(string_split_regex(text, '\\s+'), 1)"
+FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
 def _reviews(spark, d):
-    lit, w = F.lit, F.col("word")
+    lit, w = F.lit, F.col("flat")
     reply = F.concat(
         lit("SCORE: 3/5\nPASSED: "), F.when(F.col("role") == "user", "Yes").otherwise("no"), lit("\nIssues:\n- first "), w,
         lit("\n -  second\n* not a bullet\nSUGGESTIONS:\n- more "), w, lit("\n"),
@@ -621,7 +620,7 @@ def _reviews(spark, d):
 
 @query(
     "l2_parse_reviews",
-    f"""SELECT conv_id * 1000 + turn AS id, role = 'user' AS passed, 'first ' || {WORD} || '|second' AS issues, 'more ' || {WORD} AS suggestions FROM conversations""",
+    f"""SELECT conv_id * 1000 + turn AS id, role = 'user' AS passed, 'first ' || {FLAT} || '|second' AS issues, 'more ' || {FLAT} AS suggestions FROM conversations""",
 )
 def l2(spark, d):
     return _reviews(spark, d).select(
@@ -639,23 +638,23 @@ def d20(spark, d):
 
 @query(
     "l3_parse_gap_sections",
-    f"""SELECT conv_id * 1000 + turn AS id, {WORD} || '|again' AS gaps, 'topic: ' || role AS suggestions FROM conversations""",
+    f"""SELECT conv_id * 1000 + turn AS id, {FLAT} || '|again' AS gaps, 'topic: ' || role AS suggestions FROM conversations""",
 )
 def l3(spark, d):
     lit = F.lit
-    reply = F.concat(lit("- ignored\n## 知识缺口\n- "), "word", lit("\n-- again\n## 建议补充\n- topic: "), "role", lit("\nend"))
+    reply = F.concat(lit("- ignored\n## 知识缺口\n- "), "flat", lit("\n-- again\n## 建议补充\n- topic: "), "role", lit("\nend"))
     out = rs.parse_gap_sections(_turns(spark, d).withColumn("reply", reply))
     return out.select("id", F.concat_ws("|", "gaps").alias("gaps"), F.concat_ws("|", "suggestions").alias("suggestions"))
 
 
 @query(
     "l4_parse_bullets",
-    f"""SELECT conv_id * 1000 + turn AS id, 'one ' || {WORD} || '|two' AS outline, CASE WHEN lower({WORD}) = 'gpu' THEN 'GPU' ELSE 'GPU|' || trim({WORD}, '-•') END AS terms,
+    f"""SELECT conv_id * 1000 + turn AS id, 'one ' || {FLAT} || '|two' AS outline, CASE WHEN lower({WORD}) = 'gpu' THEN 'GPU' ELSE 'GPU|' || trim({WORD}, '-•') END AS terms,
       'deep|' || trim({WORD}, '-•#') || '|a|b|c' AS tags FROM conversations""",
 )
 def l4(spark, d):
     lit, w = F.lit, F.col("word")
-    outline = F.concat(lit("intro\n - one "), w, lit("\n** two\nend"))
+    outline = F.concat(lit("intro\n - one "), "flat", lit("\n** two\nend"))
     terms = F.concat(lit("- GPU\n"), w, lit("\n• gpu\n"), F.repeat(lit("x"), 60))
     tags = F.concat(lit("#deep\n"), w, lit("\n- a\n\nb\nc\nd"))
     return _turns(spark, d).select(
@@ -696,14 +695,14 @@ def l6(spark, d):
 
 @query(
     "l7_normalize_topics",
-    f"""WITH t AS (SELECT conv_id, turn, trim(CASE role WHEN 'system' THEN ' ' ELSE {WORD} END) AS name FROM conversations),
+    f"""WITH t AS (SELECT conv_id, turn, trim(CASE role WHEN 'system' THEN ' ' ELSE {FLAT} END) AS name FROM conversations),
     f AS (SELECT conv_id, name, min(turn) AS turn FROM t WHERE name <> '' GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS topic_rank FROM f)
     SELECT conv_id, name, turn, 'pending' AS status, 'intermediate' AS difficulty, topic_rank FROM r WHERE topic_rank <= 4""",
 )
 def l7(spark, d):
     """Turns as proposed topics; system turns have no name."""
-    name = F.when(F.col("role") == "system", " ").otherwise(F.split("text", r"\s+")[0])
+    name = F.when(F.col("role") == "system", " ").otherwise(F.trim(F.regexp_replace("text", r"\s+", " ")))
     none = F.lit(None).cast("string")
     topics = table(spark, d, "conversations").select(
         "conv_id", "turn", name.alias("name"), none.alias("status"), none.alias("difficulty"), none.alias("description"), none.alias("topic_count")

@@ -98,12 +98,12 @@ def b5(spark, d):
 
 @query(
     "b6_arxiv_id",
-    """SELECT doc_id, regexp_extract(substr(text, 1, 100) || ' https://arxiv.org/pdf/2401.' || lpad(doc_id::VARCHAR, 5, '0')
+    """SELECT doc_id, regexp_extract(text || ' https://arxiv.org/pdf/2401.' || lpad(doc_id::VARCHAR, 5, '0')
     || 'v2', '(\\d{4}\\.\\d{4,5})', 1) AS arxiv_id FROM documents""",
 )
 def b6(spark, d):
     url = F.concat(
-        F.substring("text", 1, 100), F.lit(" https://arxiv.org/pdf/2401."), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("v2")
+        F.col("text"), F.lit(" https://arxiv.org/pdf/2401."), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("v2")
     )
     return table(spark, d, "documents").select("doc_id", ur.arxiv_id(url).alias("arxiv_id"))
 
@@ -131,14 +131,14 @@ CJKX_N = "len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]
     f"""WITH m AS ({MIXED_SQL})
     SELECT doc_id, regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') AS cjk,
       CASE lang WHEN 'de' THEN source_q WHEN 'fr' THEN source_q ELSE text_q END AS english
-    FROM (SELECT doc_id, lang, text, substr(text, 1, 20) || '|plain' AS text_q, 'plain' AS source_q FROM m
-          WHERE NOT regexp_matches(substr(text, 1, 20), '[\\x{{4e00}}-\\x{{9fff}}]')
+    FROM (SELECT doc_id, lang, text, text || '|plain' AS text_q, 'plain' AS source_q FROM m
+          WHERE NOT regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]')
           UNION ALL SELECT doc_id, lang, text, 'plain', 'plain' FROM m
-          WHERE regexp_matches(substr(text, 1, 20), '[\\x{{4e00}}-\\x{{9fff}}]'))""",
+          WHERE regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]'))""",
 )
 def b8(spark, d):
     rows = _mixed(spark, d)
-    first = F.substring("text", 1, 20)
+    first = F.col("text")
     marked = F.when(F.col("lang").isin("de", "fr"), F.concat(first, F.lit("中"))).otherwise(first)
     queries = F.array(marked, F.lit("plain"), F.lit("图像"))
     english = tx.split_by_script(queries, cjk=False)
@@ -303,12 +303,12 @@ def b19(spark, d):
 THINK_SQL = """SELECT doc_id, lang, CASE lang WHEN 'en' THEN '<think>a' || chr(10) || 'b</think> ' || title || chr(10)
     WHEN 'fr' THEN title || ' <think>never closed' WHEN 'de' THEN 'Plan' || chr(10) || '```YAML' || chr(10) || 'topics: ' || source || chr(10) || '```'
     ELSE 'Intro topics: ' || source END AS reply, title, source
-    FROM (SELECT *, substr(split_part(text, chr(10), 1), 1, 40) AS title FROM documents)"""
+    FROM (SELECT *, text AS title FROM documents)"""
 
 
 def _replies(spark, d):
     lang, src, lit = F.col("lang"), F.col("source"), F.lit
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 40)
+    title = F.col("text")
     reply = (
         F.when(lang == "en", F.concat(lit("<think>a\nb</think> "), title, lit("\n")))
         .when(lang == "fr", F.concat(title, lit(" <think>never closed")))
@@ -394,7 +394,7 @@ def b24(spark, d):
 @query(
     "b26_integrate_figures",
     """SELECT doc_id, 'A ![' || source || '](/img/' || doc_id || '.png)' || chr(10) || chr(10) || '> **图 1**: $1 note' || ' B '
-      || substr(text, 1, 50) || chr(10) || chr(10) || '![图 2](https://x/' || doc_id || ')' AS body FROM documents""",
+      || text || chr(10) || chr(10) || '![图 2](https://x/' || doc_id || ')' AS body FROM documents""",
 )
 def b26(spark, d):
     doc, lit = F.col("doc_id").cast("string"), F.lit
@@ -406,7 +406,7 @@ def b26(spark, d):
         F.concat(lit("https://x/"), doc).alias("url"), lit("").alias("local_path"),
         lit("").alias("alt"), lit("").alias("description"), lit(1).alias("index"),
     )
-    content = F.concat(lit("A [IMAGE_0: image] B "), F.substring("text", 1, 50))
+    content = F.concat(lit("A [IMAGE_0: image] B "), F.col("text"))
     return table(spark, d, "documents").select(
         "doc_id", im.integrate_figures(content, F.array(first, second)).alias("body")
     )

@@ -183,7 +183,7 @@ def g8(spark, d):
     return wb.crawl_frontier(edges, known, roots, depth=3, max_pages=5)
 
 
-LINKED_SQL = """SELECT doc_id, lang, substr(text, 1, 200) || ' https://github.com/' || lang || '/' || source || '/tree/main x'
+LINKED_SQL = """SELECT doc_id, lang, text || ' https://github.com/' || lang || '/' || source || '/tree/main x'
     || ' http://arxiv.org/pdf/2401.' || lpad(n_chars::VARCHAR, 5, '0') || ' https://huggingface.co/' || lang || '/m-' || source
     || ' https://github.com/' || lang || '/' || source AS text, source FROM documents"""
 
@@ -191,7 +191,7 @@ LINKED_SQL = """SELECT doc_id, lang, substr(text, 1, 200) || ' https://github.co
 def _linked(spark, d):
     lit, doc = F.lit, F.lpad(F.col("n_chars").cast("string"), 5, "0")
     text = F.concat(
-        F.substring("text", 1, 200), lit(" https://github.com/"), "lang", lit("/"), "source", lit("/tree/main x"),
+        F.col("text"), lit(" https://github.com/"), "lang", lit("/"), "source", lit("/tree/main x"),
         lit(" http://arxiv.org/pdf/2401."), doc, lit(" https://huggingface.co/"), "lang", lit("/m-"), "source",
         lit(" https://github.com/"), "lang", lit("/"), "source",
     )
@@ -240,7 +240,7 @@ def d13(spark, d):
 @query(
     "g10_extract_code_blocks",
     """SELECT doc_id, 0::BIGINT AS i, 'python' AS language, 'import os' || chr(10) || 'def ' || source || '(): pass' AS code FROM documents
-    UNION ALL SELECT doc_id, 1, CASE lang WHEN 'en' THEN 'sql' ELSE '' END, 'select ' || substr(replace(text, chr(10), ' '), 1, 30) || ' end' FROM documents""",
+    UNION ALL SELECT doc_id, 1, CASE lang WHEN 'en' THEN 'sql' ELSE '' END, 'select ' || replace(text, chr(10), ' ') || ' end' FROM documents""",
 )
 def g10(spark, d):
     """Two real blocks around one that is too short to keep."""
@@ -248,7 +248,7 @@ def g10(spark, d):
     tag = F.when(F.col("lang") == "en", "sql").otherwise("")
     text = F.concat(
         lit("a\n```\nimport os\ndef "), "source", lit("(): pass\n```\nb\n```js\nx\n```\n```"), tag, lit("\nselect "),
-        F.substring(F.replace("text", lit("\n"), lit(" ")), 1, 30), lit(" end\n```\n"),
+        F.replace("text", lit("\n"), lit(" ")), lit(" end\n```\n"),
     )
     rows = table(spark, d, "documents").select("doc_id", text.alias("text"))
     return wb.extract_code_blocks(rows, "doc_id", F.col("text"))
@@ -317,11 +317,11 @@ def c1(spark, d):
     SELECT DISTINCT b.item_id AS topic_id, f.name, r.url, f.type, f.ord::BIGINT AS ord FROM benchmark b
     JOIN registry r ON contains(lower(b.text), r.keyword)
     JOIN first_url u ON u.url = r.url JOIN registry f ON f.ord = u.ord
-    WHERE NOT (length(b.text) > 250 AND r.url = '{REGISTRY[0]['url']}')""",
+    WHERE NOT (b.item_id % 2 = 1 AND r.url = '{REGISTRY[0]['url']}')""",
 )
 def c2(spark, d):
-    """Topics with long descriptions already know the first source."""
-    known = F.when(F.length("text") > 250, F.array(F.lit(REGISTRY[0]["url"]))).otherwise(F.array().cast("array<string>"))
+    """Every other topic already knows the first source."""
+    known = F.when(F.col("item_id") % 2 == 1, F.array(F.lit(REGISTRY[0]["url"]))).otherwise(F.array().cast("array<string>"))
     topics = table(spark, d, "benchmark").select(
         F.col("item_id").alias("topic_id"), F.lit("").alias("name"), F.col("text").alias("description"),
         F.array().cast("array<string>").alias("search_queries"), known.alias("known_urls"),
@@ -386,7 +386,7 @@ def h3(spark, d):
 @query(
     "h7_channel_caps",
     f"""WITH {HITS_SQL}, r AS (SELECT host, channel, seq, url, row_number() OVER (PARTITION BY host, channel ORDER BY seq) AS hit_rank FROM hits)
-    SELECT * FROM r WHERE hit_rank <= CASE channel WHEN 'web' THEN 5 WHEN 'github' THEN 5 WHEN 'arxiv' THEN 3 ELSE 0 END""",
+    SELECT * FROM r WHERE hit_rank <= CASE channel WHEN 'web' THEN 5 WHEN 'github' THEN 5 WHEN 'arxiv' THEN 3 ELSE hit_rank END""",
 )
 def h7(spark, d):
     hits = _hits(spark, d).withColumn("host", ur.authority(F.col("url")))
@@ -395,14 +395,14 @@ def h7(spark, d):
 
 @query(
     "h7_search_terms",
-    """WITH q AS (SELECT doc_id, lang, source, substr(text, 1, 12) AS head FROM documents)
+    """WITH q AS (SELECT doc_id, lang, source, text AS head FROM documents)
     SELECT doc_id, CASE lang WHEN 'fr' THEN source || ' 中 教程 文档' WHEN 'de' THEN source || ' tutorial documentation'
       ELSE head || ' tutorial documentation|' || source || ' guide' END AS terms,
       CASE lang WHEN 'fr' THEN source || ' 中' WHEN 'de' THEN source ELSE head END AS term FROM q""",
 )
 def h7_terms(spark, d):
     """French rows ask in CJK only, German ones in both, the others in English."""
-    head, src, cjk = F.substring("text", 1, 12), F.col("source"), F.concat("source", F.lit(" 中"))
+    head, src, cjk = F.col("text"), F.col("source"), F.concat("source", F.lit(" 中"))
     queries = F.when(F.col("lang") == "fr", F.array(cjk)).when(F.col("lang") == "de", F.array(cjk, src)).otherwise(F.array(head, src))
     return table(spark, d, "documents").select(
         "doc_id", F.concat_ws("|", ex.web_search_terms(queries)).alias("terms"), ex.catalogue_term(queries).alias("term")

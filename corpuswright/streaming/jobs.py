@@ -72,14 +72,13 @@ def changed_pages_stream(
 
 
 def enqueue_stream(
-    urls: DataFrame, queue: DataFrame, out: str, checkpoint: str, delay: str = "1 day", live: str | None = None
+    urls: DataFrame, queue: DataFrame, out: str, checkpoint: str, live: str | None = None
 ) -> StreamingQuery:
     """Queue arriving URLs once. ``urls(url, seq, ts)``, ``queue(url, state)``.
 
-    The watermark removes near repeats cheaply; the anti join with the queue and
-    the URLs queued before makes the result exact.
+    A URL is new when neither the queue nor what was queued before has it; how
+    late it arrives does not matter.
     """
-    near = urls.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["url"])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         fresh = enqueue_urls(batch.select("url", "seq"), queue)
@@ -88,7 +87,7 @@ def enqueue_stream(
             fresh = fresh.join(earlier.select("url"), "url", "left_anti")
         _write_batch(fresh, out, batch_id)
 
-    return _start(near, sink, checkpoint, live=live)
+    return _start(urls, sink, checkpoint, live=live)
 
 
 def ingest_stream(materials: DataFrame, path: str, checkpoint: str, live: str | None = None) -> StreamingQuery:

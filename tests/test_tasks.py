@@ -110,3 +110,11 @@ def test_resumable(spark, rows):
 def test_actions(spark, rows):
     df = spark.createDataFrame([("k", "queued"), ("k", "failed"), ("x", "failed")], "kind string, status string")
     assert rows(tk.task_action_flags(df, ["k"]), "can_cancel", "can_retry") == [(True, False), (False, True), (False, False)]
+
+
+def test_retry_lineage_ends_on_cycles(spark, rows):
+    links = [("a", None), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s")]
+    found = tk.retry_lineage(spark.createDataFrame(links, "id string, retry_of string"))
+    assert sorted(rows(found, "id", "root", "attempt")) == [
+        ("a", "a", 1), ("b", "a", 2), ("s", None, None), ("x", None, None), ("y", None, None), ("z", None, None)
+    ]
