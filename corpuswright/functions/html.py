@@ -1,222 +1,225 @@
-"""HTML pages to text and structure; runs on Arrow batches of pages."""
+"""HTML pages as flat event lists; runs on Arrow batches of pages.
+
+A page is read once into events in document order. Every element knows where its
+subtree ends, so an area is a range of events and a dropped element a jump.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
+from typing import NamedTuple
 from urllib.parse import urljoin
 
-from .. import vocab
-
 VOID = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer".split()
 )
 TEXT_DROP = frozenset(("script", "style", "nav", "footer", "header"))
 CONTENT_DROP = TEXT_DROP | {"aside"}
+UNSEEN = frozenset(("script", "style", "template"))
+VERBATIM = frozenset(("pre", "textarea"))
+BLOCKS = frozenset("p div section h1 h2 h3 h4 h5 h6 blockquote pre ul ol li br hr".split())
 AREA_CLASS = re.compile(r"(content|article|post|entry)", re.I)
-HIDDEN = ("script", "style", "template")
 
+#: Areas that may hold the main content, the best first.
+AREAS: tuple[Callable[[Event], bool], ...] = (
+    lambda e: e.tag == "article",
+    lambda e: e.tag == "main",
+    lambda e: e.attrs.get("id") == "js_content",
+    lambda e: any(map(AREA_CLASS.search, e.attrs.get("class", "").split())),
+    lambda e: e.tag == "body",
+)
 
-class _Node:
-    __slots__ = ("tag", "attrs", "children")
 
-    def __init__(self, tag, attrs):
-        self.tag, self.attrs, self.children = tag, attrs, []
+class Event(NamedTuple):
+    """``tag`` is empty for text and ``!`` for a comment; ``parent`` is an event's number."""
 
+    tag: str
+    attrs: dict
+    text: str
+    parent: int
 
-class _Tree(HTMLParser):
-    """Nested lists of a page; an end tag closes up to its nearest open start tag."""
 
-    def __init__(self):
+class Page(HTMLParser):
+    """Events of a page with ``end``, the number after each one's subtree."""
+
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("", {})
-        self.open = [self.root]
-        self.text = []
-
-    def _flush(self):
-        if not self.text:
-            return
-        data = "".join(self.text)
-        self.text = []
-        if not data.strip() and not any(n.tag in ("pre", "textarea") for n in self.open):
+        self.events: list[Event] = [Event("html-page", {}, "", -1)]
+        self.end: list[int] = [0]
+        self._open, self._data = [0], []
+        self.feed(html)
+        self.close()
+        self._close_to(0)
+        self.end[0] = len(self.events)
+
+    def _add(self, tag: str, attrs: dict, text: str) -> None:
+        self.events.append(Event(tag, attrs, text, self._open[-1]))
+        self.end.append(len(self.events))
+
+    def _text(self) -> None:
+        data = "".join(self._data)
+        self._data.clear()
+        if data and not data.strip() and not any(self.events[i].tag in VERBATIM for i in self._open):
             data = "\n" if "\n" in data else " "
-        self.open[-1].children.append(data)
+        if data:
+            self._add("", {}, data)
+
+    def _close_to(self, depth: int) -> None:
+        """Close all elements above ``depth`` open ones; an element ends where the page stands now."""
+        self._text()
+        for i in self._open[depth + 1 :]:
+            self.end[i] = len(self.events)
+        del self._open[depth + 1 :]
 
     def handle_starttag(self, tag, attrs):
-        self._flush()
-        node = _Node(tag, {k: v or "" for k, v in reversed(attrs)})
-        self.open[-1].children.append(node)
+        self._text()
+        self._add(tag, {k: v or "" for k, v in reversed(attrs)}, "")
         if tag not in VOID:
-            self.open.append(node)
+            self._open.append(len(self.events) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.handle_endtag(tag)
+            self._close_to(len(self._open) - 2)
 
     def handle_endtag(self, tag):
-        self._flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                break
+        depths = [d for d, i in enumerate(self._open) if d and self.events[i].tag == tag]
+        self._close_to(depths[-1] - 1 if depths else len(self._open) - 1)
 
     def handle_data(self, data):
-        self.text.append(data)
+        self._data.append(data)
 
     def handle_comment(self, data):
-        self._flush()
-        self.open[-1].children.append(("comment", data))
+        self._text()
+        self._add("!", {}, data)
 
+    def inside(self, top: int, drop=frozenset()) -> Iterator[int]:
+        """Numbers of the events below ``top``, without dropped elements."""
+        at = top + 1
+        while at < self.end[top]:
+            if self.events[at].tag in drop:
+                at = self.end[at]
+            else:
+                yield at
+                at += 1
 
-def parse(html: str) -> _Node:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    tree._flush()
-    return tree.root
+    def texts(self, top: int, drop=frozenset()) -> list[str]:
+        return [self.events[i].text for i in self.inside(top, drop | UNSEEN) if not self.events[i].tag]
 
+    def find(self, test: Callable[[Event], bool], drop=frozenset(), top: int = 0) -> int | None:
+        return next((i for i in self.inside(top, drop) if self.events[i].tag not in ("", "!") and test(self.events[i])), None)
 
-def _walk(node, drop):
-    """Descendants in document order, without the dropped subtrees."""
-    stack = list(reversed(node.children))
-    while stack:
-        item = stack.pop()
-        if isinstance(item, _Node):
-            if item.tag in drop:
-                continue
-            yield item
-            stack.extend(reversed(item.children))
-        else:
-            yield item
 
+def page_text(html: str) -> str:
+    """Visible text: trimmed phrases, one per line, blank ones dropped."""
+    page = Page(html)
+    phrases = (p.strip() for line in "".join(page.texts(0, TEXT_DROP)).splitlines() for p in line.strip().split("  "))
+    return "\n".join(filter(None, phrases))
 
-def _strings(node, drop):
-    return [x for x in _walk(node, drop | set(HIDDEN)) if isinstance(x, str)]
 
+def _image(page: Page, at: int, base_url: str):
+    attrs = page.events[at].attrs
+    src = attrs.get("src") or attrs.get("data-src") or ""
+    if src and base_url and not src.startswith("http"):
+        src = urljoin(base_url, src)
+    return ("image", (src, attrs.get("alt", ""))) if src else None
 
-def page_text(html: str) -> str:
-    """Visible text: trimmed phrases, one per line, blank ones dropped."""
-    raw = "".join(_strings(parse(html), TEXT_DROP))
-    phrases = (p.strip() for line in raw.splitlines() for p in line.strip().split("  "))
-    return "\n".join(p for p in phrases if p)
 
+def _code(page: Page, at: int, _: str):
+    inner = page.find(lambda e: e.tag == "code", CONTENT_DROP, at)
+    if inner is None:
+        return None
+    named = re.findall(r"(?:^|\s)lang(?:uage)?-(\S*)", page.events[inner].attrs.get("class", ""))
+    return "code", (named[0] if named else "", "".join(page.texts(inner, CONTENT_DROP)))
 
-def _main_area(root):
-    nodes = [n for n in _walk(root, CONTENT_DROP) if isinstance(n, _Node)]
 
-    def first(test):
-        return next((n for n in nodes if test(n)), None)
+def _heading(page: Page, at: int, _: str):
+    text = "".join(map(str.strip, page.texts(at, CONTENT_DROP)))
+    return ("heading", (int(page.events[at].tag[1]), text)) if text else None
 
-    return (
-        first(lambda n: n.tag == "article")
-        or first(lambda n: n.tag == "main")
-        or first(lambda n: n.attrs.get("id") == "js_content")
-        or first(lambda n: any(AREA_CLASS.search(c) for c in n.attrs.get("class", "").split()))
-        or first(lambda n: n.tag == "body")
-        or root
-    )
 
+def _plain(page: Page, at: int, _: str):
+    text = page.events[at].text.strip()
+    return ("text", text) if text else None
 
-def _title(root) -> str:
-    title = next((n for n in _walk(root, frozenset()) if isinstance(n, _Node) and n.tag == "title"), None)
-    return "".join(c for c in title.children if isinstance(c, str)) if title else ""
+
+READERS = {"": _plain, "!": _plain, "img": _image, "pre": _code, **{f"h{i}": _heading for i in range(1, 7)}}
 
 
 def page_material(html: str, base_url: str) -> dict:
     """Title, ordered text with image marks, images, code blocks and headings."""
-    root = parse(html)
-    parts, images, code_blocks, headings = [], [], [], []
-    for item in _walk(_main_area(root), CONTENT_DROP):
-        if isinstance(item, tuple):
-            item = item[1]
-        if isinstance(item, str):
-            if item.strip():
-                parts.append(item.strip())
-        elif item.tag == "img":
-            src = item.attrs.get("src") or item.attrs.get("data-src") or ""
-            if src:
-                if base_url and not src.startswith("http"):
-                    src = urljoin(base_url, src)
-                alt = item.attrs.get("alt", "")
-                parts.append(f"[IMAGE_{len(images)}: {alt or 'image'}]")
-                images.append(
-                    {
-                        "url": src, "alt": alt, "local_path": "", "description": "",
-                        "idx": len(images), "position": len("\n".join(parts)),
-                    }
-                )
-        elif item.tag == "pre":
-            code = next((n for n in _walk(item, CONTENT_DROP) if isinstance(n, _Node) and n.tag == "code"), None)
-            if code:
-                body = "".join(_strings(code, CONTENT_DROP))
-                names = [c for c in code.attrs.get("class", "").split() if c.startswith(("language-", "lang-"))]
-                language = names[0].split("-", 1)[1] if names else ""
-                code_blocks.append({"language": language, "code": body, "comment": ""})
-                parts.append(f"\n```{language}\n{body}\n```\n")
-        elif re.fullmatch("h[1-6]", item.tag):
-            text = "".join(s.strip() for s in _strings(item, CONTENT_DROP))
-            if text:
-                headings.append({"level": int(item.tag[1]), "text": text})
+    page = Page(html)
+    area = next((i for i in (page.find(test, CONTENT_DROP) for test in AREAS) if i is not None), 0)
+    title = page.find(lambda e: e.tag == "title")
+    found = [READERS[page.events[i].tag](page, i, base_url) for i in page.inside(area, CONTENT_DROP) if page.events[i].tag in READERS]
+    found = [f for f in found if f]
+    images = [value for kind, value in found if kind == "image"]
+    numbers = accumulate((kind == "image" for kind, _ in found), initial=0)
+    shown = {
+        "text": lambda value, n: value,
+        "image": lambda value, n: f"[IMAGE_{n}: {value[1] or 'image'}]",
+        "code": lambda value, n: f"\n```{value[0]}\n{value[1]}\n```\n",
+    }
+    parts = [(kind, shown[kind](value, n)) for (kind, value), n in zip(found, numbers, strict=False) if kind in shown]
+    # text up to and with each image; parts are joined by line breaks
+    ends = accumulate(len(text) + (i > 0) for i, (_, text) in enumerate(parts))
+    places = [end for (kind, _), end in zip(parts, ends, strict=True) if kind == "image"]
     return {
-        "title": _title(root),
-        "content": "\n".join(parts),
-        "images": images,
-        "code_blocks": code_blocks,
-        "headings": headings,
+        "title": "" if title is None else "".join(e.text for e in page.events[title : page.end[title]] if not e.tag and e.parent == title),
+        "content": "\n".join(text for _, text in parts),
+        "images": [
+            {"url": src, "alt": alt, "local_path": "", "description": "", "idx": n, "position": place}
+            for n, ((src, alt), place) in enumerate(zip(images, places, strict=True))
+        ],
+        "code_blocks": [{"language": v[0], "code": v[1], "comment": ""} for kind, v in found if kind == "code"],
+        "headings": [{"level": v[0], "text": v[1]} for kind, v in found if kind == "heading"],
     }
 
 
-BLOCKS = frozenset("p div section h1 h2 h3 h4 h5 h6 blockquote pre ul ol li br hr".split())
-
-
-def _width(attrs: dict) -> int | None:
-    value = (attrs.get("data-w") or attrs.get("width") or "0").replace("px", "")
-    return int(value) if re.fullmatch(r"\s*[+-]?\d+\s*", value) else None
-
+def article_pieces(html: str) -> list[dict]:
+    """The article area as pieces: some text, then an image (none in the last piece).
 
-def _decorative(node: _Node, src: str, position: float, around: str) -> bool:
-    """The article policy for one image; ``around`` is the text of its parent."""
-    width, edge = _width(node.attrs), position < 0.2 or position > 0.8
-    closing = (node.attrs.get("class", "") + around).lower()
-    return (
-        any(hint in src.lower() for hint in vocab.ARTICLE_IMAGE_URL_HINTS)
-        or (node.attrs.get("data-type") == "gif" and width is not None and width < 100)
-        or (width is not None and 0 < width < 50)
-        or (position > 0.8 and any(hint in closing for hint in vocab.ARTICLE_QR_HINTS))
-        or ("mmbiz_gif" in src and edge)
-    )
-
-
-def article_body(html: str) -> tuple[str, list[str]]:
-    """Text of the article area with Markdown images where they stand.
-
-    Pages without an article area give their visible text and no images.
+    Each image comes with what the decoration rules ask for. Pages without an
+    article area give their visible text as one piece.
     """
-    root = parse(html)
-    area = next((n for n in _walk(root, frozenset()) if isinstance(n, _Node) and n.attrs.get("id") == "js_content"), None)
+    page = Page(html)
+    none = {"src": None, "data_type": "", "width": "", "context": "", "position": 0.0}
+    area = page.find(lambda e: e.attrs.get("id") == "js_content")
     if area is None:
-        return page_text(html), []
-    order = list(_walk(area, {"script", "style"}))
-    place = {id(item): i / len(order) for i, item in enumerate(order) if isinstance(item, _Node)}
-    parts, images = [], []
-    # (node, parent) to open, or a text to emit; a stack, so depth is not limited
-    todo = [(area, None)]
-    while todo:
-        item, parent = todo.pop()
-        if isinstance(item, tuple):
-            item = item[1]
-        if isinstance(item, str):
-            parts.append(item if parent is None else item.strip())
-        elif item.tag == "img":
-            src = item.attrs.get("data-src") or item.attrs.get("src") or ""
+        return [{"text": page_text(html), **none}]
+    hidden = frozenset(("script", "style"))
+    order = list(page.inside(area, hidden))
+    # what is written when an event opens, and when a block's subtree ends
+    closing: dict[int, int] = {}
+    pieces, text = [], ["\n"] if page.events[area].tag in BLOCKS else []
+    for rank, at in enumerate(order):
+        text += ["\n"] * closing.pop(rank, 0)
+        event = page.events[at]
+        if event.tag in ("", "!"):
+            text.append(event.text.strip())
+        elif event.tag == "img":
+            src = event.attrs.get("data-src") or event.attrs.get("src") or ""
             if src.startswith("http"):
-                around = "".join(_strings(parent, frozenset())) if parent else ""
-                if not _decorative(item, src, place.get(id(item), 0), around):
-                    parts.append(f"\n\n![]({src})\n\n")
-                    images.append(src)
-        elif item.tag not in ("script", "style"):
-            edge = [("\n", None)] if item.tag in BLOCKS else []
-            todo += edge + [(child, item) for child in reversed(item.children)] + edge
-    return re.sub(r"\n{3,}", "\n\n", "".join(parts)).strip(), images
+                pieces.append(
+                    {
+                        "text": "".join(text),
+                        "src": src,
+                        "data_type": event.attrs.get("data-type", ""),
+                        "width": event.attrs.get("data-w") or event.attrs.get("width") or "0",
+                        "context": event.attrs.get("class", "") + "".join(page.texts(event.parent)),
+                        "position": rank / len(order),
+                    }
+                )
+                text = []
+        elif event.tag in BLOCKS:
+            text.append("\n")
+            # the next visible event at or behind the end takes the closing break
+            after = bisect_left(order, page.end[at])
+            closing[after] = closing.get(after, 0) + 1
+    text += ["\n"] * (closing.pop(len(order), 0) + (page.events[area].tag in BLOCKS))
+    return [*pieces, {"text": "".join(text), **none}]

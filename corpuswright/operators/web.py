@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ur
-from ..functions.html import article_body, page_material, page_text
+from ..functions.html import article_pieces, page_material, page_text
+from ..functions.images import is_decorative_article
 from ..session import materialize
 from .ordering import row_numbers
 
@@ -158,17 +159,26 @@ def plan_article(pages: DataFrame, text: Column | None = None) -> DataFrame:
     return pages.select("page_id", F.explode(listed).alias("p")).select("page_id", "p.kind", "p.ord", "p.url")
 
 
+ARTICLE_PIECES = "array<struct<text:string,src:string,data_type:string,width:string,context:string,position:double>>"
+
+
 def pages_to_articles(pages: DataFrame) -> DataFrame:
     """Article body with its images in place as Markdown, decoration dropped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [article_body(h) for h in b["html"]]
-            out = pd.DataFrame(rows, columns=["content", "images"])
-            out.insert(0, "page_id", b["page_id"].to_numpy())
-            yield out
+            yield pd.DataFrame({"page_id": b["page_id"], "pieces": [article_pieces(h) for h in b["html"]]})
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, content string, images array<string>")
+    read = pages.select("page_id", "html").mapInPandas(run, f"page_id long, pieces {ARTICLE_PIECES}")
+
+    def kept(p: Column) -> Column:
+        return p["src"].isNotNull() & ~is_decorative_article(p["src"], p["data_type"], p["width"], p["context"], p["position"])
+
+    shown = F.transform(
+        "pieces", lambda p: F.concat(p["text"], F.when(kept(p), F.concat(F.lit("\n\n![]("), p["src"], F.lit(")\n\n"))).otherwise(""))
+    )
+    body = tx.strip(F.regexp_replace(F.array_join(shown, ""), "\n{3,}", "\n\n"))
+    return read.select("page_id", body.alias("content"), F.transform(F.filter("pieces", kept), lambda p: p["src"]).alias("images"))
 
 
 def course_root(starts: DataFrame, pages: DataFrame) -> DataFrame:

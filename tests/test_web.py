@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpuswright.functions.html import article_body, page_material, page_text
+from corpuswright.functions.html import page_material, page_text
 from corpuswright.operators import web as wb
 
 PAGE = """<!DOCTYPE html><html><head><title>Guide &amp; notes</title><style>p{}</style>
@@ -149,11 +149,12 @@ ARTICLE = (
 )
 
 
-def test_article_body():
-    text, images = article_body(ARTICLE)
+def test_article_body(spark):
+    df = pages(spark, ("u", ARTICLE), ("u", "<p>a</p><p>b"), ("u", '<div id="js_content"></div>'))
+    (text, images), plain, blank = [tuple(r)[1:] for r in wb.pages_to_articles(df).orderBy("page_id").collect()]
     assert images == ["https://i/plot.png"]
     assert text.startswith("Onetwo\n\nMid\n\n![](https://i/plot.png)\n\na\n\nb") and text.endswith("关注我")
-    assert article_body("<p>a</p><p>b") == ("ab", [])
+    assert plain == ("ab", []) and blank == ("", [])
 
 
 def test_article_plan(spark, rows):
