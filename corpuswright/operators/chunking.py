@@ -26,39 +26,46 @@ def overlap_chunks(text: Column, size: int = 6000, overlap: int = 500) -> Column
     ``size`` is one chunk, and a paragraph longer than a chunk stays whole.
     """
     paragraphs = F.filter(F.transform(F.split(text, "\n\\s*\n"), tx.strip), lambda p: p != "")
-    state = F.struct(_none().alias("out"), _none().alias("cur"), F.lit(0).alias("n"))
-
-    def tail(cur: Column) -> Column:
-        start = F.struct(_none().alias("t"), F.lit(0).alias("n"))
-        return F.aggregate(
-            F.reverse(cur),
-            start,
-            lambda a, p: F.when((F.size(a["t"]) > 0) & (a["n"] >= overlap), a).otherwise(
-                F.struct(F.concat(F.array(p), a["t"]).alias("t"), (a["n"] + F.length(p) + 2).alias("n"))
-            ),
-        )
-
-    def step(acc: Column, p: Column) -> Column:
-        cost = F.length(p) + 2
-        full = (F.size(acc["cur"]) > 0) & (acc["n"] + cost > size)
-        fresh = _bind(
-            tail(acc["cur"]),
-            lambda t: F.struct(
-                F.concat(acc["out"], F.array(F.concat_ws("\n\n", acc["cur"]))).alias("out"),
-                F.concat(t["t"], F.array(p)).alias("cur"),
-                (t["n"] + cost).alias("n"),
-            ),
-        )
-        more = F.struct(
-            acc["out"].alias("out"), F.concat(acc["cur"], F.array(p)).alias("cur"), (acc["n"] + cost).alias("n")
-        )
-        return F.when(full, fresh).otherwise(more)
-
-    def finish(acc: Column) -> Column:
-        last = F.when(F.size(acc["cur"]) > 0, F.array(F.concat_ws("\n\n", acc["cur"]))).otherwise(_none())
-        return F.concat(acc["out"], last)
-
-    chunks = F.aggregate(paragraphs, state, step, finish)
+    # the fold carries paragraph numbers only; texts are joined once, at the end
+    def fold(ps: Column) -> Column:
+        cuts = F.array().cast("array<struct<a:int,b:int>>")
+        state = F.struct(cuts.alias("out"), F.lit(0).alias("a"), F.lit(0).alias("n"))
+
+        def cost(i: Column) -> Column:
+            return F.length(ps[i]) + 2
+
+        def tail(a: Column, i: Column) -> Column:
+            """First paragraph of the overlap ahead of ``i``, and its characters."""
+            return F.aggregate(
+                F.reverse(F.sequence(a, i - 1)),
+                F.struct(i.alias("a"), F.lit(0).alias("n")),
+                lambda t, j: F.when((t["a"] < i) & (t["n"] >= overlap), t).otherwise(
+                    F.struct(j.alias("a"), (t["n"] + cost(j)).alias("n"))
+                ),
+            )
+
+        def step(acc: Column, i: Column) -> Column:
+            full = (i > acc["a"]) & (acc["n"] + cost(i) > size)
+            fresh = _bind(
+                tail(acc["a"], i),
+                lambda t: F.struct(
+                    F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), i.alias("b")))).alias("out"),
+                    t["a"].alias("a"),
+                    (t["n"] + cost(i)).alias("n"),
+                ),
+            )
+            more = F.struct(acc["out"].alias("out"), acc["a"].alias("a"), (acc["n"] + cost(i)).alias("n"))
+            return F.when(full, fresh).otherwise(more)
+
+        def finish(acc: Column) -> Column:
+            last = F.struct(acc["a"].alias("a"), F.size(ps).alias("b"))
+            return F.transform(
+                F.concat(acc["out"], F.array(last)), lambda c: F.concat_ws("\n\n", F.slice(ps, c["a"] + 1, c["b"] - c["a"]))
+            )
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(ps) - 1), state, step, finish)
+
+    chunks = _bind(paragraphs, fold)
     return F.when((F.length(text) <= size) | (F.size(paragraphs) == 0), F.array(text)).otherwise(chunks)
 
 

@@ -132,6 +132,10 @@ def catalogue_term(queries: Column) -> Column:
     return F.coalesce(F.try_element_at(english, F.lit(1)), F.try_element_at(queries, F.lit(1)))
 
 
+#: Scores of hits whose channel brings none.
+WEB_SCORE, ARXIV_SCORE = 50, 60
+
+
 def github_score(stars: Column, fallback: bool = False) -> Column:
     top, base = (65, 25) if fallback else (70, 30)
     return F.least(F.lit(top), base + F.floor(stars / 1000)).cast("long")
@@ -146,9 +150,9 @@ def union_channels(registry: DataFrame, web: DataFrame, github: DataFrame, arxiv
     cols = ["channel", "channel_ord", "seq", "url", "title", "type", "score"]
     parts = [
         (registry, F.col("score")),
-        (web, F.lit(50)),
+        (web, F.lit(WEB_SCORE)),
         (github, github_score(F.col("stars"))),
-        (arxiv, F.lit(60)),
+        (arxiv, F.lit(ARXIV_SCORE)),
     ]
     names = ("registry", "web", "github", "arxiv")
     out = None

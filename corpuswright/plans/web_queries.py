@@ -337,26 +337,55 @@ HITS_SQL = f"""hits AS (SELECT page_id AS seq, url, {NORM.format(c='url')} AS no
       FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, {NORM.format(c='url')} || '/' FROM pages))"""
 
 
-def _hits(spark, d):
-    """Every page found twice, the second time under its plain address."""
-    rows = table(spark, d, "pages").select("page_id", "url")
-    again = rows.select((F.col("page_id") + 1000000).alias("page_id"), F.concat(ur.url_normalize(F.col("url")), F.lit("/")).alias("url"))
-    url = F.col("url")
-    both = rows.unionByName(again).select(
-        F.col("page_id").alias("seq"), "url", F.lit("").alias("title"), F.lit("web").alias("type")
+def _addresses(spark, d):
+    """Every page found twice, the second time under its plain address; one scan."""
+    pair = F.array(
+        F.struct(F.col("page_id").alias("seq"), F.col("url")),
+        F.struct((F.col("page_id") + 1000000).alias("seq"), F.concat(ur.url_normalize(F.col("url")), F.lit("/")).alias("url")),
     )
-    www, mobile, blog = (F.contains(url, F.lit(x)) for x in ("www.", "m.", "blog."))
+    return table(spark, d, "pages").select(F.inline(pair))
+
+
+def _host_kinds():
+    return tuple(F.contains("url", F.lit(x)) for x in ("www.", "m.", "blog."))
+
+
+def _channels(spark, d):
+    """The same hits as separate channels."""
+    www, mobile, blog = _host_kinds()
+    both = _addresses(spark, d).select("seq", "url", F.lit("").alias("title"), F.lit("web").alias("type"))
     return ex.union_channels(
-        both.where(www).withColumn("score", 100 + 10 * F.length(ur.authority(url))),
+        both.where(www).withColumn("score", 100 + 10 * F.length(ur.authority(F.col("url")))),
         both.where(~www & mobile),
         both.where(~www & ~mobile & blog).withColumn("stars", F.col("seq") * 37),
         both.where(~www & ~mobile & ~blog),
     )
 
 
+def _hits(spark, d):
+    """Hits of one table that holds all channels, with their channel and score."""
+    www, mobile, blog = _host_kinds()
+
+    def pick(registry, web, github, arxiv):
+        return F.when(www, registry).when(mobile, web).when(blog, github).otherwise(arxiv)
+
+    score = pick(
+        100 + 10 * F.length(ur.authority(F.col("url"))), F.lit(ex.WEB_SCORE), ex.github_score(F.col("seq") * 37), F.lit(ex.ARXIV_SCORE)
+    )
+    return _addresses(spark, d).select(
+        "seq",
+        "url",
+        F.lit("").alias("title"),
+        F.lit("web").alias("type"),
+        pick(*map(F.lit, ("registry", "web", "github", "arxiv"))).alias("channel"),
+        pick(*map(F.lit, range(4))).cast("long").alias("channel_ord"),
+        score.cast("long").alias("score"),
+    )
+
+
 @query("i1_union_channels", f"WITH {HITS_SQL} SELECT channel, channel_ord, seq, url, score FROM hits")
 def i1(spark, d):
-    return _hits(spark, d).select("channel", "channel_ord", "seq", "url", "score")
+    return _channels(spark, d).select("channel", "channel_ord", "seq", "url", "score")
 
 
 DEDUP_SQL = f"""{HITS_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY norm_url ORDER BY score DESC, channel_ord, seq) AS rn,

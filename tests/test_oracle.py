@@ -13,6 +13,11 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+#: Results that SQL cannot state; each is tested against brute force elsewhere.
+WITHOUT_SQL = {
+    "k5_approx_vector_topk", "pipeline", "op2_token_counts", "op3_quality_rules", "op6_mix_sources", "op7_licence_scan", "op8_jaccard_join",
+}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
@@ -35,7 +40,7 @@ def test_query_matches_sql(spark, con, name):
     got = entry_module.queries()[name](spark, DIR).toArrow()
     sql = entry_module.oracle_sql().get(name)
     if sql is None:
-        assert got.num_columns > 0
+        assert name in WITHOUT_SQL and got.num_rows > 0
         return
     want = con.sql(sql).to_arrow_table()
     names = sorted(got.column_names)
