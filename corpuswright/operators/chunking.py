@@ -14,7 +14,7 @@ def _none() -> Column:
     return F.array().cast(_STRINGS)
 
 
-def _bind(value: Column, body) -> Column:
+def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside a fold."""
     return F.transform(F.array(value), body)[0]
 
@@ -46,7 +46,7 @@ def overlap_chunks(text: Column, size: int = 6000, overlap: int = 500) -> Column
 
         def step(acc: Column, i: Column) -> Column:
             full = (i > acc["a"]) & (acc["n"] + cost(i) > size)
-            fresh = _bind(
+            fresh = bind(
                 tail(acc["a"], i),
                 lambda t: F.struct(
                     F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), i.alias("b")))).alias("out"),
@@ -65,7 +65,7 @@ def overlap_chunks(text: Column, size: int = 6000, overlap: int = 500) -> Column
 
         return F.aggregate(F.sequence(F.lit(0), F.size(ps) - 1), state, step, finish)
 
-    chunks = _bind(paragraphs, fold)
+    chunks = bind(paragraphs, fold)
     return F.when((F.length(text) <= size) | (F.size(paragraphs) == 0), F.array(text)).otherwise(chunks)
 
 

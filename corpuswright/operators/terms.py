@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import materialize
+from .chunking import bind
 from .explore import keyword_counts
 from .ordering import top_per_key
 
@@ -14,10 +15,32 @@ from .ordering import top_per_key
 HOT_KEYS = 10_000
 
 
+def _runs(tokens: Column) -> Column:
+    """Sorted tokens as ``(term, tf)``, one per run of equal ones."""
+
+    def lengths(starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda a, k: F.struct(
+                F.get(tokens, a).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(tokens)) - a).cast("long").alias("tf")
+            ),
+        )
+
+    places = F.sequence(F.lit(0), F.size(tokens) - 1)
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)))
+    return F.when(F.size(tokens) > 0, bind(starts, lengths))
+
+
 def token_counts(df: DataFrame, key: str, text: str, max_len: int = 50) -> DataFrame:
-    """Occurrences of every lower-cased token shorter than ``max_len`` per row."""
-    tokens = df.select(key, F.explode(tx.word_tokens(F.col(text))).alias("term"))
-    return tokens.where(F.length("term") < max_len).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Occurrences of every lower-cased token shorter than ``max_len`` per row.
+
+    A row holds all tokens of its document, so they are counted inside it and
+    nothing is shuffled. ``key`` is unique.
+    """
+    tokens = F.array_sort(F.filter(tx.word_tokens(F.col(text)), lambda t: F.length(t) < max_len))
+    # outer: an inner explode would have the optimizer evaluate the array twice
+    rows = df.select(key, F.explode_outer(bind(tokens, _runs)).alias("_c"))
+    return rows.where("_c IS NOT NULL").select(key, "_c.term", "_c.tf")
 
 
 def join_counts(rows: DataFrame, counts: DataFrame, key: str, count: str, spread: str) -> DataFrame:
