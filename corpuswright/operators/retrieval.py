@@ -1,14 +1,13 @@
 """Vector, keyword and hybrid retrieval.
 
-Queries come as a batch and are handed to the tasks in blocks of bounded size.
-Each task scores its own partition against the block and keeps its best ``k``
-per query, so only ``k`` rows per query and partition are shuffled; documents and
-queries are never paired in a join.
+Vector queries come as a batch and are handed to the tasks in blocks of bounded
+size. Each task scores its own partition against the block and keeps its best
+``k`` per query, so only ``k`` rows per query and partition are shuffled. Keyword
+retrieval is equi joins on words.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,13 +16,14 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 from .chunking import chunk_rows
 from .ordering import top_per_key
+from .terms import join_counts, token_runs
 
 #: Queries per pass over the base table, and rows scored at a time. Together they
 #: bound the score matrix of a task.
 QUERY_BLOCK = 2_000
-KEYWORD_BLOCK = 500
 ROW_SLICE = 1_024
 RANKED = "qid long, id long, score double"
 
@@ -165,65 +165,25 @@ def _bucket_scan(qids: np.ndarray, matrix: np.ndarray, buckets: np.ndarray, k: i
     return run
 
 
-def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, block: int = KEYWORD_BLOCK) -> DataFrame:
+def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     """Best chunks per query by BM25. ``queries(qid, tokens)``, ``chunks(id, text)``.
 
-    Document frequencies are counted for the words of the queries only.
+    Words are counted inside their chunk, and only words that some query has
+    leave it. Words that very many chunks hold are spread by chunk where document
+    frequencies are joined.
     """
-    spark = chunks.sparkSession
-    tokens = chunks.select("id", tx.word_tokens(F.col("text")).alias("tokens"))
-    parts = []
-    for rows in _blocks(queries.select("qid", F.array_distinct("tokens").alias("tokens")), block):
-        vocabulary = sorted({t for r in rows for t in r["tokens"]})
-        # one pass counts the words; the empty word marks each document once
-        wanted = spark.createDataFrame([(w,) for w in ["", *vocabulary]], "term string")
-        seen = tokens.select(
-            F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term")
-        )
-        counted = seen.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(
-            F.count(F.lit(1)).alias("df"), F.sum("length").alias("length")
-        )
-        df = {r["term"]: (r["df"], r["length"]) for r in counted.collect()}
-        n, length = df.pop("", (0, 0))
-        if not df:
-            continue
-        average = length / n
-        df = {w: c for w, (c, _) in df.items()}
-        number = {w: i for i, w in enumerate(w for w in vocabulary if w in df)}
-        # (query, word, weight) triples: each task builds the matrix for itself
-        entries = [
-            (q, number[t], math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)))
-            for q, r in enumerate(rows)
-            for t in r["tokens"]
-            if t in number
-        ]
-        qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        parts.append(tokens.mapInPandas(_bm25_scan(qids, entries, number, average, k), RANKED))
-    return _union_top(parts, k, chunks)
-
-
-def _bm25_scan(
-    qids: np.ndarray, entries: list[tuple[int, int, float]], number: dict[str, int], average: float, k: int
-) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(len(qids), k)
-        weights = np.zeros((len(qids), len(number)))
-        for q, t, w in entries:
-            weights[q, t] = w
-        for b in _slices(batches):
-            tf = np.zeros((len(b), len(number)))
-            length = np.zeros(len(b))
-            for row, tokens in enumerate(b["tokens"]):
-                length[row] = len(tokens)
-                known = [number[t] for t in tokens if t in number]
-                if known:
-                    tf[row] = np.bincount(known, minlength=len(number))
-            norm = K1 * (1 - B + B * length / average)
-            raw = weights @ (tf * (K1 + 1) / (tf + norm[:, None])).T
-            best.add(np.round(raw, 6), b["id"].to_numpy(), raw > 0)
-        yield best.frame(qids)
-
-    return run
+    asked = materialize(queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term")), "asked")
+    read = chunks.select("id", tx.word_tokens(F.col("text")).alias("tokens"))
+    size = read.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("average")).first()
+    held = read.select("id", F.size("tokens").alias("length"), F.explode_outer(token_runs("tokens")).alias("_c"))
+    held = held.where("_c IS NOT NULL").select("id", "length", "_c.term", "_c.tf")
+    held = materialize(held.join(asked.select("term").distinct(), "term", "left_semi"), "held")
+    joined = join_counts(held, held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "df", "id")
+    rare = F.log(1 + (F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = K1 * (1 - B + B * F.col("length") / F.lit(size["average"] or 1.0))
+    weighted = joined.select("id", "term", (rare * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("w"))
+    scored = weighted.join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    return top_per_key(scored, ["qid"], [F.col("score").desc(), F.col("id")], k).select("qid", "id", "score", "rank")
 
 
 def hybrid_topk(vector: DataFrame, keyword: DataFrame, k: int = 10) -> DataFrame:

@@ -31,15 +31,20 @@ def _runs(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, bind(starts, lengths))
 
 
+def token_runs(tokens: Column | str) -> Column:
+    """Tokens of a row as ``(term, tf)``; null when there are none."""
+    return bind(F.array_sort(tokens), _runs)
+
+
 def token_counts(df: DataFrame, key: str, text: str, max_len: int = 50) -> DataFrame:
     """Occurrences of every lower-cased token shorter than ``max_len`` per row.
 
     A row holds all tokens of its document, so they are counted inside it and
     nothing is shuffled. ``key`` is unique.
     """
-    tokens = F.array_sort(F.filter(tx.word_tokens(F.col(text)), lambda t: F.length(t) < max_len))
+    tokens = F.filter(tx.word_tokens(F.col(text)), lambda t: F.length(t) < max_len)
     # outer: an inner explode would have the optimizer evaluate the array twice
-    rows = df.select(key, F.explode_outer(bind(tokens, _runs)).alias("_c"))
+    rows = df.select(key, F.explode_outer(token_runs(tokens)).alias("_c"))
     return rows.where("_c IS NOT NULL").select(key, "_c.term", "_c.tf")
 
 

@@ -66,8 +66,7 @@ def test_keyword_topk(spark, rows):
             if s > 0:
                 scored.append((-round(s, 6), i))
         want += [(q, i, r + 1) for r, (_, i) in enumerate(sorted(scored)[:4])]
-    for block in (50, 2):
-        assert sorted(rows(rt.keyword_topk(queries, chunks, 4, block), "qid", "id", "rank")) == sorted(want)
+    assert sorted(rows(rt.keyword_topk(queries, chunks, 4), "qid", "id", "rank")) == sorted(want)
 
 
 def test_hybrid_and_fallback(spark, rows):
