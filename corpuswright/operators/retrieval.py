@@ -112,57 +112,47 @@ def _vector_scan(qids: np.ndarray, matrix: np.ndarray, k: int) -> Callable:
     return run
 
 
-def approx_vector_topk(
-    queries: DataFrame, base: DataFrame, k: int = 10, tables: int = 8, bucket_length: float = 0.8, seed: int = 42,
-    block: int = QUERY_BLOCK,
-) -> DataFrame:
-    """Nearest vectors among those sharing a random-projection bucket.
-
-    Buckets only select rows inside a task, they are never grouped or joined, so
-    a bucket holding a third of the vectors costs no more than the exact scan.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    def unit(df: DataFrame) -> DataFrame:
-        wide = F.transform("embedding", lambda x: x.cast("double"))
-        norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-        return df.withColumn("embedding", wide).withColumn(
-            "_unit", array_to_vector(F.when(norm > 0, F.transform(wide, lambda x: x / norm)).otherwise(wide))
-        )
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_unit", outputCol="_buckets", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    ready = unit(base)
-    model = lsh.fit(ready.limit(1))  # only the dimension is learned
-
-    def hashed(df: DataFrame) -> DataFrame:
-        return model.transform(df).withColumn(
-            "bucket", F.transform("_buckets", lambda v: F.try_element_at(vector_to_array(v), F.lit(1)).cast("long"))
-        )
+def projection_signs(dim: int, tables: int, bits: int) -> np.ndarray:
+    """Signs of the projections, a rule of their numbers so that SQL can repeat them."""
+    p, i = np.arange(tables * bits)[:, None], np.arange(dim)[None, :]
+    return np.where(((i + 1) * (2 * p + 3) * 7919 + i * p) % 10007 % 2 == 1, 1.0, -1.0)
 
-    parts = []
-    base_rows = hashed(ready).select("id", "embedding", "bucket")
-    for rows in _blocks(hashed(unit(queries)).select("qid", "embedding", "bucket"), block):
-        qids, matrix = np.array([r["qid"] for r in rows], dtype=np.int64), _unit([r["embedding"] for r in rows])
-        buckets = np.array([r["bucket"] for r in rows])
-        parts.append(base_rows.mapInPandas(_bucket_scan(qids, matrix, buckets, k), RANKED))
-    return _union_top(parts, k, base)
 
+def _buckets(df: DataFrame, key: str, tables: int, bits: int) -> DataFrame:
+    """``key``, ``table``, ``bucket``: the signs of ``bits`` projections in each table."""
 
-def _bucket_scan(qids: np.ndarray, matrix: np.ndarray, buckets: np.ndarray, k: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(len(qids), k)
         for b in _slices(batches):
-            own = np.array(b["bucket"].tolist())
-            shared = np.zeros((len(qids), len(b)), dtype=bool)
-            for t in range(buckets.shape[1]):
-                shared |= buckets[:, t][:, None] == own[:, t][None, :]
-            best.add(np.round(matrix @ _unit(b["embedding"]).T, 6), b["id"].to_numpy(), shared)
-        yield best.frame(qids)
+            if not len(b):
+                continue
+            m = np.array([np.asarray(v, dtype=np.float64) for v in b["embedding"]])
+            side = (m @ projection_signs(m.shape[1], tables, bits).T >= 0).reshape(len(b), tables, bits)
+            codes = (side * (1 << np.arange(bits))).sum(axis=2)
+            yield pd.DataFrame(
+                {key: np.repeat(b[key].to_numpy(), tables), "table": np.tile(np.arange(tables), len(b)), "bucket": codes.reshape(-1)}
+            )
 
-    return run
+    return df.select(key, "embedding").mapInPandas(run, f"{key} long, table long, bucket long")
+
+
+def approx_vector_topk(queries: DataFrame, base: DataFrame, k: int = 10, tables: int = 16, bits: int = 4) -> DataFrame:
+    """Nearest vectors among those on the same side of all projections of some table.
+
+    Candidates come from an equi join on table and bucket, and only they are
+    scored. Hot buckets are split by the join.
+    """
+    near = _buckets(base, "id", tables, bits).join(_buckets(queries, "qid", tables, bits), ["table", "bucket"])
+    pairs = near.select("qid", "id").distinct()
+    left = queries.select("qid", F.transform("embedding", lambda x: x.cast("double")).alias("_q"))
+    right = base.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("_b"))
+
+    def dot(x: str, y: str):
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+
+    norm = F.sqrt(dot("_q", "_q")) * F.sqrt(dot("_b", "_b"))
+    score = F.when(norm > 0, F.round(dot("_q", "_b") / norm, 6)).otherwise(0.0)
+    scored = pairs.join(right, "id").join(left, "qid").select("qid", "id", score.alias("score"))
+    return top_per_key(scored, ["qid"], [F.col("score").desc(), F.col("id")], k).select("qid", "id", "score", "rank")
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:

@@ -507,7 +507,20 @@ def k1(spark, d):
     return rt.vector_topk(_label_queries(spark, d), _vectors(spark, d))
 
 
-@query("k5_approx_vector_topk")
+@query(
+    "k5_approx_vector_topk",
+    """WITH q AS (SELECT label::BIGINT AS qid, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
+    v AS (SELECT vec_id AS id, 'b' AS side, embedding FROM embeddings UNION ALL SELECT qid, 'q', embedding FROM q),
+    x AS (SELECT id, side, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS i FROM v),
+    dots AS (SELECT id, side, p, sum(CASE WHEN ((i + 1) * (2 * p + 3) * 7919 + i * p) % 10007 % 2 = 1 THEN e ELSE -e END) AS s
+      FROM x, (SELECT unnest(range(64)) AS p) ps GROUP BY id, side, p),
+    h AS (SELECT id, side, p // 4 AS t, sum(CASE WHEN s >= 0 THEN 1 << (p % 4)::INT ELSE 0 END) AS bucket FROM dots GROUP BY id, side, t),
+    pairs AS (SELECT DISTINCT a.id AS qid, b.id FROM h a JOIN h b ON a.side = 'q' AND b.side = 'b' AND a.t = b.t AND a.bucket = b.bucket),
+    cos AS (SELECT pairs.qid, pairs.id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+      FROM pairs JOIN q ON q.qid = pairs.qid JOIN embeddings e ON e.vec_id = pairs.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM cos)
+    SELECT * FROM r WHERE rank <= 10""",
+)
 def k5(spark, d):
     return rt.approx_vector_topk(_label_queries(spark, d), _vectors(spark, d))
 

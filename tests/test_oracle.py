@@ -15,7 +15,7 @@ TABLES = (
 
 #: Results that SQL cannot state; each is tested against brute force elsewhere.
 WITHOUT_SQL = {
-    "k5_approx_vector_topk", "pipeline", "op2_token_counts", "op3_quality_rules", "op6_mix_sources", "op7_licence_scan", "op8_jaccard_join",
+    "pipeline", "op2_token_counts", "op3_quality_rules", "op6_mix_sources", "op7_licence_scan", "op8_jaccard_join",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
