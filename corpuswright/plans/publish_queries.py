@@ -779,20 +779,25 @@ TREE_SQL = f"""named AS (SELECT dense_rank() OVER (ORDER BY chapter) AS ch, row_
     paths AS (SELECT 'chapter_dir=' || lpad(ch::VARCHAR, 2, '0') || '_' || replace(chapter, ' ', '_') AS dir,
       'section_file=' || lpad(sec::VARCHAR, 2, '0') || '_' || CASE WHEN safe = '' THEN 'untitled' ELSE safe END || '.md' AS file FROM named),
     nodes AS (SELECT DISTINCT dir AS name, dir AS path, 'directory' AS type FROM paths
-      UNION ALL SELECT file, dir || '/' || file, 'directory' FROM paths)"""
+      UNION ALL SELECT file, dir || '/' || file, 'directory' FROM paths
+      UNION ALL SELECT 'part.txt', dir || '/' || file || '/part.txt', 'file' FROM paths)"""
+
+
+def _tree(spark, d):
+    """Folders and files of the written book; the names Spark gave the files are cut to ``part.txt``."""
+    tree = fs.read_kb_tree(spark, _book(spark, d) + "/sections")
+    plain = lambda c: F.regexp_replace(c, r"part-[^/]*(\.[a-z]+)$", "part$1").alias(c)
+    return tree.select(plain("name"), plain("path"), "type").distinct()
 
 
 @query("a9_read_kb_tree", f"WITH {OUTLINE_SQL}, {TREE_SQL} SELECT * FROM nodes")
 def a9(spark, d):
-    """Folders of the written book; Spark chooses the names of the files in them."""
-    tree = fs.read_kb_tree(spark, _book(spark, d) + "/sections")
-    return tree.where("type = 'directory'")
+    return _tree(spark, d)
 
 
 @query("b31_kb_filter", f"WITH {OUTLINE_SQL}, {TREE_SQL} SELECT * FROM nodes WHERE contains(lower(path), 'part_1')")
 def b31(spark, d):
-    tree = fs.read_kb_tree(spark, _book(spark, d) + "/sections")
-    return fs.kb_filter(tree, " PART_1 ").where("type = 'directory'")
+    return fs.kb_filter(_tree(spark, d), " PART_1 ")
 
 
 @query(
@@ -803,7 +808,9 @@ def a13(spark, d):
     blocks = F.array(
         F.struct(F.col("lang").alias("language"), F.col("code").alias("code")), F.struct(F.lit("").alias("language"), F.col("source").alias("code"))
     )
-    return tb.code_block_rows(_code(spark, d).select(F.col("doc_id").cast("string").alias("id"), blocks.alias("code_blocks")))
+    out = scratch_path(spark, "code")
+    tb.export_code_blocks(_code(spark, d).select(F.col("doc_id").cast("string").alias("id"), blocks.alias("code_blocks")), out)
+    return spark.read.parquet(out).select("id", "i", "file_name", "code")
 
 
 @query(

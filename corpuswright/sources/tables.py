@@ -114,10 +114,9 @@ def code_block_rows(df: DataFrame) -> DataFrame:
 
 
 def export_code_blocks(df: DataFrame, out: str) -> None:
-    """Code blocks as text, one folder per material and block."""
-    code_block_rows(df).select("id", "file_name", F.col("code").alias("value")).write.partitionBy(
-        "id", "file_name"
-    ).text(out)
+    """Code blocks as rows, one folder per language; material and file name are columns."""
+    rows = code_block_rows(df).withColumn("extension", F.substring_index("file_name", ".", -1))
+    rows.write.partitionBy("extension").parquet(out)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

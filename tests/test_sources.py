@@ -55,8 +55,9 @@ def test_exports(spark, tmp_path):
     meta = json.loads(spark.read.text(str(tmp_path / "meta")).first()[0])
     assert meta["id"] == "m1" and "content" not in meta
     tb.export_code_blocks(df, str(tmp_path / "code"))
-    files = spark.read.text(str(tmp_path / "code"))
-    assert {(r.file_name, r.value) for r in files.collect()} == {("block_0.py", "a=1"), ("block_1.txt", "b")}
+    files = spark.read.parquet(str(tmp_path / "code"))
+    assert {r.extension for r in files.collect()} == {"py", "txt"}
+    assert {(r.file_name, r.code) for r in files.collect()} == {("block_0.py", "a=1"), ("block_1.txt", "b")}
 
 
 LOG = """2026-01-02 03:04:05,678 - app - INFO - started - ok
