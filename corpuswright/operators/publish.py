@@ -21,7 +21,7 @@ def number_sections(sections: DataFrame, order: str, part: Column | None = None)
 
     ``sections(chapter, section, order)``; chapters are numbered by name.
     """
-    chapters = row_numbers(sections.select("chapter").distinct(), [], ["chapter"], "chapter_no", F.lit(0))
+    chapters = row_numbers(sections.select("chapter").distinct(), [], ["chapter"], "chapter_no")
     numbered = row_numbers(sections, ["chapter"], [order], "section_no", part)
     return numbered.join(chapters, "chapter").withColumn("file_path", section_path())
 

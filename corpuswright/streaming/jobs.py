@@ -3,13 +3,13 @@
 Every job takes a streaming DataFrame, an output folder and a checkpoint folder
 and returns the started query. A run that was interrupted restarts from its
 checkpoint; outputs of a batch are keyed by the batch id, so a repeated batch
-replaces what it wrote before. Rows later than a watermark are dropped, which is
-Spark's rule.
+replaces what it wrote before. No job drops late rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -106,26 +106,24 @@ def ingest_stream(materials: DataFrame, path: str, checkpoint: str, live: str |
 
 
 def task_window_stream(
-    updates: DataFrame, out: str, checkpoint: str, width: str = "1 hour", slide: str | None = None, delay: str = "2 hours",
-    live: str | None = None,
+    updates: DataFrame, out: str, checkpoint: str, width: str = "1 hour", slide: str | None = None, live: str | None = None
 ) -> StreamingQuery:
     """Updates per window and status. ``updates(ts, status)``.
 
-    Update mode: each batch writes the windows it changed; ``window_counts``
-    reads the newest value of each.
+    Each batch writes the counts of its own rows and ``window_counts`` adds them
+    up, so no update is too late and no state is kept.
     """
-    counts = (
-        updates.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width, slide), "status")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("window.start").alias("start"), "status", "n")
-    )
-    return _start(counts, lambda batch, batch_id: _write_batch(batch, out, batch_id), checkpoint, "update", live)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(F.window("ts", width, slide), "status").agg(F.count(F.lit(1)).alias("n"))
+        _write_batch(counts.select(F.col("window.start").alias("start"), "status", "n"), out, batch_id)
+
+    return _start(updates, sink, checkpoint, live=live)
 
 
 def window_counts(spark: SparkSession, out: str) -> DataFrame:
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    return rows.groupBy("start", "status").agg(F.max_by("n", "batch").alias("n"))
+    return rows.groupBy("start", "status").agg(F.sum("n").alias("n"))
 
 
 def task_latest_stream(updates: DataFrame, key: str, order: list[str], out: str, checkpoint: str, live: str | None = None) -> StreamingQuery:
@@ -153,20 +151,27 @@ def log_stream(spark: SparkSession, path: str, out: str, checkpoint: str, level:
 
 
 def activity_sessions(
-    updates: DataFrame, key: str, out: str, checkpoint: str, gap: str = "30 minutes", delay: str = "1 hour", live: str | None = None
+    updates: DataFrame, key: str, out: str, checkpoint: str, gap: str = "30 minutes", live: str | None = None
 ) -> StreamingQuery:
-    """Bursts of activity per key, written once their session has closed.
+    """Bursts of activity per key. ``updates(ts, key)``.
 
-    Append mode: a session leaves when the watermark passes its end. Rows of a
-    session are merged in their own partition before the shuffle.
+    Each batch writes the sessions of its own rows; ``session_view`` merges those
+    of all batches. No row is too late, and sessions still open are there as far
+    as they have come.
     """
-    spark = updates.sparkSession
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    sessions = (
-        updates.withWatermark("ts", delay)
-        .groupBy(F.session_window("ts", gap).alias("s"), key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
-    )
-    writer = sessions.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=live) if live else writer.trigger(availableNow=True)).start()
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        sessions = batch.groupBy(F.session_window("ts", gap).alias("s"), key).agg(F.count(F.lit(1)).alias("n"))
+        _write_batch(sessions.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n"), out, batch_id)
+
+    return _start(updates, sink, checkpoint, live=live)
+
+
+def session_view(spark: SparkSession, key: str, out: str) -> DataFrame:
+    """Sessions of all batches, overlapping ones as one."""
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
+    order = W.partitionBy(key).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start") >= F.col("_reach"), F.lit(True)).cast("int")
+    numbered = rows.withColumn("_reach", reach).withColumn("_no", F.sum(fresh).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "_no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_no")

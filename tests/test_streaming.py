@@ -95,3 +95,24 @@ def test_log_stream(spark, rows, tmp_path):
     out = str(tmp_path / "out")
     jobs.log_stream(spark, str(logs), out, str(tmp_path / "c"), "ERROR").awaitTermination()
     assert rows(spark.read.parquet(out), "level", "message") == [("ERROR", "b")]
+
+
+def test_sessions_and_late_urls_over_batches(spark, rows, tmp_path):
+    folder = tmp_path / "in"
+    batches = [[("a", 0), ("a", 600), ("b", 0)], [("a", 9000), ("a", 1500)], [("b", 1800), ("b", 1799 + 1800)]]
+    for i, batch in enumerate(batches):
+        frame = spark.createDataFrame(batch, "user string, sec long").coalesce(1)
+        frame.select(F.col("sec").cast("timestamp").alias("ts"), "user", F.col("user").alias("url"), F.col("sec").alias("seq")).write.parquet(
+            str(folder / f"b{i}")
+        )
+        (folder / f"b{i}").touch()
+    reader = spark.readStream.schema("ts timestamp, user string, url string, seq long").option("recursiveFileLookup", "true")
+    stream = reader.option("maxFilesPerTrigger", 1).parquet(str(folder))
+    out = str(tmp_path / "out")
+    jobs.activity_sessions(stream.select("ts", "user"), "user", out, str(tmp_path / "c")).awaitTermination()
+    got = rows(jobs.session_view(spark, "user", out).orderBy("user", "start"), "user", F.unix_seconds("start"), F.unix_seconds("end"), "n")
+    assert got == [("a", 0, 3300, 3), ("a", 9000, 10800, 1), ("b", 0, 1800, 1), ("b", 1800, 5399, 2)]
+    queue = spark.createDataFrame([], "url string, state string")
+    out = str(tmp_path / "queued")
+    jobs.enqueue_stream(stream.select("url", "seq", "ts"), queue, out, str(tmp_path / "c2")).awaitTermination()
+    assert sorted(rows(spark.read.parquet(out), "url")) == [("a",), ("b",)]
