@@ -36,9 +36,10 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Index entries a task gathers before it passes them on.
 FLUSH = 400_000
-#: Longs of the parity sketch that rules pairs out before their texts are read.
-SKETCH = 32
-
+#: Cells of the parity sketch per shingle, which rules pairs out before their texts are read.
+CELLS = 4
+#: Star pairs with so many entries in common are taken for one cluster.
+STRONG = 8
 #: Classes of a group that one task compares with as many others, and how many of them at once.
 BLOCK, STRIP = 2048, 16
 
@@ -262,15 +263,45 @@ def _sizes(batches):
         )
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each cell, a power of two of cells that follows the size."""
+    cells = 1 << max(8, (CELLS * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _folded(m: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of fewer cells: parities of cells that fall together add up."""
+    while m.shape[-1] > words:
+        half = m.shape[-1] // 2
+        m = m[..., :half] ^ m[..., half:]
+    return m
+
+
 def _sketches(batches):
-    """Parity of the number of shingles in each of ``64 * SKETCH`` cells."""
     for batch in batches:
-        out, sizes = [], []
-        for s in shingle_sets(batch.column(1)):
-            sizes.append(len(s))
-            cells = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-            out.append(np.packbits(cells.astype(np.uint8)).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["class", "n", "sketch"])
+        sets = list(shingle_sets(batch.column(1)))
+        out = [_sketch(s).view(np.int64) for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["class", "n", "sketch"]
+        )
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values = column.flatten().to_numpy().view(np.uint64)
+    offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+    return [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _near_pairs(batches):
+    """Pairs (a, b, na, nb, sa, sb) whose sketches differ in no more cells than similar sets can."""
+    for batch in batches:
+        na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        keep = []
+        for x, y, i, j in zip(_lists(batch.column(4)), _lists(batch.column(5)), na, nb, strict=True):
+            words = min(len(x), len(y))
+            keep.append(int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()) <= most_apart(i, j))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verify(batches):
@@ -310,13 +341,11 @@ def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _not_ruled_out(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Distinct class pairs ``a``, ``b`` whose sketches differ in no more cells than similar sets can."""
+    """Distinct class pairs ``a``, ``b`` that their sketches do not rule out."""
     x = sketches.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     y = sketches.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
-    total = F.col("na") + F.col("nb")
-    most = total - 2 * F.ceil(total * NUM / (NUM + DEN))
-    return pairs.join(y, "b").join(x, "a").where(apart <= most).drop("na", "nb", "sa", "sb")
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(_near_pairs, "a bigint, b bigint")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -330,60 +359,71 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _open_groups(member: DataFrame, stars: DataFrame, named: DataFrame) -> DataFrame:
     """``level``, ``group``, ``class``, ``n``, ``label``: groups that hold every candidate pair with two labels.
 
-    A group is one index entry, or all that star pairs connect when comparing
-    those with one another costs less than going through their entries.
+    A group is a cluster of classes that share many entries, when comparing all
+    of it costs less than going through the entries inside it, or else one entry.
     """
     label = named.select("class", "n", "label").distinct()
-    reach = components(stars).withColumnRenamed("label", "whole")
-    reach = materialize(reach.join(label, reach["node"] == label["class"]).drop("node"), "reach")
-    wholes = reach.groupBy("whole").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    entry = member.join(reach.select("class", "whole"), "class").groupBy("entry").agg(
-        F.min("whole").alias("whole"), F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")
+    strong = components(stars.where(F.col("n") >= STRONG)).withColumnsRenamed({"label": "whole", "node": "_node"})
+    reach = label.join(strong, label["class"] == strong["_node"]).drop("_node")
+    reach = materialize(reach, "reach")
+    wholes = reach.groupBy("whole").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    whole = F.coalesce("whole", "class")
+    placed = member.join(reach.select("class", "whole"), "class", "left")
+    entry = placed.groupBy("entry").agg(
+        F.min(whole).alias("whole"), F.max(whole).alias("other"), F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")
     )
-    entry = materialize(entry.where("x <> y").select("entry", "whole", "m"), "entries")
-    cost = entry.groupBy("whole").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
-    plan = wholes.join(cost, "whole").select("whole", (F.col("m") * F.col("m") <= F.col("cost")).alias("dense"))
-    plan = materialize(plan, "plan")
-    dense = reach.join(plan.where("dense"), "whole").select(F.lit(1).alias("level"), F.col("whole").alias("group"), "class", "n", "label")
-    sparse = entry.join(plan.where("NOT dense"), "whole").select("entry")
-    sparse = member.join(sparse, "entry").select(F.lit(0).alias("level"), F.col("entry").alias("group"), "class", "n", "label")
-    return dense.unionByName(sparse)
+    entry = materialize(entry.where("x <> y").select("entry", "whole", "other", "m"), "entries")
+    cost = entry.where("whole = other").groupBy("whole").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
+    dense = wholes.join(cost, "whole").where(F.col("size") * F.col("size") <= F.col("cost")).select("whole")
+    dense = materialize(dense, "dense").withColumn("dense", F.lit(True))
+    inside = reach.join(dense, "whole").select(F.lit(1).alias("level"), F.col("whole").alias("group"), "class", "n", "label")
+    left = entry.join(dense, "whole", "left").where((F.col("whole") != F.col("other")) | F.col("dense").isNull()).select("entry")
+    alone = member.join(left, "entry").select(F.lit(0).alias("level"), F.col("entry").alias("group"), "class", "n", "label")
+    return inside.unionByName(alone)
 
 
 def _compare_blocks(batches):
     """Pairs of a task's groups whose labels differ and that neither sizes nor sketches rule out."""
-    keys, blocks, kinds, sizes, labels, inner, cells = [], [], [], [], [], [], []
+    parts, cells = [], []
     for batch in batches:
-        keys.append(batch.column(0).to_numpy())
-        blocks.append(batch.column(1).to_numpy())
-        kinds.append(batch.column(2).to_numpy())
-        sizes.append(batch.column(3).to_numpy())
-        labels.append(batch.column(4).to_numpy())
-        inner.append(batch.column(5).to_numpy(zero_copy_only=False))
-        cells.append(batch.column(6).flatten().to_numpy().reshape(-1, SKETCH).view(np.uint64))
-    if not keys:
+        parts.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
+        cells += _lists(batch.column(6))
+    if not cells:
         return
-    key, block, kind, n, label, within, cell = map(np.concatenate, (keys, blocks, kinds, sizes, labels, inner, cells))
-    order = np.lexsort((kind, block, key))
+    key, block, kind, n, label, within = map(np.concatenate, zip(*parts, strict=True))
+    words = np.array([len(c) for c in cells])
+    order = np.lexsort((kind, words, block, key))
     starts = np.flatnonzero(ws.firsts(key[order]))
     for first, last in zip(starts, np.r_[starts[1:], len(order)], strict=True):
         rows = order[first:last]
-        one = within[rows[0]]
-        low = rows if one else rows[block[rows] == block[rows[0]]]
-        high = rows[block[rows] != block[rows[0]]]
-        for at in range(0, len(low), STRIP):
-            x = low[at : at + STRIP]
-            # within one block every pair once, across two blocks all
-            y = low[at:] if one else high
-            total = n[x][:, None] + n[y][None, :]
-            most = total - 2 * -(-NUM * total // (NUM + DEN))
-            fits = (label[x][:, None] != label[y][None, :]) & (np.minimum(n[x][:, None], n[y]) * DEN >= np.maximum(n[x][:, None], n[y]) * NUM)
-            if not fits.any():
-                continue
-            apart = np.bitwise_count(cell[x][:, None, :] ^ cell[y][None, :, :]).sum(axis=2, dtype=np.int64)
-            i, j = np.nonzero(fits & (apart <= most))
-            a, b = kind[x[i]], kind[y[j]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        low = rows if within[rows[0]] else rows[block[rows] == block[rows[0]]]
+        high = rows if within[rows[0]] else rows[block[rows] != block[rows[0]]]
+        for w in np.unique(words[low]):
+            # sizes of similar sets are near, so their sketches are of one length or the next
+            for v in np.unique(words[high]):
+                if max(w, v) > 2 * min(w, v) or (within[rows[0]] and v < w):
+                    continue
+                x, y = low[words[low] == w], high[words[high] == v]
+                yield from _compare_lists(x, y, min(w, v), cells, kind, n, label)
+
+
+def _compare_lists(x, y, words, cells, kind, n, label):
+    ys = _folded(np.stack([cells[i] for i in y]), words)
+    for at in range(0, len(x), STRIP):
+        part = x[at : at + STRIP]
+        total = n[part][:, None] + n[y][None, :]
+        most = total - 2 * -(-NUM * total // (NUM + DEN))
+        small, large = np.minimum(n[part][:, None], n[y]), np.maximum(n[part][:, None], n[y])
+        i, j = np.nonzero((label[part][:, None] != label[y][None, :]) & (small * DEN >= large * NUM))
+        if not len(i):
+            continue
+        xs = _folded(np.stack([cells[c] for c in part]), words)
+        near = np.zeros(len(i), bool)
+        for cut in range(0, len(i), 4096):
+            c = slice(cut, cut + 4096)
+            near[c] = np.bitwise_count(xs[i[c]] ^ ys[j[c]]).sum(axis=1, dtype=np.int64) <= most[i[c], j[c]]
+        a, b = kind[part[i[near]]], kind[y[j[near]]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _compare(groups: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -429,7 +469,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     sketches = texts.mapInArrow(_sketches, "class bigint, n bigint, sketch array<bigint>")
     sketches = materialize(sketches, "sketches")
 
-    likely = materialize(_not_ruled_out(stars.where(_close("na", "nb")).select("a", "b", "n"), sketches), "likely")
+    likely = materialize(_not_ruled_out(stars.where(_close("na", "nb")).select("a", "b"), sketches), "likely")
     links = _linked(likely, texts)
     labels = components(links)
 
