@@ -52,15 +52,15 @@ def _has(col: Column, *parts: str) -> Column:
 def classify_url(col: Column, policy: str = "explorer") -> Column:
     """Source kind of a URL by one of the four precedence ladders."""
     low = F.lower(col)
-    github, arxiv = _has(col, "github.com"), _has(col, "arxiv.org")
-    wechat = _has(col, "mp.weixin.qq.com")
-    course = _has(low, "learn", "course", "tutorial")
+    github, arxiv = _has(col, vocab.GITHUB_HOST), _has(col, vocab.ARXIV_HOST)
+    wechat = _has(col, vocab.WECHAT_HOST)
+    course = _has(low, *vocab.COURSE_URL_WORDS)
     if policy == "explorer":
         return (
             F.when(github, "github")
             .when(arxiv, "arxiv")
-            .when(_has(col, "docs.", "documentation", "readthedocs", "/docs/"), "doc")
-            .when(_has(col, "learn", "course", "tutorial"), "course")
+            .when(_has(col, *vocab.DOC_URL_WORDS, vocab.DOC_URL_FOLDER), "doc")
+            .when(_has(col, *vocab.COURSE_URL_WORDS), "course")
             .otherwise("web")
         )
     if policy == "study":
@@ -71,7 +71,7 @@ def classify_url(col: Column, policy: str = "explorer") -> Column:
             .when(arxiv, "arxiv")
             .when(github, "github")
             .when(course, "course")
-            .when(_has(col, "docs.", "documentation", "readthedocs"), "doc")
+            .when(_has(col, *vocab.DOC_URL_WORDS), "doc")
             .otherwise("web")
         )
     if policy == "full":
@@ -160,8 +160,8 @@ def main_content_link(url: Column, base_path: Column) -> Column:
     nxt = F.try_element_at(parts, depth + 1)
     return F.coalesce(
         (F.size(parts) > depth)
-        & ~nxt.rlike(r"^[a-zA-Z]{2,3}(-[a-zA-Z]{2,3})?$")
-        & ~nxt.isin("events", "assets", "static"),
+        & ~nxt.rlike(vocab.LOCALE_SEGMENT)
+        & ~nxt.isin(*vocab.OTHER_SEGMENTS),
         F.lit(False),
     )
 

@@ -73,7 +73,7 @@ def interrupt_open(tasks: DataFrame) -> DataFrame:
     return kept.withColumns(
         {
             "error": F.when(open_ & (error == ""), vocab.INTERRUPTED_ERROR).otherwise(error),
-            "message": F.when(open_, "Task was interrupted before API restart").otherwise(F.coalesce("message", F.lit(""))),
+            "message": F.when(open_, vocab.INTERRUPTED_MESSAGE).otherwise(F.coalesce("message", F.lit(""))),
             "progress": F.when(open_, 100).otherwise(F.coalesce("progress", F.lit(0))).cast("long"),
             "status": F.when(open_, "interrupted").otherwise(status),
         }
