@@ -333,11 +333,15 @@ def _same_class(batches):
         yield batch.filter(pc.equal(own, batch.column(0)))
 
 
-def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``class``, ``text`` of ``classes`` (``class``, ``doc``); only their documents are shuffled."""
+def _texts(docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+    """``class``, ``text`` of ``classes`` (``class``, ``doc``); only their documents are shuffled.
+
+    Only where ids repeat can a class be found twice.
+    """
     likely = bloom.build(classes.select(F.xxhash64("doc")))
     found = docs.where(likely.might_contain(F.xxhash64("doc"))).join(classes, "doc").select("class", "text")
-    return materialize(found.mapInArrow(_same_class, "class bigint, text string").dropDuplicates(["class"]), "texts")
+    found = found.mapInArrow(_same_class, "class bigint, text string")
+    return materialize(found.dropDuplicates(["class"]) if repeated else found, "texts")
 
 
 def _not_ruled_out(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -350,29 +354,37 @@ def _not_ruled_out(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the distinct class pairs ``a``, ``b`` that link."""
+    wanted = bloom.build(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().select(F.xxhash64("class")))
+    texts = texts.where(wanted.might_contain(F.xxhash64("class")))
     left = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return materialize(both.mapInArrow(_verify, "a bigint, b bigint"), "links")
 
 
-def _open_groups(member: DataFrame, stars: DataFrame, named: DataFrame) -> DataFrame:
+def _open_groups(member: DataFrame, named: DataFrame) -> DataFrame:
     """``level``, ``group``, ``class``, ``n``, ``label``: groups that hold every candidate pair with two labels.
 
-    A group is a cluster of classes that share many entries, when comparing all
-    of it costs less than going through the entries inside it, or else one entry.
+    A group is a cluster of classes that share many entries (``whole``), when
+    comparing all of it costs less than going through the entries inside it, or
+    else one entry. Entries of the same classes are one.
     """
-    label = named.select("class", "n", "label").distinct()
-    strong = components(stars.where(F.col("n") >= STRONG)).withColumnsRenamed({"label": "whole", "node": "_node"})
-    reach = label.join(strong, label["class"] == strong["_node"]).drop("_node")
-    reach = materialize(reach, "reach")
+    reach = named.select("class", "n", "label", "whole").distinct()
     wholes = reach.groupBy("whole").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    whole = F.coalesce("whole", "class")
-    placed = member.join(reach.select("class", "whole"), "class", "left")
-    entry = placed.groupBy("entry").agg(
-        F.min(whole).alias("whole"), F.max(whole).alias("other"), F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")
+    entry = member.groupBy("entry").agg(
+        F.min("whole").alias("whole"),
+        F.max("whole").alias("other"),
+        F.count(F.lit(1)).alias("m"),
+        F.min("label").alias("x"),
+        F.max("label").alias("y"),
+        F.min("class").alias("low"),
+        F.max("class").alias("high"),
+        F.bit_xor(F.xxhash64("class")).alias("mark"),
     )
-    entry = materialize(entry.where("x <> y").select("entry", "whole", "other", "m"), "entries")
+    entry = entry.where("x <> y").groupBy("mark", "m", "low", "high").agg(
+        F.min("entry").alias("entry"), F.first("whole").alias("whole"), F.first("other").alias("other")
+    )
+    entry = materialize(entry.select("entry", "whole", "other", "m"), "entries")
     cost = entry.where("whole = other").groupBy("whole").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
     dense = wholes.join(cost, "whole").where(F.col("size") * F.col("size") <= F.col("cost")).select("whole")
     dense = materialize(dense, "dense").withColumn("dense", F.lit(True))
@@ -465,7 +477,8 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     inside = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     one = sizes.groupBy("class").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n")).join(inside, "class")
     one = materialize(one, "classes")
-    texts = _texts(keyed, one.select("class", "doc"))
+    repeated = sizes.groupBy("doc").count().where("count > 1").limit(1).count() > 0
+    texts = _texts(keyed, one.select("class", "doc"), repeated)
     sketches = texts.mapInArrow(_sketches, "class bigint, n bigint, sketch array<bigint>")
     sketches = materialize(sketches, "sketches")
 
@@ -473,13 +486,13 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     links = _linked(likely, texts)
     labels = components(links)
 
-    named = of.join(labels, of["class"] == labels["node"], "left").select(
-        "doc", "class", "n", F.coalesce("label", "class").alias("label")
-    )
+    strong = components(stars.where(F.col("n") >= STRONG)).withColumnsRenamed({"node": "_node", "label": "whole"})
+    named = of.join(labels, of["class"] == labels["node"], "left").drop("node").join(strong, F.col("class") == F.col("_node"), "left")
+    named = named.select("doc", "class", "n", F.coalesce("label", "class").alias("label"), F.coalesce("whole", "class").alias("whole"))
     named = materialize(named, "named")
-    member = found.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("doc")).distinct()
-    member = member.join(named, "doc").select("entry", "class", "n", "label").distinct()
-    groups = materialize(_open_groups(member, stars, named), "open")
+    member = found.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("doc")).join(named, "doc")
+    member = materialize(member.select("entry", "class", "n", "label", "whole").distinct(), "member")
+    groups = materialize(_open_groups(member, named), "open")
     known = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = _compare(groups, sketches).distinct().join(known, ["a", "b"], "left_anti")
     more = _linked(materialize(rest, "rest"), texts)
