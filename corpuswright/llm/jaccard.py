@@ -10,8 +10,9 @@ one-deletion neighbourhoods, and where even those may miss, single shingles.
 Documents that share an index entry are candidates and verified exactly.
 
 Exact copies are one class. Within an index entry candidates first meet its
-smallest document only; members that these links have not joined are paired
-afterwards, and only pairs that a sketch of the sets cannot rule out are read, so groups of similar documents never expand into all their pairs.
+smallest document only. Members that these links have not joined are compared
+afterwards inside tasks, and only pairs that a sketch of the sets cannot rule out
+become rows, so groups of similar documents never expand into all their pairs.
 """
 
 from __future__ import annotations
