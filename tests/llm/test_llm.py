@@ -266,6 +266,54 @@ def test_licences(spark, empty):
     assert licences.scan(empty, model).count() == 0
 
 
+WRAPPED = {
+    "MIT": """The MIT License (MIT)
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "BSD": """Copyright (c) 2020, A. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation.""",
+}
+
+
+def test_wrapped_licences(spark):
+    def marked(text, first, mark, last):
+        return "\n".join([first, *[f"{mark} {x}".rstrip() for x in text.split("\n")], last])
+
+    base = [(i, f"{prose(i, 60)}\n{prose(i + 1, 30)}\n\nYou may modify the software.\n", "en", None, 0) for i in range(60)]
+    rows, want = list(base), {r[0]: None for r in base}
+    for i, (family, text) in enumerate(WRAPPED.items()):
+        code = "\n".join(prose(j, 6) for j in range(40))
+        forms = [text, text.replace("\n", "\r\n"), f"{prose(i, 20)}\n\n{text}\n\n{prose(i, 90)}"]
+        forms += [marked(text, "#!/bin/sh", "#", code), marked(text, "/*", " *", f" */\n{code}"), marked(text, "", "--", code), marked(text, "", "dnl", code)]
+        for j, form in enumerate(forms):
+            rows.append((100 + 10 * i + j, form, "en", None, 0))
+            want[100 + 10 * i + j] = family
+    df = spark.createDataFrame(rows, DOCS)
+    found = licences.scan(df, licences.train(df)).select("doc_id", "licence", "n_lines").collect()
+    assert {r["doc_id"]: r["licence"] for r in found} == want
+    assert all((r["n_lines"] > 0) == (r["licence"] is not None) for r in found)
+
+
 def test_jaccard_join(docs, texts, empty):
     found = jaccard.near_duplicates(docs)
     assert {r[0]: r[1:] for r in rows_of(found)} == brute.components(texts.items())
