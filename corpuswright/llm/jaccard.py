@@ -10,7 +10,7 @@ one-deletion neighbourhoods, and where even those may miss, single shingles.
 Documents that share an index entry are candidates and verified exactly.
 
 Exact copies are one class. Within an index entry candidates first meet its
-smallest document only. Members that these links have not joined are compared
+smallest class only. Members that these links have not joined are compared
 afterwards inside tasks, and only pairs that a sketch of the sets cannot rule out
 become rows, so groups of similar documents never expand into all their pairs.
 """
@@ -174,7 +174,7 @@ def _stars(key, ids, starts, sizes):
 
 
 def _index(buckets: int):
-    """Map side: entries by bucket. Documents of one task that share an entry are joined here already."""
+    """Map side: entries by bucket, under the class of their set. Classes of one task that share an entry are joined here already."""
 
     def flush(sigs, ids):
         if not sigs:
@@ -200,8 +200,7 @@ def _index(buckets: int):
     def run(batches):
         sigs, ids, total, seen = [], [], 0, set()
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for doc, s in zip(names, shingle_sets(batch.column(1)), strict=True):
+            for s in shingle_sets(batch.column(0)):
                 kind = _class(s)
                 if not len(s) or kind in seen:
                     continue
@@ -209,7 +208,7 @@ def _index(buckets: int):
                     seen.clear()
                 seen.add(kind)
                 sigs.append(entries(s))
-                ids.append(doc)
+                ids.append(kind)
                 total += len(sigs[-1])
                 if total >= FLUSH:
                     yield from flush(sigs, ids)
@@ -220,7 +219,7 @@ def _index(buckets: int):
 
 
 def _candidates(batches):
-    """Reduce side: ``(kind, a, b, n)``: pairs with their count, and members of entries (a: entry, b: document)."""
+    """Reduce side: ``(kind, a, b, n)``: pairs with their count, and members of entries (a: entry, b: class)."""
     found = blobs.gather(batches, _TYPES)
     bucket, sig, ids = found[_DOC]
     key, at, starts, sizes = _groups((bucket << 32) | sig.astype(np.int64), ids)
@@ -335,12 +334,14 @@ def _same_class(batches):
 
 
 def _texts(docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
-    """``class``, ``text`` of ``classes`` (``class``, ``doc``); only their documents are shuffled.
+    """``class``, ``text`` of ``classes`` (``class``, ``doc``, ``body``); only their documents are shuffled.
 
-    Only where ids repeat can a class be found twice.
+    Ids may be null or stand for many texts, so documents are found by id and
+    text hash. Only where those repeat can a class be found twice.
     """
-    likely = bloom.build(classes.select(F.xxhash64("doc")))
-    found = docs.where(likely.might_contain(F.xxhash64("doc"))).join(classes, "doc").select("class", "text")
+    likely = bloom.build(classes.select(F.xxhash64("doc", "body")))
+    named = docs.withColumn("body", rows.body())
+    found = named.where(likely.might_contain(F.xxhash64("doc", "body"))).join(classes, ["doc", "body"]).select("class", "text")
     found = found.mapInArrow(_same_class, "class bigint, text string")
     return materialize(found.dropDuplicates(["class"]) if repeated else found, "texts")
 
@@ -370,8 +371,7 @@ def _open_groups(member: DataFrame, named: DataFrame) -> DataFrame:
     comparing all of it costs less than going through the entries inside it, or
     else one entry. Entries of the same classes are one.
     """
-    reach = named.select("class", "n", "label", "whole").distinct()
-    wholes = reach.groupBy("whole").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    wholes = named.groupBy("whole").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     entry = member.groupBy("entry").agg(
         F.min("whole").alias("whole"),
         F.max("whole").alias("other"),
@@ -389,7 +389,7 @@ def _open_groups(member: DataFrame, named: DataFrame) -> DataFrame:
     cost = entry.where("whole = other").groupBy("whole").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
     dense = wholes.join(cost, "whole").where(F.col("size") * F.col("size") <= F.col("cost")).select("whole")
     dense = materialize(dense, "dense").withColumn("dense", F.lit(True))
-    inside = reach.join(dense, "whole").select(F.lit(1).alias("level"), F.col("whole").alias("group"), "class", "n", "label")
+    inside = named.join(dense, "whole").select(F.lit(1).alias("level"), F.col("whole").alias("group"), "class", "n", "label")
     left = entry.join(dense, "whole", "left").where((F.col("whole") != F.col("other")) | F.col("dense").isNull()).select("entry")
     alone = member.join(left, "entry").select(F.lit(0).alias("level"), F.col("entry").alias("group"), "class", "n", "label")
     return inside.unionByName(alone)
@@ -463,23 +463,19 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     read = keyed.select("doc", rows.body().alias("body"), "text")
     sizes = materialize(read.mapInArrow(_sizes, "doc bigint, body bigint, n_shingles bigint, class bigint"), "sizes")
     n = blobs.partitions(docs)
-    index = keyed.mapInArrow(_index(n), blobs.schema(3)).repartition(n, "bucket")
+    index = docs.select("text").mapInArrow(_index(n), blobs.schema(3)).repartition(n, "bucket")
     found = materialize(index.mapInArrow(_candidates, "kind int, a bigint, b bigint, n bigint"), "candidates")
 
-    of = sizes.select("doc", "class", F.col("n_shingles").alias("n")).distinct()
-    first = of.select(F.col("doc").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"))
-    second = of.select(F.col("doc").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"))
+    least = F.min(F.struct("doc", "body")).alias("least")
+    of = sizes.where("n_shingles > 0").groupBy("class").agg(least, F.first("n_shingles").alias("n"))
+    of = materialize(of.select("class", "least.doc", "least.body", "n"), "classes")
+    first = of.select(F.col("class").alias("a"), F.col("n").alias("na"))
+    second = of.select(F.col("class").alias("b"), F.col("n").alias("nb"))
     summed = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    stars = summed.join(first, "a").join(second, "b").where("ca <> cb")
-    stars = stars.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(
-        F.sum("n").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb")
-    )
-    stars = materialize(stars, "stars")
+    stars = materialize(summed.join(first, "a").join(second, "b"), "stars")
     inside = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    one = sizes.groupBy("class").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n")).join(inside, "class")
-    one = materialize(one, "classes")
-    repeated = sizes.groupBy("doc").count().where("count > 1").limit(1).count() > 0
-    texts = _texts(keyed, one.select("class", "doc"), repeated)
+    repeated = sizes.groupBy("doc", "body").count().where("count > 1").limit(1).count() > 0
+    texts = _texts(keyed, of.select("class", "doc", "body").join(inside, "class"), repeated)
     sketches = texts.mapInArrow(_sketches, "class bigint, n bigint, sketch array<bigint>")
     sketches = materialize(sketches, "sketches")
 
@@ -489,9 +485,9 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 
     strong = components(stars.where(F.col("n") >= STRONG)).withColumnsRenamed({"node": "_node", "label": "whole"})
     named = of.join(labels, of["class"] == labels["node"], "left").drop("node").join(strong, F.col("class") == F.col("_node"), "left")
-    named = named.select("doc", "class", "n", F.coalesce("label", "class").alias("label"), F.coalesce("whole", "class").alias("whole"))
+    named = named.select("class", "n", F.coalesce("label", "class").alias("label"), F.coalesce("whole", "class").alias("whole"))
     named = materialize(named, "named")
-    member = found.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("doc")).join(named, "doc")
+    member = found.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("class")).join(named, "class")
     member = materialize(member.select("entry", "class", "n", "label", "whole").distinct(), "member")
     groups = materialize(_open_groups(member, named), "open")
     known = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

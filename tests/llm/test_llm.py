@@ -346,6 +346,17 @@ def test_keep_one_of_each_component(spark):
     assert rows_of(jaccard.keep_one(same)) == [(5, a, "x")]
 
 
+def test_near_copies_with_one_id(spark):
+    """Different texts under null or repeated ids meet like those under their own."""
+    a, b, c = prose(21, 120), prose(22, 90), prose(23, 150)
+    rows = [(None, a), (None, edited(a, 1, 0.005)), (None, edited(a, 2, 0.005)), (None, b), (7, c), (7, edited(c, 3, 0.005))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = [{x for _, x in rows[:3]}, {b}, {x for _, x in rows[4:]}]
+    kept = [r["text"] for r in jaccard.keep_one(df).collect()]
+    assert len(kept) == 3
+    assert all(len(g & set(kept)) == 1 for g in groups)
+
+
 CONV = "conv_id long, turn long, role string, text string"
 
 
