@@ -295,6 +295,13 @@ License as published by the Free Software Foundation.""",
 }
 
 
+def test_no_template_without_a_mark():
+    marks = set(licences.marks())
+    for family, pairs in licences.template_pairs():
+        bare = [p for p in pairs if marks.isdisjoint(p.split())]
+        assert len(bare) < licences.CONFIRM * len(pairs), family
+
+
 def test_wrapped_licences(spark):
     def marked(text, first, mark, last):
         return "\n".join([first, *[f"{mark} {x}".rstrip() for x in text.split("\n")], last])
