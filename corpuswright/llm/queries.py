@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import chat, decontam, jaccard, licences, mixing, quality, substring, tokens, urls, warc
+from . import chat, decontam, interactions, jaccard, licences, mixing, quality, shards, spelling, substring, tokens, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -244,8 +244,68 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_quality_rules, op4_warc_archive, op5_substring_dedup, op6_mix_sources, op7_licence_scan, op8_jaccard_join, op9_chat_format, op10_decontaminate)}
-ORACLES = {"op1_url_filter": OP1_SQL, "op4_warc_archive": OP4_SQL, "op9_chat_format": OP9_SQL, "op5_substring_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL}
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every step of every order of the five filters, by language."""
+    cells = interactions.failure_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return interactions.audit(cells)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents),
+l AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+          100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT o, s, strpos('ABCDE', substr(o, s, 1)) AS own,
+         list_transform(range(1, s), lambda i: strpos('ABCDE', substr(o, i::INT, 1))) AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS s) steps),
+seen AS (
+  SELECT part, o, s, own, n, good, toxic, fails[own] AS hit, list_bool_or(list_transform(earlier, lambda i: fails[i])) AS gone,
+         list_sum(list_transform(fails, lambda b: b::INT)) AS faults
+  FROM steps, cells),
+counted AS (
+  SELECT part, o AS filter_order, s::INT AS step, own,
+         sum(CASE WHEN NOT hit AND NOT coalesce(gone, false) THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN hit AND NOT coalesce(gone, false) THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN hit AND coalesce(gone, false) THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN hit AND faults = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN hit AND NOT coalesce(gone, false) THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN hit AND NOT coalesce(gone, false) THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM seen GROUP BY part, o, s, own)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM counted
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the vocabulary."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; equal texts are linked."""
+    placed = shards.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_quality_rules, op4_warc_archive, op5_substring_dedup, op6_mix_sources, op7_licence_scan, op8_jaccard_join, op9_chat_format, op10_decontaminate, op11_filter_audit, op12_spelling_variants, op13_balanced_shards)}
+ORACLES = {"op1_url_filter": OP1_SQL, "op4_warc_archive": OP4_SQL, "op9_chat_format": OP9_SQL, "op5_substring_dedup": OP5_SQL, "op10_decontaminate": OP10_SQL, "op11_filter_audit": OP11_SQL}
 
 
 def queries():
