@@ -1,18 +1,9 @@
-"""Vector, keyword and hybrid retrieval.
-
-Vector queries come as a batch and are handed to the tasks in blocks of bounded
-size. Each task scores its own partition against the block and keeps its best
-``k`` per query, so only ``k`` rows per query and partition are shuffled. Keyword
-retrieval is equi joins on words.
-"""
+"""Keyword and hybrid retrieval, and the store of chunks they search; vectors are in ``vectors``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -21,167 +12,111 @@ from .chunking import chunk_rows
 from .ordering import top_per_key
 from .terms import join_counts, token_runs
 
-#: Queries per pass over the base table, and rows scored at a time. Together they
-#: bound the score matrix of a task.
-QUERY_BLOCK = 2_000
-ROW_SLICE = 1_024
-RANKED = "qid long, id long, score double"
-
 # --- fixed values: published BM25 and rank fusion constants -------------------------
 K1, B = 1.2, 0.75
 RRF = 60
 
-
-def _blocks(df: DataFrame, size: int) -> Iterator[list[Row]]:
-    """Rows of a query batch in blocks; one partition at a time on the driver."""
-    block: list[Row] = []
-    for row in df.toLocalIterator():
-        block.append(row)
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-class _Best:
-    """Best ``k`` (score, id) per query seen in one partition; ids settle ties."""
-
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.scores = [np.empty(0)] * n
-        self.ids = [np.empty(0, dtype=np.int64)] * n
-
-    def add(self, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray) -> None:
-        for q in range(len(self.scores)):
-            keep = allowed[q]
-            s = np.concatenate([self.scores[q], scores[q][keep]])
-            i = np.concatenate([self.ids[q], ids[keep]])
-            if len(s) > self.k:
-                edge = np.partition(s, len(s) - self.k)[len(s) - self.k]
-                near = s >= edge
-                s, i = s[near], i[near]
-            order = np.lexsort((i, -s))[: self.k]
-            self.scores[q], self.ids[q] = s[order], i[order]
-
-    def frame(self, qids: np.ndarray) -> pd.DataFrame:
-        sizes = [len(s) for s in self.scores]
-        return pd.DataFrame(
-            {"qid": np.repeat(qids, sizes), "id": np.concatenate(self.ids), "score": np.concatenate(self.scores)}
-        )
-
-
-def _unit(vectors) -> np.ndarray:
-    m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+#: Impact levels of a term's postings, and postings per term that may start the running k-th score, per row asked for.
+LEVELS = 16
+HEADS = 2
+#: Sums of the same weights in another order differ by less.
+MARGIN = 1e-5
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for at in range(0, len(b), ROW_SLICE):
-            yield b.iloc[at : at + ROW_SLICE]
+def _postings(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunk, term, w``: BM25 weights of the words that some query has. Texts are read once.
 
-
-def _union_top(parts: list[DataFrame], k: int, empty: DataFrame) -> DataFrame:
-    if not parts:
-        return empty.sparkSession.createDataFrame([], RANKED + ", rank long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_per_key(out, ["qid"], [F.col("score").desc(), F.col("id")], k)
-
-
-def vector_topk(queries: DataFrame, base: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
-    """Nearest vectors by cosine, exact. ``queries(qid, embedding)``, ``base(id, embedding)``."""
-    parts = []
-    for rows in _blocks(queries.select("qid", "embedding"), block):
-        qids, matrix = np.array([r["qid"] for r in rows], dtype=np.int64), _unit([r["embedding"] for r in rows])
-        parts.append(base.select("id", "embedding").mapInPandas(_vector_scan(qids, matrix, k), RANKED))
-    return _union_top(parts, k, base)
+    Every chunk also sends its length, under a term of its own that no word can
+    equal, so the number of chunks and their mean length come from the same pass.
+    """
+    keys = [c for c in chunks.columns if c != "text"]
+    read = chunks.select(F.struct(*keys).alias("chunk"), tx.word_tokens(F.col("text")).alias("tokens"))
+    own = F.struct(F.concat(F.lit("\x00"), F.xxhash64("chunk").cast("string")).alias("term"), F.lit(0).cast("long").alias("tf"))
+    runs = F.concat(F.array(own), F.coalesce(token_runs("tokens"), F.array().cast("array<struct<term:string,tf:bigint>>")))
+    rows = read.select("chunk", F.size("tokens").alias("length"), F.explode_outer(runs).alias("_c"))
+    rows = rows.select("chunk", "length", F.col("_c.term").alias("term"), F.col("_c.tf").alias("tf"))
+    known = asked.select("term").distinct().withColumn("known", F.lit(True))
+    counted = materialize(rows.join(known, "term", "left").where("known OR tf = 0").drop("known"), "held")
+    size = counted.where("tf = 0").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).first()
+    held = counted.where("tf > 0")
+    joined = join_counts(held, held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "df", "chunk")
+    rare = F.log(1 + (F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = K1 * (1 - B + B * F.col("length") / F.lit(size["average"] or 1.0))
+    return materialize(joined.select("chunk", "term", (rare * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("w")), "postings")
 
 
-def _vector_scan(qids: np.ndarray, matrix: np.ndarray, k: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(len(qids), k)
-        for b in _slices(batches):
-            scores = np.round(matrix @ _unit(b["embedding"]).T, 6)
-            best.add(scores, b["id"].to_numpy(), np.ones_like(scores, dtype=bool))
-        yield best.frame(qids)
+def _rescored(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """``qid, chunk, score`` of the given pairs, over all words of the query."""
+    held = postings.join(pairs.select("chunk").distinct(), "chunk", "left_semi")
+    words = pairs.join(held, "chunk").join(asked, ["qid", "term"])
+    return words.groupBy("qid", "chunk").agg(F.round(F.sum("w"), 6).alias("score"))
 
-    return run
 
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    return top_per_key(scored, ["qid"], [F.col("score").desc(), F.col("chunk")], k)
 
-def projection_signs(dim: int, tables: int, bits: int) -> np.ndarray:
-    """Signs of the projections, a rule of their numbers so that SQL can repeat them."""
-    p, i = np.arange(tables * bits)[:, None], np.arange(dim)[None, :]
-    return np.where(((i + 1) * (2 * p + 3) * 7919 + i * p) % 10007 % 2 == 1, 1.0, -1.0)
 
+def _level(w: Column, most: Column) -> Column:
+    return F.least(F.floor(w / most * LEVELS), F.lit(LEVELS - 1)).cast("int")
 
-def _buckets(df: DataFrame, key: str, tables: int, bits: int) -> DataFrame:
-    """``key``, ``table``, ``bucket``: the signs of ``bits`` projections in each table."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _slices(batches):
-            if not len(b):
-                continue
-            m = np.array([np.asarray(v, dtype=np.float64) for v in b["embedding"]])
-            side = (m @ projection_signs(m.shape[1], tables, bits).T >= 0).reshape(len(b), tables, bits)
-            codes = (side * (1 << np.arange(bits))).sum(axis=2)
-            yield pd.DataFrame(
-                {key: np.repeat(b[key].to_numpy(), tables), "table": np.tile(np.arange(tables), len(b)), "bucket": codes.reshape(-1)}
-            )
-
-    return df.select(key, "embedding").mapInPandas(run, f"{key} long, table long, bucket long")
-
-
-def approx_vector_topk(queries: DataFrame, base: DataFrame, k: int = 10, tables: int = 16, bits: int = 4) -> DataFrame:
-    """Nearest vectors among those on the same side of all projections of some table.
+def keyword_pairs(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """``qid, chunk`` of all chunks that can be among a query's best ``k``, and few others.
 
-    Candidates come from an equi join on table and bucket, and only they are
-    scored. Hot buckets are split by the join.
+    The best postings of each word give a first list per query, whose k-th score
+    is a bound from below. A query's words are put in the order of their largest
+    weight. A chunk whose first word in that order is ``t`` scores at most its
+    weight plus the largest weights of the words behind ``t``; a posting whose
+    weight stays under what the bound leaves of that (``need``) is not looked at.
+    Postings are joined by word and level of weight, so those of frequent words
+    are mostly left alone; a word with no more postings than are looked at anyway
+    is looked at in full. Words of a chunk that were not met weigh less than their
+    need, which bounds the chunk once more.
     """
-    near = _buckets(base, "id", tables, bits).join(_buckets(queries, "qid", tables, bits), ["table", "bucket"])
-    pairs = near.select("qid", "id").distinct()
-    left = queries.select("qid", F.transform("embedding", lambda x: x.cast("double")).alias("_q"))
-    right = base.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("_b"))
-
-    def dot(x: str, y: str):
-        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
-
-    norm = F.sqrt(dot("_q", "_q")) * F.sqrt(dot("_b", "_b"))
-    score = F.when(norm > 0, F.round(dot("_q", "_b") / norm, 6)).otherwise(0.0)
-    scored = pairs.join(right, "id").join(left, "qid").select("qid", "id", score.alias("score"))
-    return top_per_key(scored, ["qid"], [F.col("score").desc(), F.col("id")], k).select("qid", "id", "score", "rank")
+    terms = materialize(postings.groupBy("term").agg(F.max("w").alias("most"), F.count(F.lit(1)).alias("df")), "terms")
+    words = asked.join(terms, "term")
+    later = W.partitionBy("qid").orderBy(F.col("most").desc(), "term").rowsBetween(1, W.unboundedFollowing)
+    words = materialize(words.withColumn("behind", F.coalesce(F.sum("most").over(later), F.lit(0.0))), "words")
+
+    heads = top_per_key(postings, ["term"], [F.col("w").desc(), F.col("chunk")], HEADS * k, "place").drop("place")
+    partial = words.join(heads, "term").groupBy("qid", "chunk").agg(F.sum("w").alias("score"))
+    first = _rescored(_best(partial, HEADS * k).select("qid", "chunk"), asked, postings)
+    bound = _best(first, k).where(F.col("rank") == k).select("qid", (F.col("score") - MARGIN).alias("bound"))
+
+    needs = words.join(bound, "qid", "left").withColumn("need", F.greatest(F.col("bound") - F.col("behind"), F.lit(0.0)))
+    query = W.partitionBy("qid")
+    paid = F.sum(F.when(F.col("need") == 0, F.col("df"))).over(query)
+    needs = needs.withColumn("need", F.when(F.col("df") <= paid, F.lit(0.0)).otherwise(F.col("need"))).withColumn("cap", F.least("most", "need"))
+    needs = materialize(needs.withColumn("caps", F.sum("cap").over(query)).drop("df"), "needs")
+    looked = needs.where("most >= need").withColumn(
+        "level", F.explode(F.sequence(_level(F.col("need"), F.col("most")), F.lit(LEVELS - 1)))
+    )
+    levelled = postings.join(terms.select("term", F.col("most").alias("_most")), "term").select("chunk", "term", "w", _level(F.col("w"), F.col("_most")).alias("level"))
+    met = looked.join(levelled, ["term", "level"]).where("w >= need")
+    reach = met.groupBy("qid", "chunk").agg((F.sum(F.col("w") - F.col("cap")) + F.first("caps")).alias("reach"), F.first("bound").alias("bound"))
+    return reach.where("bound IS NULL OR reach >= bound - 1e-9").select("qid", "chunk")
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """Best chunks per query by BM25. ``queries(qid, tokens)``, ``chunks(id, text)``.
+    """Best chunks per query by BM25. ``queries(qid, tokens)``; ``chunks``: ``text`` and the columns that name a chunk.
 
-    Words are counted inside their chunk, and only words that some query has
-    leave it. Words that very many chunks hold are spread by chunk where document
-    frequencies are joined.
+    The result has the columns ``qid``, those of the chunk, ``score`` and ``rank``;
+    ties go to the chunk that comes first. It is exact: only chunks that cannot be
+    among the best are left out before scoring.
     """
     asked = materialize(queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term")), "asked")
-    read = chunks.select("id", tx.word_tokens(F.col("text")).alias("tokens"))
-    size = read.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("average")).first()
-    held = read.select("id", F.size("tokens").alias("length"), F.explode_outer(token_runs("tokens")).alias("_c"))
-    held = held.where("_c IS NOT NULL").select("id", "length", "_c.term", "_c.tf")
-    held = materialize(held.join(asked.select("term").distinct(), "term", "left_semi"), "held")
-    joined = join_counts(held, held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "df", "id")
-    rare = F.log(1 + (F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = K1 * (1 - B + B * F.col("length") / F.lit(size["average"] or 1.0))
-    weighted = joined.select("id", "term", (rare * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("w"))
-    scored = weighted.join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_per_key(scored, ["qid"], [F.col("score").desc(), F.col("id")], k).select("qid", "id", "score", "rank")
+    postings = _postings(asked, chunks)
+    scored = _rescored(keyword_pairs(asked, postings, k), asked, postings)
+    return _best(scored, k).select("qid", "chunk.*", "score", "rank")
 
 
 def hybrid_topk(vector: DataFrame, keyword: DataFrame, k: int = 10) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked lists (qid, id, rank).
+    """Reciprocal-rank fusion of two ranked lists (qid, id, rank); an id's best chunk gives its rank.
 
     A query without a keyword result falls back to its vector list.
     """
-    both = vector.select("qid", "id", "rank").unionByName(keyword.select("qid", "id", "rank"))
+    keyword = keyword.groupBy("qid", "id").agg(F.min("rank").alias("rank"))
+    both = vector.select("qid", "id", "rank").unionByName(keyword)
     found = keyword.select("qid").distinct()
     fused = (
         both.join(found, "qid", "left_semi")

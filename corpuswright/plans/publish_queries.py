@@ -14,6 +14,7 @@ from ..operators import repos as rp
 from ..operators import responses as rs
 from ..operators import retrieval as rt
 from ..operators import terms as tm
+from ..operators import vectors as vt
 from ..session import scratch_path
 from ..sources import book as bk
 from ..sources import files as fs
@@ -504,25 +505,55 @@ VECTOR_SQL = """cos AS (SELECT q.qid, e.vec_id AS id, round(list_cosine_similari
     SELECT * FROM vec WHERE rank <= 10""",
 )
 def k1(spark, d):
-    return rt.vector_topk(_label_queries(spark, d), _vectors(spark, d))
+    return vt.vector_topk(_label_queries(spark, d), _vectors(spark, d))
+
+
+def _lists_sql() -> str:
+    """The quantiser in SQL: sample, centroids after each round, level values, lists looked at."""
+    near = "round(list_dot_product(u, c) - list_dot_product(c, c) / 2, 9)"
+    rounds = ""
+    for r in range(vt.ROUNDS):
+        rounds += f"""
+    a{r} AS (SELECT i, min(struct_pack(d := -{near}, j := j)).j AS j FROM s, c{r} GROUP BY i),
+    m{r} AS (SELECT j, list(x ORDER BY p) AS c FROM (SELECT j, p, round(avg(x), 6) AS x
+      FROM (SELECT j, unnest(u) AS x, generate_subscripts(u, 1) AS p FROM a{r} JOIN s USING (i)) GROUP BY j, p) GROUP BY j),
+    c{r + 1} AS (SELECT o.j, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m USING (j)),"""
+    return f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+    u AS (SELECT id, e, list_transform(e, lambda x: coalesce(round(x / nullif(sqrt(list_dot_product(e, e)), 0), 7), 0)) AS u FROM v),
+    size AS (SELECT count(*) AS n, greatest(1, least({vt.MAX_LISTS}, round(sqrt(count(*)) / 2))) AS lists FROM u),
+    s AS (SELECT u, row_number() OVER (ORDER BY h, id) AS i FROM (SELECT *, id % 2147483648 * 2654435761 % 4294967296 AS h FROM u), size
+      WHERE h < {vt.SAMPLE} * 4294967296.0::DOUBLE / n),
+    c0 AS (SELECT i - 1 AS j, u AS c FROM s, size WHERE i <= lists),{rounds}
+    lv AS (SELECT p, list_transform(range(1, {vt.LEVELS}), lambda k: o[(k * m // {vt.LEVELS} + 1)::INT]) AS edges,
+                  list_transform(range({vt.LEVELS}), lambda k: o[((2 * k + 1) * m // {2 * vt.LEVELS} + 1)::INT]) AS vals
+      FROM (SELECT p, list(x ORDER BY x) AS o, count(*) AS m FROM (SELECT unnest(u) AS x, generate_subscripts(u, 1) AS p FROM s) GROUP BY p)),
+    coded AS (SELECT id, list(y ORDER BY p) AS code FROM (
+        SELECT id, p, vals[1 + len(list_filter(edges, lambda b: b <= x))] AS y
+        FROM (SELECT id, unnest(u) AS x, generate_subscripts(u, 1) AS p FROM u) JOIN lv USING (p)) GROUP BY id),
+    home AS (SELECT id, min(struct_pack(d := -{near}, j := j)).j AS j FROM u, c{vt.ROUNDS} GROUP BY id),
+    tried AS (SELECT a.i, b.i AS o, row_number() OVER (PARTITION BY a.i ORDER BY round(list_dot_product(a.u, b.u), 6) DESC, b.i) AS place
+      FROM s a, s b WHERE a.i <= {vt.TRIALS} AND a.i <> b.i),
+    order_ AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY {near} DESC, j) AS place FROM s, c{vt.ROUNDS}),
+    first_ AS (SELECT i, j FROM order_ WHERE place = 1),
+    looked AS (SELECT list(w.place ORDER BY w.place)[ceil({vt.COVERED} * count(*))::INT] AS probes
+      FROM tried t JOIN first_ f ON f.i = t.o JOIN order_ w ON w.i = t.i AND w.j = f.j WHERE t.place <= 10)"""
 
 
 @query(
     "k5_approx_vector_topk",
-    """WITH q AS (SELECT label::BIGINT AS qid, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
-    v AS (SELECT vec_id AS id, 'b' AS side, embedding FROM embeddings UNION ALL SELECT qid, 'q', embedding FROM q),
-    x AS (SELECT id, side, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS i FROM v),
-    dots AS (SELECT id, side, p, sum(CASE WHEN ((i + 1) * (2 * p + 3) * 7919 + i * p) % 10007 % 2 = 1 THEN e ELSE -e END) AS s
-      FROM x, (SELECT unnest(range(64)) AS p) ps GROUP BY id, side, p),
-    h AS (SELECT id, side, p // 4 AS t, sum(CASE WHEN s >= 0 THEN 1 << (p % 4)::INT ELSE 0 END) AS bucket FROM dots GROUP BY id, side, t),
-    pairs AS (SELECT DISTINCT a.id AS qid, b.id FROM h a JOIN h b ON a.side = 'q' AND b.side = 'b' AND a.t = b.t AND a.bucket = b.bucket),
-    cos AS (SELECT pairs.qid, pairs.id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
-      FROM pairs JOIN q ON q.qid = pairs.qid JOIN embeddings e ON e.vec_id = pairs.id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM cos)
-    SELECT * FROM r WHERE rank <= 10""",
+    f"""WITH {_lists_sql()},
+    q AS (SELECT id AS qid, e AS qe, u FROM u WHERE id % 20 = 0),
+    asked AS (SELECT qid, qe, u, j FROM (SELECT qid, qe, u, j, row_number() OVER (PARTITION BY qid
+        ORDER BY round(list_dot_product(u, c) - list_dot_product(c, c) / 2, 9) DESC, j) AS place FROM q, c{vt.ROUNDS}), looked WHERE place <= probes),
+    found AS (SELECT qid, qe, h.id, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(a.u, d.code), 6) DESC, h.id) AS place
+      FROM asked a JOIN home h USING (j) JOIN coded d ON d.id = h.id),
+    r AS (SELECT qid, f.id, round(list_cosine_similarity(qe, e), 6) AS score FROM found f JOIN v ON v.id = f.id WHERE place <= {10 * vt.CANDIDATES}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM r)
+    SELECT * FROM ranked WHERE rank <= 10""",
 )
 def k5(spark, d):
-    return rt.approx_vector_topk(_label_queries(spark, d), _vectors(spark, d))
+    asked = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return vt.approx_vector_topk(asked, _vectors(spark, d))
 
 
 BM25_SQL = """dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents),
@@ -542,10 +573,10 @@ def _keyword_queries(spark, d):
 def _doc_chunks(spark, d):
     """Chunks of the documents; they have no blank lines, so one each."""
     chunks = ck.chunk_rows(documents(spark, d), "doc_id", "text")
-    return chunks.select(F.col("doc_id").alias("id"), F.col("chunk").alias("text"))
+    return chunks.select(F.col("doc_id").alias("id"), "chunk_no", F.col("chunk").alias("text"))
 
 
-@query("k2_keyword_topk", f"WITH {QT_SQL}), {BM25_SQL} SELECT * FROM kw WHERE rank <= 10")
+@query("k2_keyword_topk", f"WITH {QT_SQL}), {BM25_SQL} SELECT qid, id, 0::BIGINT AS chunk_no, score, rank FROM kw WHERE rank <= 10")
 def k2(spark, d):
     return rt.keyword_topk(_keyword_queries(spark, d), _doc_chunks(spark, d))
 
@@ -564,7 +595,7 @@ def k3(spark, d):
     keyed = _keyword_queries(spark, d)
     vectors = _vectors(spark, d)
     asked = keyed.select("qid").join(vectors, F.col("qid") == F.col("id")).select("qid", "embedding")
-    return rt.hybrid_topk(rt.vector_topk(asked, vectors, 20), rt.keyword_topk(keyed, _doc_chunks(spark, d), 20))
+    return rt.hybrid_topk(vt.vector_topk(asked, vectors, 20), rt.keyword_topk(keyed, _doc_chunks(spark, d), 20))
 
 
 @query(
