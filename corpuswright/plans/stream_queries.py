@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..functions.urls import url_normalize
 from ..session import scratch_path
 from ..streaming import jobs
-from .binding import EPOCH, hour
+from .binding import EPOCH
 from .registry import query
 from .task_queries import LATEST_SQL, LINES_SQL, TASK, VERSIONS_SQL, _status, _status_sql
 from .text_queries import NORM
@@ -37,8 +37,8 @@ def m1(spark, d):
         F.concat(F.lit("user/"), F.col("user_id")).alias("url"), "event_id", "ts_us",
         F.sha2("event_type", 256).alias("hash"), F.struct("ts_us", "event_id").alias("at"),
     )
-    jobs.changed_pages_stream(versions, out, checkpoint, hour()).awaitTermination()
-    return spark.read.parquet(out).select("url", "event_id", "hash", "change")
+    jobs.changed_pages_stream(versions, out, checkpoint).awaitTermination()
+    return jobs.changed_pages(spark, out).select("url", "event_id", "hash", "change")
 
 
 @query(
@@ -90,7 +90,7 @@ def m4_latest(spark, d):
     updates = _events(spark, d).select("user_id", "event_id", "event_type", "props", "ts_us")
     order = ["ts_us", "event_id"]
     jobs.task_latest_stream(updates, "user_id", order, out, checkpoint).awaitTermination()
-    return jobs.latest_tasks_view(spark, "user_id", order, out).drop("ts_us")
+    return jobs.latest_tasks_view(spark, "user_id", out).drop("ts_us")
 
 
 @query(

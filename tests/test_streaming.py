@@ -1,8 +1,10 @@
 """Streams fed in several batches equal the batch operators on all rows."""
 
+import collections
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from corpuswright.operators import tasks as tk
 from corpuswright.streaming import jobs
 
 
@@ -23,22 +25,53 @@ def feed(spark, tmp_path, batches, schema):
 
 
 def test_changed_pages(spark, rows, tmp_path):
-    schema = "url string, hash string, at long"
-    data = [[("u", h, b * 10 + i) for i, h in enumerate(part)] for b, part in enumerate(["aab", "bb", "ba", "c"])]
+    """Five files in order, a hash that is null, a hot page, and a restart with one more file."""
+    schema = "url string, hash string, at long, note struct<n: long>"
+    data = [[("u", h, b * 10 + i) for i, h in enumerate(part)] for b, part in enumerate(["aab", "bb", "ba", "c", ""])]
     data[1].append(("v", "z", 11))
-    data[3].append(("v", "z", 31))
+    data[3] += [("v", "z", 31), ("w", None, 32)]
+    data[4] += [("w", None, 41), ("v", "y", 42), ("u", "c", 43), ("w", "q", 44)] + [("hot", "ab"[i // 30 % 2], 100 + i) for i in range(300)]
+    data = [[(*r, (i,)) for i, r in enumerate(part)] for part in data]
     folder = feed(spark, tmp_path, data, schema)
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     stream = jobs.file_stream(spark, folder, "*.parquet", schema, files_per_batch=1)
-    jobs.changed_pages_stream(stream, out, check, F.floor(F.col("at") / 2)).awaitTermination()
-    everything = spark.read.parquet(folder)
-    want = tk.changed_versions(everything, "at", F.lit(0)).where("change IS NOT NULL")
-    got = rows(spark.read.parquet(out), "url", "at", "change")
-    assert sorted(got) == sorted(rows(want, "url", "at", "change"))
-    assert spark.read.parquet(out).select("batch").distinct().count() == 4
-    # a restart with nothing new adds nothing
-    jobs.changed_pages_stream(stream, out, check, F.floor(F.col("at") / 2)).awaitTermination()
-    assert spark.read.parquet(out).count() == len(got)
+
+    def expected():
+        last, out = {}, []
+        for url, h, at, note in sorted(rows(spark.read.parquet(folder), "url", "hash", "at", "note.n"), key=lambda r: r[2]):
+            if url not in last or last[url] != h:
+                out.append((url, h, at, "updated" if url in last else "new", note))
+            last[url] = h
+        return sorted(map(repr, out))
+
+    def found():
+        return sorted(map(repr, rows(jobs.changed_pages(spark, out), "url", "hash", "at", "change", "note.n")))
+
+    jobs.changed_pages_stream(stream, out, check).awaitTermination()
+    assert found() == expected()
+    # a restart with nothing new adds nothing, one with a new file goes on where it stood
+    jobs.changed_pages_stream(stream, out, check).awaitTermination()
+    assert found() == expected()
+    spark.createDataFrame([("u", "c", 500, (0,)), ("u", "d", 501, (1,)), ("x", "a", 502, (2,))], schema).coalesce(1).write.parquet(str(tmp_path / "late"))
+    (tmp_path / "in" / "b9.parquet").write_bytes(next((tmp_path / "late").glob("*.parquet")).read_bytes())
+    jobs.changed_pages_stream(stream, out, check).awaitTermination()
+    assert found() == expected() and "updated" in repr(found())
+
+
+def test_a_repeated_batch_is_not_counted_twice():
+    class State:
+        def __init__(self):
+            self.get, self.exists = None, False
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+    state = State()
+    frame = lambda *r: pd.DataFrame([r], columns=["hash", "last_hash", "batch_no"])
+    decide = lambda *frames: [r.change[0] for r in jobs._decide(("u",), iter(frames), state)]
+    assert decide(frame("b", "c", 1), frame("a", "a", 0)) == ["new", "updated"]
+    assert decide(frame("b", "c", 1)) == [] and state.get == ("c", 1)
+    assert decide(frame("c", "c", 2)) == [] and state.get == ("c", 2)
 
 
 def test_queue(spark, rows, tmp_path):
@@ -47,7 +80,8 @@ def test_queue(spark, rows, tmp_path):
     queue = spark.createDataFrame([("old", "processed")], "url string, state string")
     stream = jobs.file_stream(spark, folder, "*.parquet", schema, 1).withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000))
     out = str(tmp_path / "out")
-    jobs.enqueue_stream(stream, queue, out, str(tmp_path / "check")).awaitTermination()
+    for _ in range(2):  # a restart queues nothing again
+        jobs.enqueue_stream(stream, queue, out, str(tmp_path / "check")).awaitTermination()
     assert sorted(rows(spark.read.parquet(out), "url", "state")) == [("a", "pending"), ("b", "pending"), ("c", "pending")]
 
 
@@ -85,7 +119,28 @@ def test_task_windows_and_latest(spark, rows, tmp_path):
     assert got == want
     latest = str(tmp_path / "latest")
     jobs.task_latest_stream(stream, "task", ["t"], latest, str(tmp_path / "c2")).awaitTermination()
-    assert sorted(rows(jobs.latest_tasks_view(spark, "task", ["t"], latest), "task", "status")) == [("a", "completed"), ("b", "running")]
+    assert sorted(rows(jobs.latest_tasks_view(spark, "task", latest), "task", "status")) == [("a", "completed"), ("b", "running")]
+
+
+def test_counts_are_merged_now_and_then(spark, rows, tmp_path, monkeypatch):
+    """Six batches, merged every two; a state that was merged is not read batch by batch again."""
+    monkeypatch.setattr(jobs, "MERGED", 2)
+    schema = "task string, status string, t long"
+    data = [[(f"t{i % 3}", "queued" if i % 2 else "done", 3600 * (i % 4)), ("hot", "queued", i)] for i in range(5)] + [[(None, None, 7)]]
+    folder = feed(spark, tmp_path, data, schema)
+    timed = jobs.file_stream(spark, folder, "*.parquet", schema, 1).withColumn("ts", F.timestamp_seconds("t"))
+    out = str(tmp_path / "win")
+    jobs.task_window_stream(timed.select("ts", "status"), out, str(tmp_path / "c1")).awaitTermination()
+    everything = [r for part in data for r in part]
+    want = collections.Counter((t // 3600 * 3600, s) for _, s, t in everything)
+    assert {(r[0], r[1]): r[2] for r in rows(jobs.window_counts(spark, out), F.unix_seconds("start"), "status", "n")} == want
+    assert jobs._newest(spark, f"{out}/merged") == 5
+    jobs.task_latest_stream(timed, "task", ["t"], str(tmp_path / "latest"), str(tmp_path / "c2")).awaitTermination()
+    last = {}
+    for task, status, t in everything:
+        last[task] = max(last.get(task, (-1, "")), (t, status or ""))
+    got = {r[0]: (r[1], r[2] or "") for r in rows(jobs.latest_tasks_view(spark, "task", str(tmp_path / "latest")), "task", "t", "status")}
+    assert got == last
 
 
 def test_log_stream(spark, rows, tmp_path):
