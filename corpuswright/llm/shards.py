@@ -29,6 +29,8 @@ SHARDS = 40
 ROUNDS = 12
 #: Bytes a document takes besides its text.
 OVERHEAD = 16
+#: Shards may be this much over their part while labels move; levelling takes it off in whole groups.
+SLACK = 0.1
 #: Rounds end when less than this share of all bytes would still move.
 SETTLED = 0.0005
 
@@ -82,23 +84,19 @@ def _per_shard(values: list[float], shard: str) -> Column:
 def _calls(links: DataFrame, at: DataFrame, room: float, grant: list[float]) -> DataFrame:
     """``hub, shard, to, weight``: where a hub wants its documents of a shard to go, and how much of it is there.
 
-    A hub has a row per shard at most, so ranking its shards is bounded. Shards
+    A hub has an entry per shard at most, so ranking its shards is bounded. Shards
     that granted few wishes in the round before count less for hubs with little there.
     """
     held = links.join(at, "row").groupBy("hub", "shard").agg(F.sum("size").alias("held"))
-    open_share = F.when(F.col("held") * 20 < room, 0.05 + 0.95 * _per_shard(grant, "shard")).otherwise(1.0)
-    whole = W.partitionBy("hub")
-    best = whole.orderBy((F.col("held") * open_share).desc(), F.xxhash64("hub", "shard"))
-    ranked = held.select(
-        "hub",
-        "shard",
-        (F.row_number().over(best) - 1).alias("rank"),
-        F.greatest(F.lit(1), F.ceil(F.sum("held").over(whole) / room)).cast("int").alias("fills"),
-        F.struct("shard", "held").alias("place"),
+    open_share = F.when(F.col("held") * 2 < room, 0.05 + 0.95 * _per_shard(grant, "shard")).otherwise(1.0)
+    place = F.struct((-F.col("held") * open_share).alias("rank"), F.xxhash64("hub", "shard").alias("tie"), "shard", "held")
+    hubs = held.groupBy("hub").agg(F.array_sort(F.collect_list(place)).alias("places"), F.sum("held").alias("whole"))
+    fills = F.greatest(F.lit(1), F.ceil(F.col("whole") / room)).cast("int")
+    asked = F.transform(
+        "places", lambda x, i: F.struct(x["shard"].alias("shard"), F.get("places", i % F.col("fills")).alias("asked"))
     )
-    places = F.array_sort(F.collect_list(F.struct("rank", "place")).over(whole))
-    asked = F.get(places, F.col("rank") % F.col("fills"))["place"]
-    return ranked.select("hub", "shard", asked["shard"].alias("to"), asked["held"].alias("weight"))
+    calls = hubs.withColumn("fills", fills).select("hub", F.explode(asked).alias("c"))
+    return calls.select("hub", "c.shard", F.col("c.asked.shard").alias("to"), F.col("c.asked.held").alias("weight"))
 
 
 def _wishes(links: DataFrame, at: DataFrame, calls: DataFrame) -> DataFrame:
@@ -130,7 +128,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         if sum(f["bytes"] for f in flows) <= SETTLED * total:
             break
         loads = {r["shard"]: r["load"] for r in at.groupBy("shard").agg(F.sum("size").alias("load")).collect()}
-        grant = _quotas(flows, loads, room, shards)
+        grant = _quotas(flows, loads, room * (1 + SLACK), shards)
         # a small block moves as one or stays; of a large one goes what fits
         blocks = wish.groupBy("caller", "shard").agg(F.sum("size").alias("block"))
         luck = F.when(F.col("block") * 100 < room, _draw("caller", "shard", F.lit(turn))).otherwise(_draw("row", F.lit(turn)))
@@ -142,33 +140,34 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     return at.select("row", "shard", "anchor")
 
 
-def level(placed: DataFrame, shards: int = SHARDS, passes: int = 3) -> DataFrame:
-    """``placed(row, size, shard, anchor)`` with shards of equal size; a null ``shard`` is not placed yet.
+def level(placed: DataFrame, shards: int = SHARDS, passes: int = 2) -> DataFrame:
+    """``placed(row, size, shard, anchor, ...)`` with shards of equal size; a null ``shard`` is not placed yet.
 
     What stands beyond a shard's equal part leaves it, rows with an anchor last
     and small rows first; all that is outside fills what is free, shard after
     shard. Later passes move ever smaller rows, so sizes differ by little.
     """
-    total = placed.agg(F.sum("size")).first()[0] or 0
-    part = total / shards
+    part = (placed.agg(F.sum("size")).first()[0] or 0) / shards
     rest = [c for c in placed.columns if c != "shard"]
+    waiting = placed.where("shard IS NULL")
+    placed = placed.where("shard IS NOT NULL")
     for turn in range(passes):
         order = [F.col("anchor").isNull(), F.col("anchor"), F.col("size").desc(), F.col("row")]
-        summed = running_sums(placed.where("shard IS NOT NULL"), ["shard"], order, {"_upto": F.col("size")})
+        summed = running_sums(placed, ["shard"], order, {"_upto": F.col("size")})
         stays = F.when((F.col("_upto") <= part) | (F.col("_upto") == F.col("size")), F.col("shard"))
-        stood = summed.select(*rest, stays.alias("shard"))
-        placed = materialize(stood.unionByName(placed.where("shard IS NULL")), "standing")
-        loads = {r["shard"]: r["load"] for r in placed.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("size").alias("load")).collect()}
+        stood = materialize(summed.select(*rest, stays.alias("shard")), "standing")
+        loads = {r["shard"]: r["load"] for r in stood.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("size").alias("load")).collect()}
         ends, end = [], 0.0
         for j in range(shards - 1):
             end += max(0.0, part - loads.get(j, 0))
             ends.append(end)
-        outside = placed.where("shard IS NULL").drop("shard")
-        outside = running_sums(outside, [], ["anchor", _draw("row", F.lit(turn)), "row"], {"_upto": F.col("size")})
+        outside = stood.where("shard IS NULL")
+        if turn == 0:
+            outside = outside.unionByName(waiting)
+        outside = running_sums(outside.drop("shard"), [], ["anchor", _draw("row", F.lit(turn)), "row"], {"_upto": F.col("size")})
         begins = F.col("_upto") - F.col("size")
         passed = F.filter(F.array(*[F.lit(e) for e in ends]).cast("array<double>"), lambda e: e <= begins)
-        placed = placed.where("shard IS NOT NULL").unionByName(outside.select(*rest, F.size(passed).alias("shard")))
-        placed = materialize(placed, "levelled")
+        placed = stood.where("shard IS NOT NULL").unionByName(outside.select(*rest, F.size(passed).alias("shard")))
     return placed
 
 
@@ -183,5 +182,5 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | No
         more = links.where("doc_id IS NOT NULL").select("doc_id", F.concat(F.lit("link:"), F.col("hub").cast("string")).alias("hub"))
         hubs = hubs.unionByName(nodes.select("row", "doc_id").join(more, "doc_id").select("row", "hub"))
     placed = nodes.join(propagate(nodes, hubs, shards, rounds), "row", "left")
-    done = level(materialize(placed, "propagated"), shards)
-    return row_numbers(done, ["shard"], ["doc_id", "hub", "row"], "slot", start=0).select("doc_id", "size", "text_crc32", "shard", "slot")
+    levelled = level(materialize(placed, "propagated"), shards)
+    return row_numbers(levelled, ["shard"], ["doc_id", "hub", "row"], "slot", start=0).select("doc_id", "size", "text_crc32", "shard", "slot")
