@@ -1,86 +1,70 @@
-"""Related sections: shared title words, without pairing sections and texts."""
+"""Related sections: title words that stand in a text, as a set-containment join.
 
-from __future__ import annotations
+A title word has no white space, so where a text holds it, one of the text's
+tokens does. Which tokens hold which words is settled once on the vocabulary:
+a word is indexed under the rarest of its three-letter grams, tokens probe with
+their grams, and only what meets is compared. Sections are then found by the
+rarest words of their titles: one that has the needed share of its words in a
+text has one of those there. All of it is equi-joins on words, tokens and ids.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordering import top_per_key
 
-#: Sections handed to the tasks in one pass.
-BLOCK = 20_000
-
-
-def _matcher(words: list[str]):
-    """Function from a text to the indexes of the words it contains."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: [i for i, w in enumerate(words) if w in text]
-    automaton = ahocorasick.Automaton()
-    for i, word in enumerate(words):
-        automaton.add_word(word, i)
-    automaton.make_automaton()
-    return lambda text: list({i for _, i in automaton.iter(text)})
+GRAM = 3
 
 
-def _block_matches(contents: DataFrame, block: list, share: float, first: int) -> DataFrame:
-    words = sorted({w for row in block for w in row["words"]})
-    number = {w: i for i, w in enumerate(words)}
-    members = [[] for _ in words]
-    for at, row in enumerate(block):
-        for w in row["words"]:
-            members[number[w]].append(at)
-    members = [np.array(m, dtype=np.int64) for m in members]
-    needed = np.array([len(row["words"]) * share for row in block])
-    ords = [int(row["ord"]) for row in block]
-    titles = [row["title"] for row in block]
+def _grams(word: str) -> Column:
+    """Distinct grams of a word of at least ``GRAM`` letters."""
+    places = F.sequence(F.lit(1), F.length(word) - (GRAM - 1))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(word, i, GRAM)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = _matcher(words)
-        for b in batches:
-            out = []
-            for key, own, text in zip(b["id"], b["title"], b["content"], strict=True):
-                found = find(text.lower())
-                if not found:
-                    continue
-                hits = np.bincount(np.concatenate([members[i] for i in found]), minlength=len(block))
-                taken = 0
-                for at in np.flatnonzero((hits > 0) & (hits >= needed)):
-                    if titles[at] == own:
-                        continue
-                    out.append((key, ords[at], titles[at]))
-                    taken += 1
-                    if taken == first:
-                        break
-            yield pd.DataFrame(out, columns=["id", "ord", "related_title"])
 
-    kind = contents.schema["id"].dataType.simpleString()
-    return contents.select("id", "title", "content").mapInPandas(run, f"id {kind}, ord long, related_title string")
+def words_in_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """``token, word`` of all words that a token holds; both sides distinct, words of ``GRAM`` letters and more."""
+    probes = tokens.where(F.length("token") >= GRAM).select("token", F.explode(_grams("token")).alias("gram"))
+    probes = materialize(probes, "grams")
+    seen = probes.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    grams = words.select("word", F.explode(_grams("word")).alias("gram")).join(seen, "gram")
+    # a word with a gram that no token has is in none of them; the rarest gram of the others finds their tokens
+    rarest = grams.groupBy("word").agg(F.min(F.struct("df", "gram"))["gram"].alias("gram"))
+    return probes.join(rarest, "gram").where(F.contains("token", "word")).select("token", "word")
 
 
-def related_sections(contents: DataFrame, sections: DataFrame, share: float = 0.3, first: int = 5, block: int = BLOCK) -> DataFrame:
+def related_sections(contents: DataFrame, sections: DataFrame, share: float = 0.3, first: int = 5) -> DataFrame:
     """First sections whose title words occur, by ``share``, in a text.
 
-    ``contents(id, title, content)``, ``sections(ord, title)`` with ``ord``
-    counting from 0. Each task holds one block of sections and reads its texts
-    once; a text yields at most ``first`` rows per block, so no pairs are formed.
-    More sections than a block take further passes.
+    ``contents(id, title, content)`` with unique ids, ``sections(ord, title)``
+    with ``ord`` unique; words of three letters and more count, each as often as
+    the title has it. A text's own title is left out. Null texts and titles match
+    nothing.
     """
-    worded = sections.select(
-        "ord", "title", F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) > 2).alias("words")
-    ).where(F.size("words") > 0)
-    last = worded.agg(F.max("ord")).first()[0]
-    out = None
-    for start in range(0, (last if last is not None else -1) + 1, block):
-        part = worded.where((F.col("ord") >= start) & (F.col("ord") < start + block)).orderBy("ord").collect()
-        if part:
-            rows = _block_matches(contents, part, share, first)
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return contents.select("id", F.lit(0).cast("long").alias("ord"), F.lit("").alias("related_title")).where(F.lit(False))
-    return top_per_key(out, ["id"], [F.col("ord")], first, "related_rank")
+    split = F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) >= GRAM)
+    sections = sections.select("ord", "title", split.alias("words")).where(F.size("words") > 0)
+    sections = materialize(sections.withColumn("needed", F.greatest(F.lit(1), F.ceil(F.size("words") * F.lit(share)))), "sections")
+    listed = sections.select("ord", "needed", F.size("words").alias("n"), F.explode("words").alias("word"))
+    frequency = listed.groupBy("word").agg(F.count(F.lit(1)).alias("sections"))
+
+    tokens = contents.select("id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("token"))
+    pairs = words_in_tokens(tokens.select("token").distinct(), frequency.select("word"))
+    held = materialize(tokens.join(materialize(pairs, "pairs"), "token").select("id", "word").distinct(), "held")
+
+    # of n words, needed are there: one of the first n - needed + 1 is
+    spread = held.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    rarity = W.partitionBy("ord").orderBy("texts", "word")
+    ranked = listed.join(spread, "word", "left").withColumn("texts", F.coalesce("texts", F.lit(0))).withColumn("place", F.row_number().over(rarity))
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.col("needed") + 1).select("ord", "word").distinct()
+    met = held.join(prefix, "word").select("id", "ord").distinct()
+
+    own = held.groupBy("id").agg(F.collect_set("word").alias("held"))
+    texts = own.join(contents.select("id", F.col("title").alias("own")), "id")
+    hits = F.size(F.filter("words", lambda w: F.array_contains("held", w)))
+    found = met.join(texts, "id").join(sections, "ord").where((hits >= F.col("needed")) & ~F.col("title").eqNullSafe(F.col("own")))
+    found = found.select("id", F.col("ord").cast("long").alias("ord"), F.col("title").alias("related_title"))
+    return top_per_key(found, ["id"], [F.col("ord")], first, "related_rank")

@@ -105,10 +105,21 @@ def test_related_sections(spark, rows):
     s = spark.createDataFrame(sections, "ord long, title string")
     want = brute_related(contents, sections, 0.3, 5)
     assert want
-    # one block, and several blocks whose results meet afterwards
-    for block in (100, 7):
-        assert sorted(rows(rl.related_sections(c, s, block=block), "id", "ord", "related_rank")) == want
+    assert sorted(rows(rl.related_sections(c.repartition(3), s.repartition(2)), "id", "ord", "related_rank")) == want
     assert rl.related_sections(c, s.where("ord < 0")).count() == 0
+    assert rl.related_sections(c.where("id < 0"), s).count() == 0
+
+
+def test_related_sections_of_odd_texts(spark, rows):
+    """Words inside longer tokens, repeated title words, other shares, nulls, short words, letters beyond ASCII."""
+    sections = [(0, "Data data base"), (1, "is it ok"), (2, "Überblick der Änderung"), (3, "tab\tseparated\nwords"), (4, None), (5, "data-base index"), (6, "zzz yyy xxx www"), (7, "")]
+    texts = ["a database is ok", "ÜBERBLICK über", "separated,words tab", "metadata-basement", "", "zzzyyy xxx", "databas e", "x" * 5000 + "index" + "y" * 5000]
+    contents = [(i, [None, "Data data base", "is it ok"][i % 3], t) for i, t in enumerate(texts)]
+    c = spark.createDataFrame([*contents, (99, "t", None)], "id long, title string, content string")
+    s = spark.createDataFrame(sections, "ord long, title string")
+    for share in (0.3, 0.5, 1.0):
+        want = brute_related(contents, [x for x in sections if x[1] is not None], share, 2)
+        assert sorted(rows(rl.related_sections(c, s, share, 2), "id", "ord", "related_rank")) == want
 
 
 def test_counts_join_with_hot_keys(spark, rows, monkeypatch):
