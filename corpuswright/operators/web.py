@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..functions import urls as ur
 from ..functions.html import article_pieces, page_material, page_text
 from ..functions.images import is_decorative_article
-from ..session import materialize
+from ..session import bucketed, materialize
 from .ordering import row_numbers
 
 MATERIAL_FIELDS = (
@@ -222,18 +222,28 @@ def course_root(starts: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def crawl_frontier(
-    edges: DataFrame, pages: DataFrame, roots: DataFrame, depth: int = 1, max_pages: int = 5, follow_unchanged: bool = False
+    edges: DataFrame,
+    pages: DataFrame,
+    roots: DataFrame,
+    depth: int = 1,
+    max_pages: int = 5,
+    follow_unchanged: bool = False,
+    seeds: DataFrame | None = None,
 ) -> DataFrame:
     """Breadth-first pages of every root, inside its host and path prefix.
 
-    ``edges(src_url, dst_url)``, ``pages(url, changed)``, ``roots(root_url)``.
-    A page is visited once; an unchanged page is skipped and its links are not
-    followed. At most ``max_pages`` changed pages per root, nearest first and by
-    URL within a level. ``depth`` bounds the rounds; every round is written to
-    the shared folder, so a lost executor costs one round.
+    ``edges(src_url, dst_url)``, ``pages(url, changed)`` with unique URLs,
+    ``roots(root_url)``. The walk begins at the root, or at the ``seeds(root_url,
+    url)`` where there are some. A page is visited once; an unchanged page is
+    skipped and its links are not followed. At most ``max_pages`` changed pages
+    per root, nearest first and by URL within a level. ``depth`` bounds the
+    rounds. The links are written into buckets of their source once, so a round
+    moves its frontier to them and not the links; every round is written to the
+    shared folder, so a lost executor costs one round.
     """
-    known = pages.select("url", "changed")
-    level = roots.select("root_url", F.col("root_url").alias("url"))
+    known = bucketed(pages.select("url", "changed"), "url", "crawl_pages")
+    links = bucketed(edges.select("src_url", "dst_url"), "src_url", "crawl_links")
+    level = roots.select("root_url", F.col("root_url").alias("url")) if seeds is None else seeds.select("root_url", "url").distinct()
     visited = None
     for d in range(depth + 1):
         here = level.join(known, "url").withColumn("depth", F.lit(d).cast("long"))
@@ -242,7 +252,7 @@ def crawl_frontier(
         if d == depth or here.isEmpty():
             break
         sources = here if follow_unchanged else here.where("changed")
-        step = sources.select("root_url", F.col("url").alias("src_url")).join(edges, "src_url")
+        step = sources.select("root_url", F.col("url").alias("src_url")).join(links, "src_url")
         inside = (ur.authority(F.col("dst_url")) == ur.authority(F.col("root_url"))) & ur.path(
             F.col("dst_url")
         ).startswith(ur.path(F.col("root_url")))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import urls as ur
 from ..operators import explore as ex
 from ..operators import web as wb
-from ..operators.ordering import previous_values
 from ..sources.config import registry_rows
 from .binding import documents, pages, table
 from .registry import query
@@ -130,57 +129,88 @@ def g6_course(spark, d):
     return wb.plan_course(pages(spark, d).withColumn("url", root))
 
 
-@query(
-    "g7_course_root",
-    f"""WITH u AS (SELECT DISTINCT {NORM.format(c='url')} AS url FROM pages WHERE NOT contains(url, '.html'))
-    SELECT url || '/chapter1/3' AS start_url, CASE WHEN contains(url, '/fr/') THEN url || '/chapter1' ELSE url END AS root_url,
-      CASE WHEN contains(url, '/fr/') THEN 1 ELSE 3 END::BIGINT AS links FROM u""",
-)
-def g7(spark, d):
-    """Every page as a course with chapter pages below it.
+SECTION = "^([A-Za-z]+://[^/?#]*/[^/?#]+)"
+SITE = "^([A-Za-z]+://[^/?#]*)"
 
-    The walk starts at a section that is no page. The French course pages link
-    to a translation only, so their first chapter page stays the best.
-    """
-    url, lit = F.col("url"), F.lit
-    rows = table(spark, d, "pages").where(~F.contains(url, lit(".html"))).select(ur.url_normalize(url).alias("url")).distinct()
 
-    def anchors(*tails):
-        return F.concat(*[x for t in tails for x in (lit('<a href="'), ur.path(url), lit(f'/{t}">x</a>'))])
+def _course_pages(spark, d):
+    """Every page as a course: its own anchors, moved below its path, and one index page per language of a host.
 
-    course = F.when(F.contains(url, lit("/fr/")), anchors("en/x")).otherwise(anchors("chapter1", "chapter10", "chapter2"))
-    courses = rows.select("url", course.alias("html"))
-    chapters = rows.select(F.concat(url, lit("/chapter1")).alias("url"), anchors("chapter1/1", "events").alias("html"))
-    starts = rows.select(F.concat(url, lit("/chapter1/3")).alias("start_url"))
-    return wb.course_root(starts, courses.unionByName(chapters))
+    Anchors of the given pages hang on the host's root, where no page is; the
+    index page has the anchors of the section's first page.
+    """
+    url = F.col("url")
+    rows = pages(spark, d).where("url IS NOT NULL").select(ur.url_normalize(url).alias("url"), "page_id", "html")
+    rows = rows.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    section = F.regexp_extract("url", SECTION, 1)
+    heads = rows.where(section != "").groupBy(section.alias("section")).agg(F.min_by("html", "url").alias("html"))
+    heads = heads.join(rows, heads["section"] == rows["url"], "left_anti").select(F.col("section").alias("url"), "html")
+    moved = F.replace("html", F.lit('<a href="/'), F.concat(F.lit('<a href="'), ur.path(url), F.lit("/")))
+    return rows.select("url"), rows.unionByName(heads).select("url", moved.alias("html"))
 
 
-CHAIN_SQL = f"""site AS (SELECT DISTINCT {NORM.format(c='url')} AS url, {AUTH.format(c='url')} AS host FROM pages),
-    chain AS (SELECT url, host, lag(url) OVER (PARTITION BY host ORDER BY url) AS prev FROM site)"""
+@query(
+    "g7_course_root",
+    rf"""WITH one AS (SELECT {NORM.format(c='url')} AS url, arg_min(html, page_id) AS html FROM pages WHERE url IS NOT NULL GROUP BY 1),
+    heads AS (SELECT regexp_extract(url, '{SECTION}', 1) AS section, arg_min(html, url) AS html FROM one GROUP BY 1),
+    every AS (SELECT url, html FROM one UNION ALL SELECT section, html FROM heads WHERE section <> '' AND section NOT IN (SELECT url FROM one)),
+    p AS (SELECT url, regexp_extract(url, '{SITE}', 1) AS root, {PATH.format(c='url')} AS base,
+          replace(html, '<a href="/', '<a href="' || {PATH.format(c='url')} || '/') AS html FROM every),
+    found AS (SELECT url, base, root || split_part(unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)), '#', 1) AS link FROM p
+      UNION SELECT url, base, root || unnest(regexp_extract_all(html, regexp_escape(base) || '/[\p{{L}}\p{{N}}_\-/]+')) FROM p
+      UNION SELECT url, base, root || regexp_replace(base, '/[^/]*$', '') || '/'
+        || unnest(regexp_extract_all(html, '["''/](' || regexp_escape(split_part(base, '/', -1)) || '/[\p{{L}}\p{{N}}_\-]+(?:/[\p{{L}}\p{{N}}_\-]+)*)["'']', 1)) FROM p),
+    inside AS (SELECT url, string_split(trim({PATH.format(c='link')}, '/'), '/') AS parts, len(string_split(trim(base, '/'), '/')) AS depth
+      FROM found WHERE starts_with({PATH.format(c='link')}, base || '/')),
+    counted AS (SELECT url, count(*) FILTER (len(parts) > depth AND NOT regexp_matches(parts[depth + 1], '^[a-zA-Z]{{2,3}}(-[a-zA-Z]{{2,3}})?$')
+      AND parts[depth + 1] NOT IN ('events', 'assets', 'static')) AS links FROM inside GROUP BY url),
+    starts AS (SELECT url || '/a/b' AS start_url, root, string_split(trim(base || '/a/b', '/'), '/') AS segs FROM p WHERE url IN (SELECT url FROM one)),
+    tries AS (SELECT start_url, len(segs) - n AS level, root || '/' || array_to_string(segs[1:n], '/') AS candidate
+      FROM starts, LATERAL (SELECT unnest(range(1, len(segs) + 1)) AS n) ns),
+    seen AS (SELECT start_url, level, candidate, coalesce(links, 0) AS links FROM tries JOIN p ON p.url = candidate LEFT JOIN counted c ON c.url = candidate),
+    best AS (SELECT *, coalesce(max(links) OVER w, 0) AS best FROM seen WINDOW w AS (PARTITION BY start_url ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    kept AS (SELECT * FROM (SELECT *, coalesce(bool_or(links < best) OVER w, false) AS over FROM best
+      WINDOW w AS (PARTITION BY start_url ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE NOT over),
+    won AS (SELECT *, row_number() OVER (PARTITION BY start_url ORDER BY links DESC, level) AS place FROM kept)
+    SELECT start_url, CASE WHEN links > 0 THEN candidate ELSE start_url END AS root_url, links FROM won WHERE place = 1""",
+)
+def g7(spark, d):
+    """The walk starts two levels below every page, at a section that is no page."""
+    urls, courses = _course_pages(spark, d)
+    return wb.course_root(urls.select(F.concat("url", F.lit("/a/b")).alias("start_url")), courses)
 
 
 @query(
     "g8_crawl_frontier",
-    f"""WITH RECURSIVE {CHAIN_SQL},
-    roots AS (SELECT regexp_extract(url, '^([A-Za-z]+://[^/?#]*/[a-z]+)', 1) AS prefix, min(url) AS root FROM site GROUP BY 1),
-    walk AS (SELECT root, root AS url, 0 AS depth FROM roots
-      UNION ALL SELECT w.root, c.url, w.depth + 1 FROM walk w JOIN chain c ON c.prev = w.url
-      WHERE w.depth < 3 AND starts_with({PATH.format(c='c.url')}, {PATH.format(c='w.root')}) AND NOT contains(w.url, '.html')),
-    r AS (SELECT root AS root_url, url, depth::BIGINT AS depth, row_number() OVER (PARTITION BY root ORDER BY depth, url) - 1 AS ord
-          FROM walk WHERE NOT contains(url, '.html'))
-    SELECT * FROM r WHERE ord < 5""",
+    f"""WITH p AS (SELECT {NORM.format(c='url')} AS url, {ROOT_SQL} AS root, html, row_number() OVER (PARTITION BY html ORDER BY page_id) = 1 AS fresh
+      FROM pages WHERE url IS NOT NULL),
+    edges AS (SELECT DISTINCT url, {NORM.format(c='link')} AS link FROM (
+      SELECT url, root || split_part(trim(unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)), {WS}), '#', 1) AS link FROM p) l),
+    known AS (SELECT url, bool_or(fresh) AS changed FROM p GROUP BY url
+      UNION ALL SELECT DISTINCT link, true FROM edges WHERE link NOT IN (SELECT url FROM p)),
+    seeds AS (SELECT DISTINCT root, url FROM p),
+    next_ AS (SELECT DISTINCT s.root, e.link AS url FROM seeds s JOIN known k ON k.url = s.url AND k.changed JOIN edges e ON e.url = s.url
+      WHERE {AUTH.format(c='e.link')} = {AUTH.format(c='s.root')}),
+    visited AS (SELECT root, url, 0 AS depth FROM seeds
+      UNION ALL SELECT root, url, 1 FROM next_ WHERE (root, url) NOT IN (SELECT (root, url) FROM seeds)),
+    r AS (SELECT root AS root_url, v.url, depth::BIGINT AS depth, row_number() OVER (PARTITION BY root ORDER BY depth, v.url) - 1 AS ord
+      FROM visited v JOIN known k ON k.url = v.url AND k.changed)
+    SELECT * FROM r WHERE ord < 12""",
 )
 def g8(spark, d):
-    """Each page links to the next of its host; ``.html`` pages are unchanged."""
-    url = F.col("url")
-    site = table(spark, d, "pages").select(ur.url_normalize(url).alias("url")).distinct()
-    site = site.withColumn("host", ur.authority(F.col("url")))
-    linked = previous_values(site, ["host"], "url", {"prev": "url"}, part=None)
-    edges = linked.where("prev IS NOT NULL").select(F.col("prev").alias("src_url"), F.col("url").alias("dst_url"))
-    known = site.select("url", (~F.contains("url", F.lit(".html"))).alias("changed"))
-    prefix = F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*/[a-z]+)", 1)
-    roots = site.groupBy(prefix.alias("prefix")).agg(F.min("url").alias("root_url")).select("root_url")
-    return wb.crawl_frontier(edges, known, roots, depth=3, max_pages=5)
+    """Every host from its pages along their links; a page whose source an earlier page has too is unchanged.
+
+    Link targets that are no pages yet are new and end the walk.
+    """
+    given = pages(spark, d).where("url IS NOT NULL")
+    fresh = given.groupBy("html").agg(F.min("page_id").alias("page_id")).select("page_id", F.lit(True).alias("fresh"))
+    url = ur.url_normalize(F.col("url"))
+    site = given.select("page_id", url.alias("url"), F.regexp_extract("url", SITE, 1).alias("root_url"))
+    known = site.join(fresh, "page_id", "left").groupBy("url").agg(F.max(F.coalesce("fresh", F.lit(False))).alias("changed"))
+    links = wb.extract_links(given).select(url.alias("src_url"), ur.url_normalize(F.col("link")).alias("dst_url")).distinct()
+    targets = links.select(F.col("dst_url").alias("url")).distinct().join(known, "url", "left_anti").withColumn("changed", F.lit(True))
+    seeds = site.select("root_url", "url").distinct()
+    return wb.crawl_frontier(links, known.unionByName(targets), seeds.select("root_url").distinct(), depth=2, max_pages=12, seeds=seeds)
 
 
 LINKED_SQL = """SELECT doc_id, lang, text || ' https://github.com/' || lang || '/' || source || '/tree/main x'

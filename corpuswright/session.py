@@ -68,6 +68,19 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str = "buckets") -> DataFrame:
+    """Write ``df`` once into hash buckets of ``key``; joins on ``key`` then leave it where it lies.
+
+    The table is external, so its files are in the shared folder as all others.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    # dealt out first, so that a bucket is one file
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", scratch_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give CPU-heavy work every core when the input is a few files.
 

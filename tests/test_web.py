@@ -164,3 +164,19 @@ def test_article_plan(spark, rows):
         ("page", 0, "http://mp/1"), ("github", 0, "https://github.com/o/r"), ("arxiv", 0, "http://arxiv.org/abs/2401.00001"),
     ]
     assert rows(wb.pages_to_articles(df), "images") == [([],)]
+
+
+def test_crawl_from_seeds(spark, rows):
+    """Seeds stand for the root, links out of them are followed, pages met before are not visited again."""
+    edges = [("h/a", "h/x"), ("h/a", "h/b"), ("h/b", "h/y"), ("h/x", "h/z"), ("h/b", "other/q"), ("k/a", "k/x")]
+    full = lambda u: f"https://{u}"
+    e = spark.createDataFrame([(full(a), full(b)) for a, b in edges], "src_url string, dst_url string")
+    pages = [(full(u), u != "h/b") for u in ("h/a", "h/b", "h/x", "h/y", "h/z", "k/a", "k/x", "other/q")]
+    p = spark.createDataFrame(pages, "url string, changed boolean")
+    seeds = spark.createDataFrame([(full("h"), full("h/a")), (full("h"), full("h/b")), (full("k"), full("k/a")), (full("n"), full("n/a"))], "root_url string, url string")
+    roots = seeds.select("root_url").distinct()
+    got = sorted(rows(wb.crawl_frontier(e, p, roots, 2, 9, seeds=seeds), "root_url", "url", "depth"))
+    want = [("h", "h/a", 0), ("h", "h/x", 1), ("h", "h/z", 2), ("k", "k/a", 0), ("k", "k/x", 1)]
+    assert got == [(full(r), full(u), d) for r, u, d in want]
+    got = rows(wb.crawl_frontier(e, p, roots, 1, 9, True, seeds).where("depth = 1"), "url")
+    assert sorted(got) == [(full("h/x"),), (full("h/y"),), (full("k/x"),)]
