@@ -124,6 +124,35 @@ def previous_values(
     )
 
 
+def merged_runs(df: DataFrame, group: Sequence[str], start: str, end: str, count: str) -> DataFrame:
+    """Overlapping intervals of a group as one: ``group``, ``start``, ``end`` and the summed ``count``.
+
+    Intervals are half open; one that starts where another ends is not merged.
+    Each range of a group finds the runs inside it. Its first rows may go on with
+    a run of the ranges before, which reach and number of runs, one row per
+    range, tell.
+    """
+    parts = with_parts(df.select(*group, start, end, count), group, [start, end], None)
+    before = _across(group).rowsBetween(W.unboundedPreceding, -1)
+    earlier = _within([start, end]).rowsBetween(W.unboundedPreceding, -1)
+    reach = _per_part(parts, group, F.max(end).alias("_end")).select(KEY, F.max("_end").over(before).alias("_reach"))
+    fresh = F.coalesce(F.col(start) >= F.greatest(F.max(end).over(earlier), F.col("_reach")), F.lit(True)).cast("int")
+    marked = parts.join(reach, KEY).withColumn("_fresh", fresh)
+    numbered = marked.withColumn("_no", F.sum("_fresh").over(_within([start, end]).rowsBetween(W.unboundedPreceding, 0)))
+    local = numbered.groupBy(*group, PART, "_no").agg(
+        F.min(start).alias(start), F.max(end).alias(end), F.sum(count).alias(count)
+    )
+    local = materialize(local, "runs")
+    begun = F.when(F.max("_no") > 0, F.struct(F.col(PART).alias("p"), F.max("_no").alias("no")))
+    open_run = _per_part(local, group, begun.alias("_begun")).select(KEY, F.max("_begun").over(before).alias("_open"))
+    joined = local.withColumn(KEY, F.struct(*group, PART)).join(open_run, KEY)
+    run = F.when(F.col("_no") > 0, F.struct(F.col(PART).alias("p"), F.col("_no").alias("no"))).otherwise(F.col("_open"))
+    out = joined.withColumn("_run", run).groupBy(*group, "_run").agg(
+        F.min(start).alias(start), F.max(end).alias(end), F.sum(count).alias(count)
+    )
+    return out.drop("_run")
+
+
 def sparse_left_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
     """Left join on a key that most rows may lack.
 

@@ -18,13 +18,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ordering import previous_values
+from ..operators.ordering import merged_runs, previous_values
 from ..operators.tasks import latest_state
 from ..session import materialize
 from ..sources.files import parse_log_line
@@ -231,16 +230,18 @@ def log_stream(spark: SparkSession, path: str, out: str, checkpoint: str, level:
 def activity_sessions(
     updates: DataFrame, key: str, out: str, checkpoint: str, gap: str = "30 minutes", live: str | None = None
 ) -> StreamingQuery:
-    """Bursts of activity per key. ``updates(ts, key)``.
+    """Bursts of activity per key. ``updates(ts, key)``; null times are left out.
 
     Each batch writes the sessions of its own rows; ``session_view`` merges those
     of all batches. No row is too late, and sessions still open are there as far
-    as they have come.
+    as they have come. A key with very many rows is cut into ranges of time.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        sessions = batch.groupBy(F.session_window("ts", gap).alias("s"), key).agg(F.count(F.lit(1)).alias("n"))
-        _write_batch(sessions.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n"), out, batch_id)
+        bursts = batch.where("ts IS NOT NULL").select(
+            key, F.col("ts").alias("start"), (F.col("ts") + F.expr(f"INTERVAL {gap}")).alias("end"), F.lit(1).cast("long").alias("n")
+        )
+        _write_batch(merged_runs(bursts, [key], "start", "end", "n"), out, batch_id)
 
     return _start(updates, sink, checkpoint, live=live)
 
@@ -248,8 +249,4 @@ def activity_sessions(
 def session_view(spark: SparkSession, key: str, out: str) -> DataFrame:
     """Sessions of all batches, overlapping ones as one."""
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
-    order = W.partitionBy(key).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.coalesce(F.col("start") >= F.col("_reach"), F.lit(True)).cast("int")
-    numbered = rows.withColumn("_reach", reach).withColumn("_no", F.sum(fresh).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "_no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_no")
+    return merged_runs(rows, [key], "start", "end", "n")

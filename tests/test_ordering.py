@@ -92,3 +92,37 @@ def test_large_top_per_key_is_numbered_in_parts(data, rows, monkeypatch):
     want = sorted(rows(od.top_per_key(data, ["g"], order, 20), "id", "rank"))
     monkeypatch.setattr(od, "GROUP_LIMIT", 5)
     assert sorted(rows(od.top_per_key(data, ["g"], order, 20), "id", "rank")) == want
+
+
+def plain_runs(data):
+    out = []
+    for g in sorted({r[0] for r in data}, key=str):
+        for s, e, n in sorted((s, e, n) for h, s, e, n in data if h == g):
+            if out and out[-1][0] == g and s < out[-1][2]:
+                out[-1] = (g, out[-1][1], max(out[-1][2], e), out[-1][3] + n)
+            else:
+                out.append((g, s, e, n))
+    return sorted(out, key=str)
+
+
+def test_merged_runs(spark, rows):
+    """A group with a third of all rows over many ranges, one interval that spans several, ties, a null group."""
+    rng = random.Random(11)
+    data = [(rng.choice(["a", "b", "c", None]), s, s + rng.randrange(1, 40), 1) for s in (rng.randrange(20_000) for _ in range(600))]
+    data += [("hot", s, s + 6, 2) for s in (rng.randrange(4_000) for _ in range(400))]
+    data += [("hot", 900, 2_500, 5), ("long", 0, 9_000, 1), ("long", 10, 20, 1), ("long", 9_000, 9_001, 1), ("one", 5, 6, 1), ("one", 5, 6, 1)]
+    df = spark.createDataFrame(data, "g string, s long, e long, n long").repartition(7)
+    for name, value in (("coalescePartitions.enabled", "false"), ("advisoryPartitionSizeInBytes", "1k")):  # small ranges stay apart
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
+    try:
+        _check_runs(spark, rows, data, df)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def _check_runs(spark, rows, data, df):
+    assert sorted(rows(od.merged_runs(df, ["g"], "s", "e", "n"), "g", "s", "e", "n"), key=str) == plain_runs(data)
+    ranged = od.with_parts(df, ["g"], ["s"], None).where("g = 'hot'")
+    assert ranged.select(od.PART).distinct().count() > 1
+    assert od.merged_runs(df.where("false"), ["g"], "s", "e", "n").count() == 0
