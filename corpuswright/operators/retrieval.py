@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..session import materialize
 from .chunking import chunk_rows
 from .ordering import top_per_key
-from .terms import join_counts, token_runs
+from .terms import token_runs
 
 # --- fixed values: published BM25 and rank fusion constants -------------------------
 K1, B = 1.2, 0.75
@@ -23,33 +23,51 @@ HEADS = 2
 MARGIN = 1e-5
 
 
-def _postings(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``chunk, term, w``: BM25 weights of the words that some query has. Texts are read once.
+class _Corpus:
+    """Chunks as word counts, with the numbers BM25 takes from all of them.
 
-    Every chunk also sends its length, under a term of its own that no word can
-    equal, so the number of chunks and their mean length come from the same pass.
+    Texts are read once for the document frequencies and once for the postings;
+    later only those of chunks that are scored. Counts never leave the row of
+    their chunk but as a posting of a word that some query has.
     """
-    keys = [c for c in chunks.columns if c != "text"]
-    read = chunks.select(F.struct(*keys).alias("chunk"), tx.word_tokens(F.col("text")).alias("tokens"))
-    own = F.struct(F.concat(F.lit("\x00"), F.xxhash64("chunk").cast("string")).alias("term"), F.lit(0).cast("long").alias("tf"))
-    runs = F.concat(F.array(own), F.coalesce(token_runs("tokens"), F.array().cast("array<struct<term:string,tf:bigint>>")))
-    rows = read.select("chunk", F.size("tokens").alias("length"), F.explode_outer(runs).alias("_c"))
-    rows = rows.select("chunk", "length", F.col("_c.term").alias("term"), F.col("_c.tf").alias("tf"))
-    known = asked.select("term").distinct().withColumn("known", F.lit(True))
-    counted = materialize(rows.join(known, "term", "left").where("known OR tf = 0").drop("known"), "held")
-    size = counted.where("tf = 0").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).first()
-    held = counted.where("tf > 0")
-    joined = join_counts(held, held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "df", "chunk")
-    rare = F.log(1 + (F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = K1 * (1 - B + B * F.col("length") / F.lit(size["average"] or 1.0))
-    return materialize(joined.select("chunk", "term", (rare * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("w")), "postings")
-
-
-def _rescored(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """``qid, chunk, score`` of the given pairs, over all words of the query."""
-    held = postings.join(pairs.select("chunk").distinct(), "chunk", "left_semi")
-    words = pairs.join(held, "chunk").join(asked, ["qid", "term"])
-    return words.groupBy("qid", "chunk").agg(F.round(F.sum("w"), 6).alias("score"))
+
+    def __init__(self, asked: DataFrame, chunks: DataFrame):
+        keys = [c for c in chunks.columns if c != "text"]
+        read = chunks.select(F.struct(*keys).alias("chunk"), tx.word_tokens(F.col("text")).alias("tokens"))
+        runs = F.coalesce(token_runs("tokens"), F.array().cast("array<struct<term:string,tf:bigint>>"))
+        self.counts = read.select("chunk", F.size("tokens").alias("length"), runs.alias("runs"))
+        # the empty term stands for the chunk itself: how many there are, and their length
+        terms = F.concat(F.array(F.lit("")), F.transform("runs", lambda r: r["term"]))
+        counted = self.counts.select("length", F.explode(terms).alias("term")).groupBy("term")
+        counted = counted.agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total"))
+        wanted = asked.select("term").unionByName(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+        known = materialize(counted.join(wanted, "term", "left_semi"), "frequencies")
+        size = known.where("term = ''").first()
+        self.n, self.average = (size["df"], size["total"] / size["df"] or 1.0) if size else (0, 1.0)
+        self.terms = known.where("term <> ''").select("term", "df")
+
+    def weight(self, tf: Column, df: Column, length: Column) -> Column:
+        rare = F.log(1 + (F.lit(self.n) - df + 0.5) / (df + 0.5))
+        return rare * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(self.average)))
+
+    def postings(self) -> DataFrame:
+        """``chunk, term, w`` of the words that some query has; whole numbers are stored, which pack well."""
+        rows = self.counts.select("chunk", "length", F.explode("runs").alias("r")).select("chunk", "length", "r.term", "r.tf")
+        held = materialize(rows.join(self.terms, "term"), "postings")
+        return held.select("chunk", "term", self.weight(F.col("tf"), F.col("df"), F.col("length")).alias("w"))
+
+    def score(self, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        """``qid, chunk, score`` of the given pairs, over all words of the query."""
+        pairs = materialize(pairs, "pairs")
+        queries = asked.join(self.terms, "term").groupBy("qid").agg(F.collect_list(F.struct("term", "df")).alias("words"))
+        held = self.counts.join(pairs.select("chunk").distinct(), "chunk", "left_semi")
+        held = held.select("chunk", "length", F.map_from_entries("runs").alias("tf"))
+        both = pairs.join(held, "chunk").join(queries, "qid")
+
+        def add(total: Column, word: Column) -> Column:
+            return total + F.coalesce(self.weight(F.try_element_at("tf", word["term"]), word["df"], F.col("length")), F.lit(0.0))
+
+        return both.select("qid", "chunk", F.round(F.aggregate("words", F.lit(0.0), add), 6).alias("score"))
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -60,7 +78,7 @@ def _level(w: Column, most: Column) -> Column:
     return F.least(F.floor(w / most * LEVELS), F.lit(LEVELS - 1)).cast("int")
 
 
-def keyword_pairs(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+def keyword_pairs(asked: DataFrame, corpus: _Corpus, k: int) -> DataFrame:
     """``qid, chunk`` of all chunks that can be among a query's best ``k``, and few others.
 
     The best postings of each word give a first list per query, whose k-th score
@@ -73,6 +91,7 @@ def keyword_pairs(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     is looked at in full. Words of a chunk that were not met weigh less than their
     need, which bounds the chunk once more.
     """
+    postings = corpus.postings()
     terms = materialize(postings.groupBy("term").agg(F.max("w").alias("most"), F.count(F.lit(1)).alias("df")), "terms")
     words = asked.join(terms, "term")
     later = W.partitionBy("qid").orderBy(F.col("most").desc(), "term").rowsBetween(1, W.unboundedFollowing)
@@ -80,7 +99,7 @@ def keyword_pairs(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
 
     heads = top_per_key(postings, ["term"], [F.col("w").desc(), F.col("chunk")], HEADS * k, "place").drop("place")
     partial = words.join(heads, "term").groupBy("qid", "chunk").agg(F.sum("w").alias("score"))
-    first = _rescored(_best(partial, HEADS * k).select("qid", "chunk"), asked, postings)
+    first = corpus.score(_best(partial, HEADS * k).select("qid", "chunk"), asked)
     bound = _best(first, k).where(F.col("rank") == k).select("qid", (F.col("score") - MARGIN).alias("bound"))
 
     needs = words.join(bound, "qid", "left").withColumn("need", F.greatest(F.col("bound") - F.col("behind"), F.lit(0.0)))
@@ -105,8 +124,8 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFram
     among the best are left out before scoring.
     """
     asked = materialize(queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term")), "asked")
-    postings = _postings(asked, chunks)
-    scored = _rescored(keyword_pairs(asked, postings, k), asked, postings)
+    corpus = _Corpus(asked, chunks)
+    scored = corpus.score(keyword_pairs(asked, corpus, k), asked)
     return _best(scored, k).select("qid", "chunk.*", "score", "rank")
 
 

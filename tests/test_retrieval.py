@@ -141,7 +141,7 @@ def test_few_pairs_are_scored(spark, rows):
     got = rows(rt.keyword_topk(queries, chunks, 3), "qid", "id", "chunk_no", "rank")
     assert sorted((q, 3 * i + c, r) for q, i, c, r in got) == ranked(docs, asked, 3)
     terms = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term"))
-    pairs = rt.keyword_pairs(terms, rt._postings(terms, chunks), 3).where("qid < 15").count()
+    pairs = rt.keyword_pairs(terms, rt._Corpus(terms, chunks), 3).where("qid < 15").count()
     assert pairs < 0.15 * 15 * 600
 
 
