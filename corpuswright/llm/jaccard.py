@@ -36,7 +36,7 @@ SHINGLE = 5
 #: Wanted similarity as a fraction.
 NUM, DEN = 3, 4
 #: Index entries a task gathers before it passes them on.
-FLUSH = 400_000
+FLUSH = 100_000
 #: Cells of the parity sketch per shingle, which rules pairs out before their texts are read.
 CELLS = 4
 #: Star pairs with so many entries in common are taken for one cluster.

@@ -29,7 +29,7 @@ from . import words as ws
 WINDOW = 20
 GRAM = 8
 #: Segments or windows a task gathers before it passes them on.
-FLUSH = 400_000
+FLUSH = 100_000
 
 _ENTRY, _KNOWN = 0, 1
 _SEGMENTS = {

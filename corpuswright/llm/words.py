@@ -14,9 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
-#: Rows of one Arrow batch; texts of 100 KB in every row still fit a worker.
-BATCH_ROWS = 500
+CHUNK_BYTES = 1 << 19
 
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
