@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from corpuswright.plans import catalog
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -13,11 +14,6 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-#: Results that SQL cannot state; each is tested against brute force elsewhere.
-WITHOUT_SQL = {
-    "pipeline", "op2_token_counts", "op3_quality_rules", "op6_mix_sources", "op7_licence_scan", "op8_jaccard_join",
-}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
@@ -35,14 +31,10 @@ def _sorted_rows(table, names):
     return sorted(map(repr, zip(*[table.column(n).to_pylist() for n in names], strict=True)))
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_sql(spark, con, name):
     got = entry_module.queries()[name](spark, DIR).toArrow()
-    sql = entry_module.oracle_sql().get(name)
-    if sql is None:
-        assert name in WITHOUT_SQL and got.num_rows > 0
-        return
-    want = con.sql(sql).to_arrow_table()
+    want = con.sql(entry_module.oracle_sql()[name]).to_arrow_table()
     names = sorted(got.column_names)
     assert names == sorted(want.column_names)
     kinds = {n: (str(got.schema.field(n).type), str(want.schema.field(n).type)) for n in names}
