@@ -48,3 +48,31 @@ def test_stages(spark, tmp_path):
             assert all(r["n_chars"] == len(r["text"]) for r in rows)
         elif name == "decontamination":
             assert set(texts) == {k for k, n, hit, _ in brute.contamination(before.items(), bench) if not (hit and 20 * hit >= n)}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept string, _votes long, p_good string, _place long, _bad_id long, _q string, body string"
+
+
+def odd_rows():
+    prose = " ".join(f"The word of the {i} and that is a thing {i * 7 % 31}." for i in range(40))
+    other = " ".join(f"It was the {i * i} for which they had been with {i}." for i in range(40))
+    texts = [prose, prose, prose.replace("thing 7", "thong 7"), other, None, "", "short", " ".join(["junk"] * 500), other * 30]
+    return [(None if i == 3 else i // 2, t, None, None, None, "mine", 6317, "x", 5, -1, "q", "b") for i, t in enumerate(texts + texts[:2])]
+
+
+def test_stages_of_odd_rows(spark):
+    """Null and repeated ids, repeated rows, null sources, columns with the operators' own names, an empty table."""
+    given = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "mine", 6317, "x", 5, -1, "q", "b") for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    docs = spark.createDataFrame(odd_rows() + given, ODD).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, DIR)
+        assert docs.columns == [c.split()[0] for c in ODD.split(", ")], name
+        found = docs.collect()
+        assert 0 < len(found) <= before
+        assert {(r["kept"], r["_votes"], r["_place"], r["_bad_id"], r["_q"], r["body"]) for r in found} == {("mine", 6317, 5, -1, "q", "b")}
+        docs = spark.createDataFrame(found, ODD)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == docs.count()
+    empty = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DIR).count() == 0
