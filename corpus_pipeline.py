@@ -21,9 +21,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are likelier good than bad."""
-    measured = materialize(quality.measure(docs), "measured")
-    return quality.judge(measured).where("kept").select(*docs.columns)
+    """Documents that pass the base rules and are likelier good than bad.
+
+    Null and empty texts are rejected; null and repeated ids and extra columns
+    of any name stay as they are.
+    """
+    own = {c: c if c in ("doc_id", "text") else f"column {i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    judged = quality.judge(materialize(quality.measure(plain), "measured")).where("kept")
+    return judged.select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
