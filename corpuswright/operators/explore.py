@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_by_script
-from ..functions.urls import url_normalize
+from ..functions.urls import classify_url, is_low_quality, url_normalize
 from .ordering import row_numbers, top_per_key
 
 INLINE_KEYWORDS = 1000
@@ -204,6 +204,64 @@ def explore_topk(hits: DataFrame, n: int = 10, order: Sequence[str] = ("seq",))
     return deduped.orderBy(F.col("score").desc(), *[f"first_{o}" for o in order], "norm_url").limit(n)
 
 
+#: Hits taken of one web search, of a repository search, of its fallback, and of a paper search.
+CAPS = {"web": 5, "github": 5, "fallback": 3, "arxiv": 3}
+CHANNELS = ("registry", "web", "github", "arxiv")
+
+
+def explore_topics(
+    topics: DataFrame,
+    registry: DataFrame,
+    web: DataFrame,
+    github: DataFrame,
+    arxiv: DataFrame,
+    n: int = 10,
+    channels: Sequence[str] = CHANNELS,
+) -> DataFrame:
+    """The ``n`` best resources of every topic over the chosen channels.
+
+    ``topics(topic_id, queries)``; ``registry(ord, name, url, type, keywords)``;
+    search hits in the order found: ``web(topic_id, term, seq, url, title)``,
+    ``github(topic_id, seq, url, title, stars, fallback)``, ``arxiv(topic_id, seq,
+    url, title)``. Searches are capped before hits of low-quality hosts or without
+    a URL go. Fallback repositories count, at a lower score, for topics that ask
+    in Chinese only. Of hits with one address the best stays, at the place of the
+    first. Result: ``topic_id, rank, norm_url, url, title, type, channel, score``.
+    """
+    cols = ["topic_id", "channel", "channel_ord", "seq", "url", "title", "type", "score"]
+
+    def hits(channel: str, rows: DataFrame, kind: Column, score: Column) -> DataFrame:
+        named = rows.withColumns({"channel": F.lit(channel), "channel_ord": F.lit(CHANNELS.index(channel)).cast("long")})
+        return named.withColumns({"type": kind, "score": score.cast("long"), "seq": F.col("seq").cast("long")}).select(*cols)
+
+    asked = topics.select("topic_id", F.concat_ws(" ", "queries").alias("text"))
+    matched = match_registry(asked, registry, "topic_id").join(registry.select("name", "url", F.col("ord").alias("seq")), ["name", "url"])
+    web_found = top_per_key(web, ["topic_id", "term"], [F.col("seq")], CAPS["web"], "_hit").drop("_hit")
+    web_found = web_found.where("url <> ''").where(~is_low_quality(F.col("url")))
+    only_cjk = (F.size(split_by_script(F.col("queries"), cjk=False)) == 0) & (F.size(split_by_script(F.col("queries"), cjk=True)) > 0)
+    repos = top_per_key(github, ["topic_id", "fallback"], [F.col("seq")], CAPS["github"], "_hit")
+    repos = repos.join(topics.select("topic_id", only_cjk.alias("_cjk")), "topic_id")
+    repos = repos.where(~F.col("fallback") | (F.col("_cjk") & (F.col("_hit") <= CAPS["fallback"])))
+    stars = F.when(F.col("fallback"), github_score(F.col("stars"), True)).otherwise(github_score(F.col("stars")))
+    papers = top_per_key(arxiv, ["topic_id"], [F.col("seq")], CAPS["arxiv"], "_hit")
+    found = {
+        "registry": hits("registry", matched.withColumn("title", F.col("name")), F.col("type"), F.col("score")),
+        "web": hits("web", web_found, classify_url(F.col("url")), F.lit(WEB_SCORE)),
+        "github": hits("github", repos, F.lit("github"), stars),
+        "arxiv": hits("arxiv", papers, F.lit("arxiv"), F.lit(ARXIV_SCORE)),
+    }
+    every = [found[c] for c in CHANNELS if c in channels]
+    if not every:
+        raise ValueError("no channel chosen")
+    union = every[0]
+    for rows in every[1:]:
+        union = union.unionByName(rows)
+    best = dedup_urls(union, ("channel_ord", "seq"), ("topic_id",))
+    order = [F.col("score").desc(), F.col("first_channel_ord"), F.col("first_seq"), F.col("norm_url")]
+    top = top_per_key(best, ["topic_id"], order, n)
+    return top.select("topic_id", "rank", "norm_url", "url", "title", "type", "channel", "score")
+
+
 def enqueue_urls(new: DataFrame, queue: DataFrame) -> DataFrame:
     """Queue rows to add: URLs in neither state, first occurrence kept.
 
@@ -222,6 +280,4 @@ def mark_processed(queue: DataFrame, done: DataFrame) -> DataFrame:
 
 def route_tasks(queue: DataFrame, policy: str = "study") -> DataFrame:
     """Queue rows per handler kind."""
-    from ..functions.urls import classify_url
-
     return queue.groupBy(classify_url(F.col("url"), policy).alias("route")).agg(F.count(F.lit(1)).alias("n"))

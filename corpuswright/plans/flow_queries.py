@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import urls as ur
+from ..operators import web as wb
+from ..operators.explore import explore_topics
 from .binding import MATERIALS_SQL, pages
 from .flows import ingest_pages, publish
 from .publish_queries import OUTLINE_SQL, PROV_SQL, QUALITY_SQL, REFS_SQL, _outline, _with_refs
 from .registry import query
-from .text_queries import WS
+from .text_queries import AUTH, NORM, PATH, WS
 from .web_queries import AREA, REGISTRY_SQL, UNESCAPE, _registry
 
 EXTRACT_SQL = f"""x AS (SELECT page_id, url, {UNESCAPE.format(c="regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title,
@@ -40,6 +43,56 @@ def course_ingest(spark, d):
     return out.select("id", "source_url", "title", "content_hash", "tag_count", "term_count", "score", "grade", "ready")
 
 
+LOW_SQL = "('youtube.com', 'twitter.com', 'x.com', 'facebook.com', 'reddit.com', 'medium.com', 'readmedium.com', 'stackoverflow.com')"
+
+
+@query(
+    "explore_topics",
+    f"""WITH {REGISTRY_SQL},
+    x AS (SELECT page_id, regexp_extract({PATH.format(c='url')}, '^/([a-z]+)', 1) AS topic_id,
+            CASE WHEN page_id % 5 = 0 THEN replace(url, 'example.com', 'x.com') ELSE url END AS url,
+            regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages WHERE url IS NOT NULL),
+    t AS (SELECT topic_id, arg_min(title, page_id) || ' langchain' AS q FROM x GROUP BY 1),
+    web AS (SELECT *, row_number() OVER (PARTITION BY topic_id, page_id % 2 ORDER BY page_id) AS hit FROM x WHERE page_id % 3 = 0),
+    git AS (SELECT *, page_id % 2 = 1 AS fallback, row_number() OVER (PARTITION BY topic_id, page_id % 2 ORDER BY page_id) AS hit FROM x WHERE page_id % 3 = 1),
+    arx AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY page_id) AS hit FROM x WHERE page_id % 3 = 2),
+    hits AS (
+      SELECT topic_id, 'registry' AS channel, 0 AS c, ord AS seq, url, name AS title, type, 100 + 10 * count(*) AS score
+        FROM t JOIN registry ON contains(lower(q), keyword) GROUP BY topic_id, ord, url, name, type
+      UNION ALL SELECT topic_id, 'web', 1, page_id, url, title, CASE WHEN contains(url, 'github.com') THEN 'github' WHEN contains(url, 'arxiv.org') THEN 'arxiv'
+          WHEN regexp_matches(url, 'docs[.]|documentation|readthedocs|/docs/') THEN 'doc' WHEN regexp_matches(url, 'learn|course|tutorial') THEN 'course' ELSE 'web' END, 50
+        FROM web WHERE hit <= 5 AND replace({AUTH.format(c='url')}, 'www.', '') NOT IN {LOW_SQL}
+      UNION ALL SELECT topic_id, 'github', 2, page_id, url, title, 'github', CASE WHEN fallback THEN least(65, 25 + page_id * 37 // 1000) ELSE least(70, 30 + page_id * 37 // 1000) END
+        FROM git WHERE (NOT fallback AND hit <= 5) OR (fallback AND topic_id = 'fr' AND hit <= 3)
+      UNION ALL SELECT topic_id, 'arxiv', 3, page_id, url, title, 'arxiv', 60 FROM arx WHERE hit <= 3),
+    n AS (SELECT *, {NORM.format(c='url')} AS norm_url FROM hits),
+    best AS (SELECT *, row_number() OVER (PARTITION BY topic_id, norm_url ORDER BY score DESC, c, seq) AS place,
+        first_value((c, seq)) OVER (PARTITION BY topic_id, norm_url ORDER BY c, seq) AS seen FROM n WHERE norm_url <> ''),
+    r AS (SELECT topic_id, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, seen, norm_url) AS rank, norm_url, url, title, type, channel, score::BIGINT AS score
+      FROM best WHERE place = 1)
+    SELECT * FROM r WHERE rank <= 10""",
+)
+def explore(spark, d):
+    """Every language section as a topic; its pages are what the searches found. French topics ask in Chinese only."""
+    page_id, url = F.col("page_id"), F.col("url")
+    moved = F.when(page_id % 5 == 0, F.replace(url, F.lit("example.com"), F.lit("x.com"))).otherwise(url)
+    found = pages(spark, d).where("url IS NOT NULL").select(
+        F.regexp_extract(ur.path(url), "^/([a-z]+)", 1).alias("topic_id"), page_id.alias("seq"), moved.alias("url"), wb.page_title(F.col("html")).alias("title")
+    )
+    asked = F.concat(F.min_by("title", "seq"), F.lit(" langchain"))
+    topics = found.groupBy("topic_id").agg(asked.alias("q"))
+    cjk = F.concat("q", F.lit(" 中"))
+    queries = F.when(F.col("topic_id") == "fr", F.array(cjk)).when(F.col("topic_id") == "de", F.array(cjk, F.col("q"))).otherwise(F.array("q"))
+    kind = F.col("seq") % 3
+    return explore_topics(
+        topics.select("topic_id", queries.alias("queries")),
+        _registry(spark),
+        found.where(kind == 0).withColumn("term", F.col("seq") % 2),
+        found.where(kind == 1).withColumns({"stars": F.col("seq") * 37, "fallback": F.col("seq") % 2 == 1}),
+        found.where(kind == 2),
+    )
+
+
 PUBLISHED_SQL = f"""{MATERIALS_SQL}, r AS ({REFS_SQL}), {OUTLINE_SQL},
     numbered AS (SELECT *, dense_rank() OVER (ORDER BY chapter) AS chapter_no, row_number() OVER (PARTITION BY chapter ORDER BY item_id) AS section_no FROM outline),
     c AS (SELECT p.item_id, string_agg('--- 素材: ' || coalesce(nullif(title, ''), r.id) || ' ---' || chr(10) || {PROV_SQL} || chr(10) || '正文摘录:' || chr(10) || body,

@@ -135,3 +135,45 @@ def test_gap_report(spark, rows):
     docs = spark.createDataFrame([(1, "spark join join"), (2, "Join window")], "id long, text string")
     topics = spark.createDataFrame([("Window functions",)], "topic string")
     assert rows(tm.gap_report(docs, topics, "id", "text")) == [("join", 2, 3), ("spark", 1, 1)]
+
+
+def explored(spark, rows, topics, web=(), github=(), arxiv=(), **more):
+    frame = lambda data, kind: spark.createDataFrame(list(data), kind)
+    base = "topic_id long, seq long, url string, title string"
+    sources = [(0, "One", "https://one.org/", "doc", ["rag"]), (1, "Two", "https://two.org", "course", ["rag", "agent"])]
+    found = ex.explore_topics(
+        frame(topics, "topic_id long, queries array<string>"),
+        frame(sources, "ord long, name string, url string, type string, keywords array<string>"),
+        frame(web, "topic_id long, term long, seq long, url string, title string"),
+        frame(github, base + ", stars long, fallback boolean"),
+        frame(arxiv, base),
+        **more,
+    )
+    return [(r["topic_id"], r["rank"], r["url"], r["channel"], r["type"], r["score"]) for r in found.orderBy("topic_id", "rank").collect()]
+
+
+def test_explore_topics(spark, rows):
+    topics = [(1, ["RAG agents"]), (2, ["检索"]), (3, ["检索", "x"])]
+    web = [(1, 0, i, u, "t") for i, u in enumerate(["https://www.reddit.com/a", "", None, "https://one.org", "https://docs.a.org/x", "https://late.org"])]
+    web += [(1, 1, 9, "https://b.org/course", "t")]
+    github = [(t, i, f"https://github.com/{t}/{i}{'f' if f else ''}", "g", i * 9000, f) for t in (1, 2, 3) for f in (False, True) for i in range(7)]
+    arxiv = [(2, i, f"https://arxiv.org/abs/{i}", "p") for i in range(5)]
+    got = explored(spark, rows, topics, web, github, arxiv, n=30)
+    assert [r for r in got if r[0] == 1] == [
+        (1, 1, "https://two.org", "registry", "course", 120),
+        (1, 2, "https://one.org/", "registry", "doc", 110),  # better than the web hit of the same address
+        (1, 3, "https://github.com/1/4", "github", "github", 66),
+        (1, 4, "https://github.com/1/3", "github", "github", 57),
+        (1, 5, "https://docs.a.org/x", "web", "doc", 50),
+        (1, 6, "https://b.org/course", "web", "course", 50),
+        (1, 7, "https://github.com/1/2", "github", "github", 48),
+        (1, 8, "https://github.com/1/1", "github", "github", 39),
+        (1, 9, "https://github.com/1/0", "github", "github", 30),
+    ]
+    second = [r[2:] for r in got if r[0] == 2]
+    assert [r[0] for r in second if r[1] == "arxiv"] == [f"https://arxiv.org/abs/{i}" for i in range(3)]
+    assert [(r[0], r[3]) for r in second if r[0].endswith("f")] == [("https://github.com/2/2f", 43), ("https://github.com/2/1f", 34), ("https://github.com/2/0f", 25)]
+    assert len([r for r in got if r[0] == 3]) == 5  # asks in English too: no fallback
+    chosen = explored(spark, rows, topics, web, github, arxiv, n=2, channels=("arxiv", "web"))
+    assert [(r[0], r[3]) for r in chosen] == [(1, "web"), (1, "web"), (2, "arxiv"), (2, "arxiv")]
+    assert explored(spark, rows, []) == []
