@@ -79,15 +79,16 @@ def queue_stats(queue: DataFrame) -> DataFrame:
     )
 
 
-def changed_versions(versions: DataFrame, order: str, part: Column) -> DataFrame:
+def changed_versions(versions: DataFrame, order: str, part: Column | None = None) -> DataFrame:
     """New and updated page versions; a version equal to the one before is skipped.
 
-    ``versions(url, hash, ...)``. A page that holds a third of all versions is
-    read in time parts, and the last hash of a part is carried to the next.
+    ``versions(url, hash, ...)``; a null hash is a value like any other. A page
+    that holds a third of all versions is read in ranges (or the given parts),
+    and the last hash of a range is carried to the next.
     """
-    seen = previous_values(versions, ["url"], order, {"prev_hash": "hash"}, part)
-    kind = F.when(F.col("prev_hash").isNull(), "new").when(~F.col("hash").eqNullSafe(F.col("prev_hash")), "updated")
-    return seen.withColumn("change", kind)
+    seen = previous_values(versions, ["url"], order, {"prev_hash": "hash", "_prev_url": "url"}, part)
+    kind = F.when(F.col("_prev_url").isNull(), "new").when(~F.col("hash").eqNullSafe(F.col("prev_hash")), "updated")
+    return seen.withColumn("change", kind).drop("_prev_url")
 
 
 def latest_state(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -103,7 +104,7 @@ def progress_pct(done: Column, total: Column, start: int, span: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), raw)).cast("long")
 
 
-def study_progress(topics: DataFrame, key: str, order: Sequence[str], part: Column) -> DataFrame:
+def study_progress(topics: DataFrame, key: str, order: Sequence[str], part: Column | None = None) -> DataFrame:
     """Progress after every processed topic of a run."""
     counted = running_sums(topics, [key], order, {"processed": F.lit(1)}, part, totals=True)
     done, total = F.col("processed"), F.col("processed_total")

@@ -645,11 +645,10 @@ def l1(spark, d):
 
 def _turns(spark, d):
     return table(spark, d, "conversations").select(
-        "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.split(F.col("text"), r"\s+")[0].alias("word"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("flat")
+        "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("flat")
     )
 
 
-WORD = "list_extract(string_split_regex(text, '\\s+'), 1)"
 FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
@@ -691,16 +690,31 @@ def l3(spark, d):
     return out.select("id", F.concat_ws("|", "gaps").alias("gaps"), F.concat_ws("|", "suggestions").alias("suggestions"))
 
 
+def _short_sql(max_len: int, marks: str) -> str:
+    """Lines of a reply that are short enough, without their marks."""
+    clean = f"trim(trim(trim(x, '-'), {WS}), '•')"
+    clean = f"trim({clean}, '#')" if "#" in marks else clean
+    return f"""list_transform(list_filter(list_transform(raw, lambda x: trim(x, {WS})), lambda x: x <> '' AND length(x) < {max_len}),
+        lambda x: trim({clean}, {WS}))"""
+
+
 @query(
     "l4_parse_bullets",
-    f"""SELECT conv_id * 1000 + turn AS id, 'one ' || {FLAT} || '|two' AS outline, CASE WHEN lower({WORD}) = 'gpu' THEN 'GPU' ELSE 'GPU|' || trim({WORD}, '-•') END AS terms,
-      'deep|' || trim({WORD}, '-•#') || '|a|b|c' AS tags FROM conversations""",
+    f"""WITH f AS (SELECT conv_id * 1000 + turn AS id, {FLAT} AS flat FROM conversations),
+    p AS (SELECT id, flat, list_transform(string_split_regex(flat, '[.,;] '), lambda x, i: CASE WHEN i = 1 THEN x ELSE '- ' || x END) AS phrases FROM f),
+    terms AS (SELECT id, {_short_sql(50, '•')} AS t FROM (SELECT id, ['- GPU'] || phrases || ['• gpu', repeat('x', 60)] AS raw FROM p)),
+    tags AS (SELECT id, {_short_sql(30, '•#')} AS t FROM (SELECT id, ['#deep'] || phrases || ['- a', '', 'b', 'c', 'd'] AS raw FROM p))
+    SELECT p.id, 'one ' || flat || '|two' AS outline,
+      array_to_string(list_filter(terms.t, lambda x, i: list_position(list_transform(terms.t, lambda y: lower(y)), lower(x)) = i)[:20], '|') AS terms,
+      array_to_string(tags.t[:5], '|') AS tags FROM p JOIN terms USING (id) JOIN tags USING (id)""",
 )
 def l4(spark, d):
-    lit, w = F.lit, F.col("word")
+    """The whole text of every turn as the lines of a reply, a line per phrase."""
+    lit = F.lit
+    phrases = F.regexp_replace("flat", "[.,;] ", "\n- ")
     outline = F.concat(lit("intro\n - one "), "flat", lit("\n** two\nend"))
-    terms = F.concat(lit("- GPU\n"), w, lit("\n• gpu\n"), F.repeat(lit("x"), 60))
-    tags = F.concat(lit("#deep\n"), w, lit("\n- a\n\nb\nc\nd"))
+    terms = F.concat(lit("- GPU\n"), phrases, lit("\n• gpu\n"), F.repeat(lit("x"), 60))
+    tags = F.concat(lit("#deep\n"), phrases, lit("\n- a\n\nb\nc\nd"))
     return _turns(spark, d).select(
         "id", F.concat_ws("|", rs.parse_outline(outline)).alias("outline"), F.concat_ws("|", rs.parse_terms(terms)).alias("terms"),
         F.concat_ws("|", rs.parse_tags(tags)).alias("tags"),

@@ -146,7 +146,7 @@ def _versions(spark, d):
     FROM v WHERE prev IS DISTINCT FROM hash""",
 )
 def e4(spark, d):
-    out = tk.changed_versions(_versions(spark, d), "at", hour())
+    out = tk.changed_versions(_versions(spark, d), "at")
     return out.where("change IS NOT NULL").select("url", "event_id", "hash", "change")
 
 
@@ -156,7 +156,7 @@ def e4(spark, d):
       count(*) FILTER (prev IS NOT DISTINCT FROM hash) AS skipped FROM v GROUP BY 1""",
 )
 def e4_skipped(spark, d):
-    out = tk.changed_versions(_versions(spark, d), "at", hour())
+    out = tk.changed_versions(_versions(spark, d), "at")
     return out.groupBy("url").agg(
         F.count_if(F.col("change").isNotNull()).alias("kept"), F.count_if(F.col("change").isNull()).alias("skipped")
     )
@@ -190,7 +190,7 @@ def a15(spark, d):
 )
 def e6(spark, d):
     rows = events(spark, d).select("event_id", "user_id", "ts_us")
-    out = tk.study_progress(rows, "user_id", ["ts_us", "event_id"], hour())
+    out = tk.study_progress(rows, "user_id", ["ts_us", "event_id"])
     return out.select("event_id", "user_id", "processed", "study_pct", "publish_pct", "curriculum_pct")
 
 
@@ -295,7 +295,7 @@ def h5(spark, d):
 def c14(spark, d):
     """Error and click events retry the event before them."""
     ev = events(spark, d).select("event_id", "user_id", "ts_us", "event_type", F.struct("ts_us", "event_id").alias("at"))
-    linked = previous_values(ev, ["user_id"], "at", {"prev": "event_id"}, hour())
+    linked = previous_values(ev, ["user_id"], "at", {"prev": "event_id"})
     retry = F.when(F.col("event_type").isin("error", "click"), F.col("prev"))
     return tk.retry_lineage(linked.select(F.col("event_id").alias("id"), retry.alias("retry_of")))
 

@@ -83,11 +83,32 @@ def test_retry_chains(spark, rows, splits):
 def test_changed_versions(spark, rows):
     data = [("u", h, t) for t, h in enumerate("aabbab")] + [("v", "z", 3)]
     df = spark.createDataFrame(data, "url string, hash string, at long")
-    for part in (F.lit(0), F.floor(F.col("at") / 2)):
+    for part in (None, F.lit(0), F.floor(F.col("at") / 2)):
         got = rows(tk.changed_versions(df, "at", part).where("change IS NOT NULL"), "url", "at", "change")
         assert sorted(got) == [("u", 0, "new"), ("u", 2, "updated"), ("u", 4, "updated"), ("u", 5, "updated"), ("v", 3, "new")]
 
 
+def test_a_page_with_most_versions_of_one_hour(spark, rows):
+    """A third of all versions in one hour of one page are many ranges; a null hash is a hash."""
+    rng = random.Random(3)
+    data = [("hot", rng.choice(["a", "b", None]), t) for t in range(600)]
+    data += [(f"p{rng.randrange(300)}", rng.choice("xyz"), 3600 * rng.randrange(1, 500) + i) for i, _ in enumerate(range(1200))]
+    df = spark.createDataFrame(data, "url string, hash string, at long").repartition(6)
+    want, last = [], {}
+    for url, h, t in sorted(data, key=lambda r: r[2]):
+        if url not in last or last[url] != h:
+            want.append((url, t, "updated" if url in last else "new"))
+        last[url] = h
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows(tk.changed_versions(df, "at").where("change IS NOT NULL"), "url", "at", "change")
+        done = rows(tk.study_progress(df, "url", ["at"]).where("url = 'hot'"), "at", "processed", "processed_total")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(got) == sorted(want)
+    assert sorted(done) == [(t, t + 1, 600) for t in range(600)]
+
+
 def test_progress(spark, rows):
     df = spark.createDataFrame([("r", i) for i in range(3)], "run string, at long")
     got = sorted(rows(tk.study_progress(df, "run", ["at"], F.lit(0)), "at", "study_pct", "publish_pct", "curriculum_pct"))
