@@ -38,20 +38,16 @@ def _decode(col: Column, ddl: str) -> Column:
 def append_materials(new: DataFrame, path: str, seq: str = "order_index", in_batch: str = "first") -> DataFrame:
     """Write the incoming rows whose content the table does not hold yet.
 
-    The rows to write are fixed before the append starts: they depend on the
-    table being appended to.
+    Bodies are read and hashed once, into a staged table; what is new is settled
+    on ids and hashes. The rows to write are fixed before the append starts,
+    because they depend on the table being appended to.
     """
     spark = new.sparkSession
-    hashed = with_content_hash(new)
-    if _exists(spark, path):
-        store = spark.read.parquet(path).select("id", "content_hash", F.col(seq).alias(seq))
-    else:
-        store = hashed.select("id", "content_hash", seq).where(F.lit(False))
-    staged = scratch_path(spark, "append")
-    keys = materialize(hashed.select("id", "content_hash", seq), "keys")  # bodies are hashed once
-    fresh = new_materials(keys, store, seq, in_batch).select("id")
-    hashed.join(fresh, "id", "left_semi").write.parquet(staged)
-    rows = spark.read.parquet(staged)
+    staged = materialize(with_content_hash(new), "append")
+    keys = staged.select("id", "content_hash", seq)
+    store = spark.read.parquet(path).select("id", "content_hash", seq) if _exists(spark, path) else keys.where(F.lit(False))
+    fresh = materialize(new_materials(keys, store, seq, in_batch).select("id"), "fresh")
+    rows = staged.join(fresh, "id", "left_semi")
     _balanced(rows).write.mode("append").partitionBy("source_type").parquet(path)
     return rows
 
