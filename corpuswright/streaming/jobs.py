@@ -37,11 +37,12 @@ MERGED = 16
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """Parquet files of a folder as a stream; a table of the name may be one file or a folder of part files."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    # a pattern even without wildcards: only those may name files, and what they name may be a folder
+    return reader.parquet(f"{folder}/{{{name}}}")
 
 
 def _start(df: DataFrame, sink: Callable, checkpoint: str, mode: str = "append", live: str | None = None) -> StreamingQuery:

@@ -5,6 +5,7 @@ import collections
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corpuswright.plans import catalog
 from corpuswright.streaming import jobs
 
 
@@ -171,3 +172,16 @@ def test_sessions_and_late_urls_over_batches(spark, rows, tmp_path):
     out = str(tmp_path / "queued")
     jobs.enqueue_stream(stream.select("url", "seq", "ts"), queue, out, str(tmp_path / "c2")).awaitTermination()
     assert sorted(rows(spark.read.parquet(out), "url")) == [("a",), ("b",)]
+
+
+def _part_files(spark, folder, name, data, schema):
+    """A table as a folder of several part files, as larger tables are written."""
+    spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_enqueue_query_reads_a_folder_of_part_files(spark, rows, tmp_path):
+    """Pages under https are queued before, the others are new."""
+    urls = [f"{'http' if i % 3 else 'https'}://p{i // 2}.example/a" for i in range(12)]
+    _part_files(spark, tmp_path, "pages", [(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    found = rows(catalog.queries()["m2_enqueue_stream"](spark, str(tmp_path)), "url", "state")
+    assert sorted(found) == sorted({(u, "pending") for u in urls if u.startswith("http:")})
