@@ -185,3 +185,11 @@ def test_enqueue_query_reads_a_folder_of_part_files(spark, rows, tmp_path):
     _part_files(spark, tmp_path, "pages", [(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string")
     found = rows(catalog.queries()["m2_enqueue_stream"](spark, str(tmp_path)), "url", "state")
     assert sorted(found) == sorted({(u, "pending") for u in urls if u.startswith("http:")})
+
+
+def test_ingest_query_reads_a_folder_of_part_files(spark, rows, tmp_path):
+    texts = ["one text", "another", "one text", "third", "another", "fourth"]
+    data = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    _part_files(spark, tmp_path, "documents", data, "doc_id long, text string, lang string, source string, n_chars long")
+    found = rows(catalog.queries()["m3_ingest_stream"](spark, str(tmp_path)), "id", "source_type")
+    assert sorted(found) == [("0", "web"), ("1", "web"), ("3", "web"), ("5", "web")]
