@@ -12,7 +12,7 @@ from .explore import keyword_counts
 from .ordering import top_per_key
 
 #: A key above this share of the rows is hot; there are at most as many hot keys.
-HOT_KEYS = 10_000
+HOT_KEYS = 500_000
 
 
 def _runs(tokens: Column) -> Column:
@@ -33,7 +33,7 @@ def _runs(tokens: Column) -> Column:
 
 def token_runs(tokens: Column | str) -> Column:
     """Tokens of a row as ``(term, tf)``; null when there are none."""
-    return bind(F.array_sort(tokens), _runs)
+    return bind(F.sort_array(tokens), _runs)  # array_sort would run a comparator
 
 
 def token_counts(df: DataFrame, key: str, text: str, max_len: int = 50) -> DataFrame:
@@ -52,23 +52,23 @@ def join_counts(rows: DataFrame, counts: DataFrame, key: str, count: str, spread
     """Join per-key counts to rows of which a few keys may hold a large part.
 
     Keys with more than 1/HOT_KEYS of the rows number at most HOT_KEYS, so they
-    are broadcast. Rows of hot keys are spread by their own id through the join
-    of the other keys, so no task receives a whole hot key.
+    are broadcast and their rows, the most by far in texts, stay where they are.
+    Only rows of other keys are shuffled. Rows without a key are spread by their
+    own id.
     """
     counts = materialize(counts.select(key, count), "counts")
     total = counts.agg(F.sum(count)).scalar()
-    hot = counts.where(F.col(count) * HOT_KEYS > total).select(F.col(key).alias("_hk"), F.col(count).alias("_hot"))
-    cold = counts.select(F.col(key).alias("_ck"), F.col(count).alias("_cold"))
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn(
-        "_jk", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("\x00"), F.col(spread).cast("string")))
-    )
-    joined = marked.join(cold, F.col("_jk") == F.col("_ck"), "left")
-    return joined.withColumn(count, F.coalesce("_hot", "_cold")).drop("_hk", "_hot", "_jk", "_ck", "_cold")
+    hot = counts.where(F.col(count) * HOT_KEYS > total)
+    cold = counts.where(F.col(count) * HOT_KEYS <= total).select(F.col(key).alias("_ck"), F.col(count))
+    here = rows.join(F.broadcast(hot), key).select(*rows.columns, count)
+    other = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    other = other.withColumn("_jk", F.coalesce(F.col(key), F.concat(F.lit("\x00"), F.col(spread).cast("string"))))
+    return here.unionByName(other.join(cold, F.col("_jk") == F.col("_ck"), "left").select(*rows.columns, count))
 
 
 def key_terms(df: DataFrame, key: str, text: str, n: int = 20) -> DataFrame:
     """Best ``n`` terms per document by tf * ln(N / df)."""
-    tf = materialize(token_counts(df, key, text), "tf")  # tokenised once, read twice
+    tf = materialize(token_counts(df, key, text), "tf")  # tokenised once, read again for the counts and the scores
     frequency = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = df.agg(F.count(F.lit(1))).scalar()
     joined = join_counts(tf, frequency, "term", "df", key)

@@ -131,6 +131,17 @@ def test_counts_join_with_hot_keys(spark, rows, monkeypatch):
     assert got == sorted((i, t, 200 if t == "hot" else 1) for t, i in data)
 
 
+def test_rows_of_hot_keys_stay_where_they_are(spark, rows, monkeypatch):
+    monkeypatch.setattr(tm, "HOT_KEYS", 5)
+    data = [("hot" if i % 3 else f"k{i}" if i % 2 else None, i) for i in range(300)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(data, 4), "term string, id long").withColumn("at", F.spark_partition_id())
+    counts = df.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    joined = tm.join_counts(df, counts, "term", "df", "id").withColumn("now", F.spark_partition_id())
+    got = rows(joined, "id", "term", "df", "at", "now")
+    assert sorted(r[:3] for r in got) == sorted((i, t, None if t is None else 200 if t == "hot" else 1) for t, i in data)
+    assert len({r[3:] for r in got if r[1] == "hot"}) == 4
+
+
 def test_gap_report(spark, rows):
     docs = spark.createDataFrame([(1, "spark join join"), (2, "Join window")], "id long, text string")
     topics = spark.createDataFrame([("Window functions",)], "topic string")
