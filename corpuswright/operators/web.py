@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as tx
 from ..functions import urls as ur
@@ -24,30 +26,39 @@ MATERIAL_FIELDS = (
 )
 
 
+#: Pages that a worker has as Python objects at a time.
+AT_ONCE = 32
+
+
+def _read_pages(pages: DataFrame, read: Callable[[dict], dict], schema: str) -> DataFrame:
+    """``read`` of every row. A few pages at a time, so a worker holds little beside the Arrow batch it was sent."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, AT_ONCE):
+                yield pa.RecordBatch.from_pylist([read(row) for row in b.slice(at, AT_ONCE).to_pylist()], fields)
+
+    return pages.mapInArrow(run, schema)
+
+
 def pages_to_text(pages: DataFrame) -> DataFrame:
     """Visible text of every page (page_id, url, html)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": [page_text(h) for h in b["html"]]})
+    def read(row: dict) -> dict:
+        return {"page_id": row["page_id"], "url": row["url"], "text": page_text(row["html"])}
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string")
+    return _read_pages(pages.select("page_id", "url", "html"), read, "page_id long, url string, text string")
 
 
 def pages_to_materials(pages: DataFrame) -> DataFrame:
     """One structured row per page: title, content, images, code, headings."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [page_material(h, u) for h, u in zip(b["html"], b["url"], strict=True)]
-            out = pd.DataFrame(rows, columns=["title", "content", "images", "code_blocks", "headings"])
-            out.insert(0, "page_id", b["page_id"].to_numpy())
-            out.insert(1, "url", b["url"].to_numpy())
-            out["raw_html_length"] = [len(h) for h in b["html"]]
-            yield out
+    def read(row: dict) -> dict:
+        found = page_material(row["html"], row["url"])
+        return {"page_id": row["page_id"], "url": row["url"], **found, "raw_html_length": len(row["html"])}
 
-    schema = f"page_id long, url string, {MATERIAL_FIELDS}, raw_html_length long"
-    return pages.select("page_id", "url", "html").mapInPandas(run, schema)
+    return _read_pages(pages.select("page_id", "url", "html"), read, f"page_id long, url string, {MATERIAL_FIELDS}, raw_html_length long")
 
 
 def page_title(html: Column) -> Column:
@@ -165,11 +176,10 @@ ARTICLE_PIECES = "array<struct<text:string,src:string,data_type:string,width:str
 def pages_to_articles(pages: DataFrame) -> DataFrame:
     """Article body with its images in place as Markdown, decoration dropped."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "pieces": [article_pieces(h) for h in b["html"]]})
+    def pieces(row: dict) -> dict:
+        return {"page_id": row["page_id"], "pieces": article_pieces(row["html"])}
 
-    read = pages.select("page_id", "html").mapInPandas(run, f"page_id long, pieces {ARTICLE_PIECES}")
+    read = _read_pages(pages.select("page_id", "html"), pieces, f"page_id long, pieces {ARTICLE_PIECES}")
 
     def kept(p: Column) -> Column:
         return p["src"].isNotNull() & ~is_decorative_article(p["src"], p["data_type"], p["width"], p["context"], p["position"])

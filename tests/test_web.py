@@ -180,3 +180,18 @@ def test_crawl_from_seeds(spark, rows):
     assert got == [(full(r), full(u), d) for r, u, d in want]
     got = rows(wb.crawl_frontier(e, p, roots, 1, 9, True, seeds).where("depth = 1"), "url")
     assert sorted(got) == [(full("h/x"),), (full("h/y"),), (full("k/x"),)]
+
+
+def test_pages_are_read_a_few_at_a_time():
+    """A batch of many pages is not held as Python objects, nor are its results."""
+    import pyarrow as pa
+
+    class Pages:
+        def mapInArrow(self, run, schema):
+            return run
+
+    read = []
+    run = wb._read_pages(Pages(), lambda row: read.append(row) or {"page_id": row["page_id"]}, "page_id long")
+    out = run(iter([pa.RecordBatch.from_pylist([{"page_id": i} for i in range(1000)])]))
+    assert next(out).num_rows == len(read) == wb.AT_ONCE
+    assert sum(b.num_rows for b in out) == 1000 - wb.AT_ONCE
