@@ -26,16 +26,16 @@ MARGIN = 1e-5
 class _Corpus:
     """Chunks as word counts, with the numbers BM25 takes from all of them.
 
-    Texts are read once for the document frequencies and once for the postings;
-    later only those of chunks that are scored. Counts never leave the row of
-    their chunk but as a posting of a word that some query has.
+    Texts are read and counted once; the counts are stored, and read for the
+    document frequencies, the postings and the chunks that are scored. They never
+    leave the row of their chunk but as a posting of a word that some query has.
     """
 
     def __init__(self, asked: DataFrame, chunks: DataFrame):
         keys = [c for c in chunks.columns if c != "text"]
         read = chunks.select(F.struct(*keys).alias("chunk"), tx.word_tokens(F.col("text")).alias("tokens"))
         runs = F.coalesce(token_runs("tokens"), F.array().cast("array<struct<term:string,tf:bigint>>"))
-        self.counts = read.select("chunk", F.size("tokens").alias("length"), runs.alias("runs"))
+        self.counts = materialize(read.select("chunk", F.size("tokens").alias("length"), runs.alias("runs")), "counts")
         # the empty term stands for the chunk itself: how many there are, and their length
         terms = F.concat(F.array(F.lit("")), F.transform("runs", lambda r: r["term"]))
         counted = self.counts.select("length", F.explode(terms).alias("term")).groupBy("term")

@@ -157,3 +157,15 @@ def test_index_text(spark, rows, tmp_path):
     stored = rt.index_text(df, str(tmp_path / "i"), size=20, overlap=4)
     assert stored.where(F.col("chunk").startswith("来源: s\n主题: t")).count() >= 1
     assert stored.count() > 2
+
+
+def test_chunks_are_counted_once(spark, monkeypatch):
+    """Frequencies, postings and scores read stored counts, not the texts again."""
+    from corpuswright.operators import retrieval
+
+    stored = []
+    monkeypatch.setattr(retrieval, "materialize", lambda df, label: stored.append(label) or df.localCheckpoint())
+    chunks = spark.createDataFrame([(1, "a b a"), (2, "b c")], "id long, text string")
+    corpus = retrieval._Corpus(spark.createDataFrame([(1, "a")], "qid long, term string"), chunks)
+    assert stored[0] == "counts" and corpus.n == 2
+    assert "regexp_extract_all" not in corpus.counts._jdf.queryExecution().toString()
