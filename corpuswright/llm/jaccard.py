@@ -364,6 +364,20 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(_verify, "a bigint, b bigint"), "links")
 
 
+def _clusters(stars: DataFrame) -> DataFrame:
+    """``node``, ``label``: clusters of classes joined by strong star pairs (``a``, ``b``, ``n``).
+
+    A class without a strong pair goes to the cluster of the class it shares the
+    most entries with, if that is in one: a few such classes in a cluster's
+    entries would leave each entry to be compared alone.
+    """
+    strong = components(stars.where(F.col("n") >= STRONG))
+    ends = stars.select("a", "b", "n").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    best = ends.groupBy("a").agg(F.max("n").alias("most"), F.max(F.struct("n", "b"))["b"].alias("b"))
+    weak = best.where(F.col("most") < STRONG).select(F.col("a").alias("weak"), "b")
+    return strong.unionByName(weak.join(strong, weak["b"] == strong["node"]).select(F.col("weak").alias("node"), "label"))
+
+
 def _open_groups(member: DataFrame, named: DataFrame) -> DataFrame:
     """``level``, ``group``, ``class``, ``n``, ``label``: groups that hold every candidate pair with two labels.
 
@@ -483,7 +497,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     links = _linked(likely, texts)
     labels = components(links)
 
-    strong = components(stars.where(F.col("n") >= STRONG)).withColumnsRenamed({"node": "_node", "label": "whole"})
+    strong = _clusters(stars).withColumnsRenamed({"node": "_node", "label": "whole"})
     named = of.join(labels, of["class"] == labels["node"], "left").drop("node").join(strong, F.col("class") == F.col("_node"), "left")
     named = named.select("class", "n", F.coalesce("label", "class").alias("label"), F.coalesce("whole", "class").alias("whole"))
     named = materialize(named, "named")

@@ -327,6 +327,29 @@ def test_jaccard_join(docs, texts, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_components_by_shuffles(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(30)] + [(50, 60), (70, 60), (70, 60)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = dict(rows_of(components.components(df)))
+    monkeypatch.setattr(components, "SMALL", 0)
+    assert few == dict(rows_of(components.components(df)))
+    assert few == {**dict.fromkeys(range(31), 0), 50: 50, 60: 50, 70: 50}
+
+
+def test_jaccard_weak_classes_leave_no_entry_alone(spark):
+    # 1 to 4 share many entries; 5 shares few with 4, and stands in an entry of theirs; 8 and 9 share few
+    stars = [(1, 2, 9), (1, 3, 9), (3, 4, 8), (4, 5, 2), (2, 5, 1), (8, 9, 3)]
+    stars = spark.createDataFrame(stars, "a long, b long, n long")
+    found = dict(rows_of(jaccard._clusters(stars)))
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+    named = spark.createDataFrame([(i, 20, i, found.get(i, i)) for i in (1, 2, 3, 4, 5, 8, 9)], "class long, n long, label long, whole long")
+    entries = {100: (1, 2, 3, 5), 101: (1, 2, 3, 4, 5), 102: (1, 2, 4, 5), 103: (8, 9)}
+    rows = [(e, c) for e, members in entries.items() for c in members]
+    member = spark.createDataFrame(rows, "entry long, class long").join(named, "class")
+    groups = jaccard._open_groups(member, named).select("level", "group", "class").collect()
+    assert sorted(map(tuple, groups)) == [(0, 103, 8), (0, 103, 9), *[(1, 1, i) for i in (1, 2, 3, 4, 5)]]
+
+
 def test_jaccard_random_small_sets(spark, monkeypatch):
     rng = random.Random(11)
     out = {}
