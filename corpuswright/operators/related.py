@@ -1,9 +1,10 @@
 """Related sections: title words that stand in a text, as a set-containment join.
 
 A title word has no white space, so where a text holds it, one of the text's
-tokens does. Which tokens hold which words is settled once on the vocabulary:
-a word is indexed under the rarest of its three-letter grams, tokens probe with
-their grams, and only what meets is compared. Sections are then found by the
+tokens does. A word is indexed under the rarest of its three-letter grams,
+tokens probe with their grams, and only what meets is compared. Up to ``FEW``
+words are broadcast and every text's tokens probe where they are; more are
+settled once on the vocabulary, which tokens then join. Sections are then found by the
 rarest words of their titles: one that has the needed share of its words in a
 text has one of those there. All of it is equi-joins on words, tokens and ids.
 """
@@ -18,6 +19,8 @@ from ..session import materialize
 from .ordering import top_per_key
 
 GRAM = 3
+#: Title words that every task may hold, with a gram each.
+FEW = 1 << 15
 
 
 def _grams(word: str) -> Column:
@@ -37,6 +40,18 @@ def words_in_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return probes.join(rarest, "gram").where(F.contains("token", "word")).select("token", "word")
 
 
+def _held_few(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """``id, word`` of broadcast words that tokens (``id, token``) hold; a word's gram is the rarest among the words."""
+    grams = words.select("word", F.explode(_grams("word")).alias("gram"))
+    seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = grams.join(seen, "gram").groupBy("word").agg(F.min(F.struct("df", "gram"))["gram"].alias("gram"))
+    rarest = F.broadcast(materialize(rarest, "rarest"))
+    places = F.explode(F.sequence(F.lit(1), F.length("token") - (GRAM - 1))).alias("place")
+    probes = tokens.where(F.length("token") >= GRAM).select("id", "token", places)
+    probes = probes.select("id", "token", F.substring("token", F.col("place"), GRAM).alias("gram"))
+    return probes.join(rarest, "gram").where(F.contains("token", "word")).select("id", "word")
+
+
 def related_sections(contents: DataFrame, sections: DataFrame, share: float = 0.3, first: int = 5) -> DataFrame:
     """First sections whose title words occur, by ``share``, in a text.
 
@@ -49,11 +64,15 @@ def related_sections(contents: DataFrame, sections: DataFrame, share: float = 0.
     sections = sections.select("ord", "title", split.alias("words")).where(F.size("words") > 0)
     sections = materialize(sections.withColumn("needed", F.greatest(F.lit(1), F.ceil(F.size("words") * F.lit(share)))), "sections")
     listed = sections.select("ord", "needed", F.size("words").alias("n"), F.explode("words").alias("word"))
-    frequency = listed.groupBy("word").agg(F.count(F.lit(1)).alias("sections"))
 
     tokens = contents.select("id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("token"))
-    pairs = words_in_tokens(tokens.select("token").distinct(), frequency.select("word"))
-    held = materialize(tokens.join(materialize(pairs, "pairs"), "token").select("id", "word").distinct(), "held")
+    words = materialize(listed.select("word").distinct(), "words")
+    if words.count() <= FEW:
+        held = _held_few(tokens, words)
+    else:
+        pairs = words_in_tokens(tokens.select("token").distinct(), words)
+        held = tokens.join(materialize(pairs, "pairs"), "token").select("id", "word")
+    held = materialize(held.distinct(), "held")
 
     # of n words, needed are there: one of the first n - needed + 1 is
     spread = held.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))

@@ -110,6 +110,20 @@ def test_related_sections(spark, rows):
     assert rl.related_sections(c.where("id < 0"), s).count() == 0
 
 
+def test_related_sections_by_broadcast_words_and_by_vocabulary(spark, rows, monkeypatch):
+    contents = [(1, "own", "the Reading-list of graphs, in\tGRAPHS"), (2, None, "ab \u00e9t\u00e9s listing"), (3, "x", None), (4, "y", "no or"), (5, "z", "")]
+    sections = [(1, "reading list graphs"), (2, "\u00e9t\u00e9 list"), (3, "no words listing"), (4, "list list"), (5, None)]
+    c, s = spark.createDataFrame(contents, "id long, title string, content string"), spark.createDataFrame(sections, "ord long, title string")
+    words = rows(c.select("id", F.explode(F.split(F.lower("content"), r"\s+")).alias("token")).transform(
+        lambda t: rl._held_few(t, spark.createDataFrame([("list",), ("\u00e9t\u00e9",), ("graphs",)], "word string"))
+    ).distinct(), "id", "word")
+    assert sorted(words) == [(1, "graphs"), (1, "list"), (2, "list"), (2, "\u00e9t\u00e9")]
+    few = sorted(rows(rl.related_sections(c, s), "id", "ord", "related_title", "related_rank"))
+    monkeypatch.setattr(rl, "FEW", 0)
+    assert few == sorted(rows(rl.related_sections(c, s), "id", "ord", "related_title", "related_rank"))
+    assert {(i, o) for i, o, _, _ in few} == {(1, 1), (1, 2), (1, 4), (2, 1), (2, 2), (2, 3), (2, 4)}
+
+
 def test_related_sections_of_odd_texts(spark, rows):
     """Words inside longer tokens, repeated title words, other shares, nulls, short words, letters beyond ASCII."""
     sections = [(0, "Data data base"), (1, "is it ok"), (2, "Überblick der Änderung"), (3, "tab\tseparated\nwords"), (4, None), (5, "data-base index"), (6, "zzz yyy xxx www"), (7, "")]
