@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswright.llm import decontam, jaccard, mixing, quality, substring
-from corpuswright.session import materialize, scratch_path
+from corpuswright.session import materialize, scratch_path, small_batches
 
 ORACLE_SQL = None
 
@@ -26,6 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are rejected; null and repeated ids and extra columns
     of any name stay as they are.
     """
+    small_batches(spark)
     own = {c: c if c in ("doc_id", "text") else f"column {i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
     judged = quality.judge(materialize(quality.measure(plain), "measured")).where("kept")
@@ -34,11 +35,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand earlier; ``n_chars`` follows the text."""
+    small_batches(spark)
     cut = substring.remove_repeats(docs)
     if "n_chars" not in docs.columns:
         return cut

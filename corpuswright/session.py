@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Rows of long texts that a Python worker gets at once.
+ARROW_ROWS = 1000
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """Local session for tests and benchmarks; clusters bring their own."""
@@ -68,6 +71,13 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows of long texts in an Arrow batch, which JVM and worker hold at once; a cluster's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def bucketed(df: DataFrame, key: str, label: str = "buckets") -> DataFrame:
     """Write ``df`` once into hash buckets of ``key``; joins on ``key`` then leave it where it lies.
 

@@ -76,3 +76,16 @@ def test_stages_of_odd_rows(spark):
     empty = spark.createDataFrame([], ODD)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DIR).count() == 0
+
+
+def test_texts_reach_workers_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(2500).selectExpr("id AS doc_id", "'a text' AS text").coalesce(1)
+    corpus_pipeline.substring_dedup(spark, docs, "")
+
+    def sizes(batches):
+        for b in batches:
+            yield b.slice(0, 1).set_column(0, "id", [[b.num_rows]])
+
+    rows = docs.select(docs.doc_id.alias("id")).mapInArrow(sizes, "id bigint").collect()
+    assert max(r[0] for r in rows) == 1000
