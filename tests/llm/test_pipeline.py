@@ -3,6 +3,7 @@
 import os
 import sys
 
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -85,7 +86,7 @@ def test_texts_reach_workers_in_small_batches(spark):
 
     def sizes(batches):
         for b in batches:
-            yield b.slice(0, 1).set_column(0, "id", [[b.num_rows]])
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["id"])
 
     rows = docs.select(docs.doc_id.alias("id")).mapInArrow(sizes, "id bigint").collect()
     assert max(r[0] for r in rows) == 1000
