@@ -11,8 +11,9 @@ Documents that share an index entry are candidates and verified exactly.
 
 Exact copies are one class. Within an index entry candidates first meet its
 smallest class only. Members that these links have not joined are compared
-afterwards inside tasks, and only pairs that a sketch of the sets cannot rule out
-become rows, so groups of similar documents never expand into all their pairs.
+afterwards inside tasks, by sketches first and by their sets where sketches cannot
+rule a pair out; only links that join something become rows, so groups of similar
+documents never expand into all their pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -43,6 +44,8 @@ CELLS = 4
 STRONG = 8
 #: Classes of a group that one task compares with as many others, and how many of them at once.
 BLOCK, STRIP = 2048, 16
+#: Shingles of such classes that one task verifies against as many others: 8 MB.
+SHINGLES = 1 << 20
 
 _DOC, _LOCAL_PAIR, _LOCAL_GROUP = 0, 1, 2
 _TYPES = {_DOC: (np.uint32, np.int64), _LOCAL_PAIR: (np.int64, np.int64, np.int64), _LOCAL_GROUP: (np.int64, np.int64)}
@@ -409,16 +412,8 @@ def _open_groups(member: DataFrame, named: DataFrame) -> DataFrame:
     return inside.unionByName(alone)
 
 
-def _compare_blocks(batches):
-    """Pairs of a task's groups whose labels differ and that neither sizes nor sketches rule out."""
-    parts, cells = [], []
-    for batch in batches:
-        parts.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
-        cells += _lists(batch.column(6))
-    if not cells:
-        return
-    key, block, kind, n, label, within = map(np.concatenate, zip(*parts, strict=True))
-    words = np.array([len(c) for c in cells])
+def _block_pairs(key, block, kind, words, within):
+    """Members of a task's groups to be compared: ``(x, y, words of the shorter sketches)``."""
     order = np.lexsort((kind, words, block, key))
     starts = np.flatnonzero(ws.firsts(key[order]))
     for first, last in zip(starts, np.r_[starts[1:], len(order)], strict=True):
@@ -430,11 +425,11 @@ def _compare_blocks(batches):
             for v in np.unique(words[high]):
                 if max(w, v) > 2 * min(w, v) or (within[rows[0]] and v < w):
                     continue
-                x, y = low[words[low] == w], high[words[high] == v]
-                yield from _compare_lists(x, y, min(w, v), cells, kind, n, label)
+                yield low[words[low] == w], high[words[high] == v], min(w, v)
 
 
-def _compare_lists(x, y, words, cells, kind, n, label):
+def _near(x, y, words, cells, n, label):
+    """Pairs of members, strip by strip, whose labels differ and that neither sizes nor sketches rule out."""
     ys = _folded(np.stack([cells[i] for i in y]), words)
     for at in range(0, len(x), STRIP):
         part = x[at : at + STRIP]
@@ -449,22 +444,102 @@ def _compare_lists(x, y, words, cells, kind, n, label):
         for cut in range(0, len(i), 4096):
             c = slice(cut, cut + 4096)
             near[c] = np.bitwise_count(xs[i[c]] ^ ys[j[c]]).sum(axis=1, dtype=np.int64) <= most[i[c], j[c]]
-        a, b = kind[part[i[near]]], kind[y[j[near]]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        if near.any():
+            yield part[i[near]], y[j[near]]
+
+
+def _read_blocks(batches):
+    """Columns of ``_in_blocks`` as whole arrays, and the lists of the last column."""
+    parts, lists = [], []
+    for batch in batches:
+        parts.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)])
+        lists += _lists(batch.column(batch.num_columns - 1))
+    return [np.concatenate(c) for c in zip(*parts, strict=True)], lists
+
+
+def _near_members(batches):
+    """Members of a task's groups that sizes and sketches leave near a member of another label, once per group."""
+    columns, cells = _read_blocks(batches)
+    if not cells:
+        return
+    key, block, within, level, group, kind, n, label = columns
+    words = np.array([len(c) for c in cells])
+    hit = np.zeros(len(cells), bool)
+    for x, y, shorter in _block_pairs(key, block, kind, words, within):
+        for i, j in _near(x, y, shorter, cells, n, label):
+            hit[i] = hit[j] = True
+    columns = [pa.array(c[hit]) for c in (level, group, kind, n, label)]
+    yield pa.RecordBatch.from_arrays(columns, ["level", "group", "class", "n", "label"])
+
+
+def _sets(batches):
+    for batch in batches:
+        out = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["class", "shingles"])
+
+
+def _similar(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets ``others`` are similar enough to ``s``."""
+    sizes = np.array([len(o) for o in others])
+    values = np.concatenate(others)
+    found = s[np.minimum(np.searchsorted(s, values), len(s) - 1)] == values
+    shared = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return (shared > 0) & (DEN * shared >= NUM * (len(s) + sizes - shared))
 
 
-def _compare(groups: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidate pairs ``a``, ``b`` with two labels in ``groups``; larger groups are split into pairs of blocks."""
-    many = groups.groupBy("level", "group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+def _link_blocks(batches):
+    """Links of a task's groups, as many as join what they link: one that stays inside what others have joined is left out."""
+    columns, sets = _read_blocks(batches)
+    if not sets:
+        return
+    key, block, within, _, _, kind, n, label = columns
+    label = label.copy()
+    cells = [_sketch(s) for s in sets]
+    words = np.array([len(c) for c in cells])
+    links = []
+    for x, y, shorter in _block_pairs(key, block, kind, words, within):
+        for i, j in _near(x, y, shorter, cells, n, label):
+            starts = np.flatnonzero(ws.firsts(i))
+            for first, last in zip(starts, np.r_[starts[1:], len(i)], strict=True):
+                a, others = i[first], j[first:last]
+                others = others[label[others] != label[a]]
+                if not len(others):
+                    continue
+                for b in others[_similar(sets[a], [sets[o] for o in others])]:
+                    if label[a] != label[b]:
+                        label[label == label[b]] = label[a]
+                        links.append((kind[a], kind[b]))
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _in_blocks(groups: DataFrame, blocks: Column, lists: DataFrame) -> DataFrame:
+    """``groups`` (``level``, ``group``, ``class``, ``n``, ``label``) split into pairs of so many blocks, with the list of each class; a pair of blocks (``key``) is in one task."""
+    many = groups.groupBy("level", "group").agg(blocks.alias("blocks"))
     rows = groups.join(materialize(many, "blocks"), ["level", "group"])
     own = F.pmod(F.xxhash64("class"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = rows.withColumn("own", own).withColumn("other", other)
     key = F.xxhash64("level", "group", F.least("own", "other"), F.greatest("own", "other"))
     inner = (F.col("own") == F.col("other")).alias("inner")
-    rows = rows.select(key.alias("key"), "own", "class", "n", "label", inner).join(sketches.select("class", "sketch"), "class")
-    rows = rows.select("key", "own", "class", "n", "label", "inner", "sketch").repartition(blobs.partitions(groups), "key")
-    return rows.mapInArrow(_compare_blocks, "a bigint, b bigint")
+    rows = rows.select(key.alias("key"), "own", inner, "level", "group", "class", "n", "label").join(lists, "class")
+    rows = rows.select("key", "own", "inner", "level", "group", "class", "n", "label", lists.columns[1])
+    return rows.repartition(blobs.partitions(groups), "key")
+
+
+def _group_links(groups: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` that join all classes of two labels that ``groups`` link.
+
+    Pairs never become rows. Sketches leave the members that may have a link; those meet
+    again with their sets, and a task gives fewer links than it has members.
+    """
+    blocked = _in_blocks(groups, F.ceil(F.count(F.lit(1)) / BLOCK), sketches.select("class", "sketch"))
+    near = blocked.mapInArrow(_near_members, "level int, group bigint, class bigint, n bigint, label bigint")
+    near = materialize(near.distinct(), "near")
+    wanted = bloom.build(near.select("class").distinct().select(F.xxhash64("class")))
+    sets = texts.where(wanted.might_contain(F.xxhash64("class"))).mapInArrow(_sets, "class bigint, shingles array<bigint>")
+    blocked = _in_blocks(near, F.ceil(F.sum("n") / SHINGLES), sets)
+    return materialize(blocked.mapInArrow(_link_blocks, "a bigint, b bigint"), "more")
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
@@ -504,10 +579,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     member = found.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("class")).join(named, "class")
     member = materialize(member.select("entry", "class", "n", "label", "whole").distinct(), "member")
     groups = materialize(_open_groups(member, named), "open")
-    known = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = _compare(groups, sketches).distinct().join(known, ["a", "b"], "left_anti")
-    more = _linked(materialize(rest, "rest"), texts)
-    labels = components(links.unionByName(more))
+    labels = components(links.unionByName(_group_links(groups, sketches, texts)))
     return sizes.join(labels, sizes["class"] == labels["node"], "left").select(
         F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"),
         "body",

@@ -365,6 +365,27 @@ def test_jaccard_random_small_sets(spark, monkeypatch):
     assert {r[0]: r[1:] for r in rows_of(jaccard.near_duplicates(df))} == brute.components(out.items())
 
 
+def test_jaccard_open_groups_give_links_not_pairs(spark, monkeypatch):
+    # 40 near copies under 40 labels are 780 similar pairs; 40 is too far from each for a link, not for its sketch
+    words = prose(31, 200).split()
+    texts = [" ".join([*words[: 5 * i], f"q{i}", *words[5 * i + 1 :]]) for i in range(40)]
+    texts.append(" ".join(f"r{j}" if j % 40 == 20 else w for j, w in enumerate(words[:190])) + " s" * 30)
+    sets = [brute.shingles(t) for t in texts]
+    assert {len(sets[40] & s) / len(sets[40] | s) >= 0.75 for s in sets[:40]} == {False}
+    rows = [(0, 7, i, len(s), i) for i, s in enumerate(sets)]
+    groups = spark.createDataFrame(rows, "level int, group long, class long, n long, label long")
+    texts = spark.createDataFrame(list(enumerate(texts)), "class long, text string")
+    sketches = texts.mapInArrow(jaccard._sketches, "class bigint, n bigint, sketch array<bigint>")
+    linked = rows_of(jaccard._group_links(groups, sketches, texts))
+    assert len(linked) == 39
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "SHINGLES", 2000)
+    for links in (linked, rows_of(jaccard._group_links(groups, sketches, texts))):
+        assert all(a < b < 40 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.75 for a, b in links)
+        joined = dict(rows_of(components.components(spark.createDataFrame(links, "a long, b long"))))
+        assert joined == dict.fromkeys(range(40), 0)
+
+
 def test_keep_one_of_each_component(spark):
     a, b = prose(1, 100), prose(2, 90)
     rows = [(5, a, "x"), (5, a, "x"), (3, edited(a, 1, 0.005), "x"), (None, a, "x"), (7, b, "x"), (8, None, "x"), (9, "", "x")]
