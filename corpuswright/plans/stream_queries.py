@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.urls import url_normalize
 from ..session import scratch_path
+from ..sources.tables import read_materials
 from ..streaming import jobs
 from .binding import EPOCH
 from .registry import query
@@ -69,7 +70,7 @@ def m3(spark, d):
         tx.content_hash(F.col("text")).alias("content_hash"), F.col("doc_id").alias("order_index"),
     )
     jobs.ingest_stream(rows, path, checkpoint).awaitTermination()
-    return spark.read.parquet(path).select("id", "source_type", "content_hash")
+    return read_materials(spark, path).select("id", "source_type", "content_hash")
 
 
 @query(

@@ -45,7 +45,7 @@ def append_materials(new: DataFrame, path: str, seq: str = "order_index", in_bat
     spark = new.sparkSession
     staged = materialize(with_content_hash(new), "append")
     keys = staged.select("id", "content_hash", seq)
-    store = spark.read.parquet(path).select("id", "content_hash", seq) if _exists(spark, path) else keys.where(F.lit(False))
+    store = spark.read.parquet(path).select("id", "content_hash", seq) if _has_rows(spark, path) else keys.where(F.lit(False))
     fresh = materialize(new_materials(keys, store, seq, in_batch).select("id"), "fresh")
     rows = staged.join(fresh, "id", "left_semi")
     _balanced(rows).write.mode("append").partitionBy("source_type").parquet(path)
@@ -115,7 +115,18 @@ def export_code_blocks(df: DataFrame, out: str) -> None:
     rows.write.partitionBy("extension").parquet(out)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def _files(spark: SparkSession, path: str):
+    """The path for Hadoop and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    target, files = _files(spark, path)
+    return files.exists(target) and files.getFileStatus(target).isDirectory()
+
+
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether rows were ever appended; an append of none, or one that broke off, leaves a folder without a schema."""
+    target, files = _files(spark, path)
+    return files.exists(target) and any(not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(target))

@@ -27,7 +27,7 @@ from ..operators.ordering import merged_runs, previous_values
 from ..operators.tasks import latest_state
 from ..session import materialize
 from ..sources.files import parse_log_line
-from ..sources.tables import _exists, append_materials
+from ..sources.tables import _has_rows, _is_folder, append_materials
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,12 +37,13 @@ MERGED = 16
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream; a table of the name may be one file or a folder of part files."""
+    """Parquet files of a folder as a stream; a table of the name may be one file, or a folder of part files or of partitions."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    # a pattern even without wildcards: only those may name files, and what they name may be a folder
-    return reader.parquet(f"{folder}/{{{name}}}")
+    # values of partitions are read off the path below a folder that is named as it is; a file may be named by a pattern only
+    path = f"{folder}/{name}"
+    return reader.parquet(path if _is_folder(spark, path) else f"{folder}/{{{name}}}")
 
 
 def _start(df: DataFrame, sink: Callable, checkpoint: str, mode: str = "append", live: str | None = None) -> StreamingQuery:
@@ -186,7 +187,7 @@ def ingest_stream(materials: DataFrame, path: str, checkpoint: str, live: str |
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if _exists(spark, path):
+        if _has_rows(spark, path):
             batch = batch.join(spark.read.parquet(path).select("id"), "id", "left_anti")
         append_materials(batch, path)
 

@@ -193,3 +193,48 @@ def test_ingest_query_reads_a_folder_of_part_files(spark, rows, tmp_path):
     _part_files(spark, tmp_path, "documents", data, "doc_id long, text string, lang string, source string, n_chars long")
     found = rows(catalog.queries()["m3_ingest_stream"](spark, str(tmp_path)), "id", "source_type")
     assert sorted(found) == [("0", "web"), ("1", "web"), ("3", "web"), ("5", "web")]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _documents(texts, source="web"):
+    return [(i, t, "de" if i % 2 else "en", source, len(t)) for i, t in enumerate(texts)]
+
+
+def test_ingest_query_reads_a_folder_of_partitions(spark, rows, tmp_path):
+    """Folders of a column of the table, and below them of one it does not have."""
+    data = spark.createDataFrame(_documents(["one text", "another", "one text", "third", "another", "fourth"]), DOCUMENTS)
+    parted = data.withColumns({"copy": F.col("doc_id") % 2, "by": F.col("source")}).drop("source").withColumnRenamed("by", "source")
+    parted.write.partitionBy("source", "copy").parquet(str(tmp_path / "documents.parquet"))
+    found = rows(catalog.queries()["m3_ingest_stream"](spark, str(tmp_path)), "id", "source_type")
+    assert sorted(found) == [("0", "web"), ("1", "web"), ("3", "web"), ("5", "web")]
+
+
+def test_ingest_query_without_documents(spark, tmp_path):
+    _part_files(spark, tmp_path, "documents", [], DOCUMENTS)
+    found = catalog.queries()["m3_ingest_stream"](spark, str(tmp_path))
+    assert found.dtypes == [("id", "string"), ("source_type", "string"), ("content_hash", "string")] and found.isEmpty()
+
+
+def test_ingest_query_keeps_sources_as_text(spark, rows, tmp_path):
+    _part_files(spark, tmp_path, "documents", _documents(["a text", "b text"], "007"), DOCUMENTS)
+    assert sorted(rows(catalog.queries()["m3_ingest_stream"](spark, str(tmp_path)), "id", "source_type")) == [("0", "007"), ("1", "007")]
+
+
+def test_ingest_goes_on_after_a_batch_without_rows(spark, rows, tmp_path):
+    schema = "id string, content string, content_hash string, order_index long, source_type string"
+    folder = feed(spark, tmp_path, [[], [("1", "x", None, 1, "w"), ("2", "x", None, 2, "w")], [], [("3", "y", None, 1, "w")]], schema)
+    path = str(tmp_path / "table")
+    jobs.ingest_stream(jobs.file_stream(spark, folder, "*.parquet", schema, 1), path, str(tmp_path / "check")).awaitTermination()
+    assert sorted(r[0] for r in rows(spark.read.parquet(path), "id")) == ["1", "3"]
+
+
+def test_ingest_goes_on_after_an_append_that_broke_off(spark, rows, tmp_path):
+    """Only the committer's folder is there; the restart writes what is missing."""
+    schema = "id string, content string, content_hash string, order_index long, source_type string"
+    folder = feed(spark, tmp_path, [[("1", "x", None, 1, "w")]], schema)
+    (tmp_path / "table" / "_temporary" / "0").mkdir(parents=True)
+    stream = jobs.file_stream(spark, folder, "*.parquet", schema)
+    jobs.ingest_stream(stream, str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "table")), "id") == [("1",)]
